@@ -52,7 +52,7 @@ def origin(url: Column) -> Column:
 
 def path(url: Column) -> Column:
     return F.regexp_extract(
-        F.regexp_extract(url, _PARTS, 3), r"^([^?#]*)", 1)
+        url, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
 
 
 def canonical(url: Column, hosts: Mapping[str, str]) -> Column:
