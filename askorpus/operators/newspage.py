@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from askorpus.functions import text as tx
 from askorpus.functions import urls
@@ -41,10 +42,10 @@ _REGIONS = (
     ("h3", "primary", "kicker"),
 )
 
-_FIELDS = (
-    "og_url string, subtitle string, title string, date string, "
-    "summary string, has_login boolean, article_closed boolean"
-)
+_FIELDS = T.StructType(
+    [T.StructField(name, T.StringType()) for name in (
+        "og_url", "subtitle", "title", "date", "summary")]
+    + [T.StructField(name, T.BooleanType()) for name in ("has_login", "article_closed")])
 
 
 class _PageReader(HTMLParser):
@@ -104,21 +105,20 @@ class _PageReader(HTMLParser):
 
 def _read(html: str | None) -> tuple:
     if html is None:
-        return (None,) * 7
+        return (None,) * len(_FIELDS)
     page = _PageReader()
     try:
         page.feed(html)
     except Exception:
         # a page the parser cannot follow is simply not a news page
-        return (None,) * 7
+        return (None,) * len(_FIELDS)
     return (page.og_url, page.subtitle, page.take("title"), page.take("date"),
             page.take("summary"), page.has_login, page.article_closed)
 
 
 @F.pandas_udf(_FIELDS)
 def _read_pages(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_read(h) for h in html], columns=[
-        "og_url", "subtitle", "title", "date", "summary", "has_login", "article_closed"])
+    return pd.DataFrame([_read(h) for h in html], columns=_FIELDS.names)
 
 
 def read_page(html: Column) -> Column:

@@ -9,6 +9,7 @@ def local_session(cpus: str = "8", memory: str = "16g") -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("askorpus")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
