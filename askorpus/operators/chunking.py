@@ -108,7 +108,7 @@ def recursive_splitter(size: int = 600, overlap: int = 100,
 
 def line_splitter(text: Column) -> Column:
     """One chunk per non-blank line; a JVM-side splitter."""
-    lines = F.transform(F.split(text, "\n"), F.trim)
+    lines = F.transform(F.split(text, "\n"), lambda ln: F.trim(ln))
     return F.filter(lines, lambda ln: F.length(ln) > 0)
 
 

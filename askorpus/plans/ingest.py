@@ -70,16 +70,17 @@ def keep_first(found: DataFrame, known: DataFrame | None) -> DataFrame:
 
     Known hashes join the same aggregate under a smaller order key, so the
     anti-join and the first-wins rule cost one shuffle of narrow rows, and a
-    hash copied a billion times is combined before it.
+    hash copied a billion times is combined before it. Hashes travel as bytes,
+    half the size of their hex text and in the same order.
     """
-    entries = found.select(
-        "chunk_hash", F.struct(F.lit(1).alias("fresh"), "slug", "pos").alias("at"))
+    entries = found.select(F.unhex("chunk_hash").alias("h"), F.struct(
+        F.lit(1).alias("fresh"), F.unhex("slug").alias("slug"), F.col("pos")).alias("at"))
     if known is not None:
-        entries = entries.unionAll(known.select("chunk_hash", F.struct(
-            F.lit(0).alias("fresh"), F.lit("").alias("slug"), F.lit(-1).alias("pos"))))
-    first = entries.groupBy("chunk_hash").agg(F.min("at").alias("at")).filter("at.fresh = 1")
+        entries = entries.unionAll(known.select(F.unhex("chunk_hash"), F.struct(
+            F.lit(0).alias("fresh"), F.unhex(F.lit("")).alias("slug"), F.lit(-1).alias("pos"))))
+    first = entries.groupBy("h").agg(F.min("at").alias("at")).filter("at.fresh = 1")
     within = Window.partitionBy("slug").orderBy("pos")
-    return first.select("at.slug", "at.pos").withColumn(
+    return first.select(F.lower(F.hex("at.slug")).alias("slug"), "at.pos").withColumn(
         "chunk_index", (F.row_number().over(within) - 1).cast("int"))
 
 
@@ -104,16 +105,19 @@ def plan_ingest(raw: DataFrame, stored: DataFrame | None, chunks: DataFrame | No
     the document's own included, and a document left without chunks keeps them.
     """
     if stored is None:
-        state, pending = None, raw
+        state = changed = None
+        pending = raw
     else:
         state = staged(classify(raw, stored), "ingest-state")
-        pending = raw.join(state.filter("not same").select("url"), "url", "left_semi")
+        # a table of its own, so that its size decides how text is joined to it
+        changed = staged(state.filter("not same").select("url"), "ingest-changed")
+        pending = raw.join(changed, "url", "left_semi")
 
     known = None
     if chunks is not None and state is not None:
         known = chunks.select("url", "chunk_hash")
         if not compat:
-            known = known.join(state.filter("not same").select("url"), "url", "left_anti")
+            known = known.join(changed, "url", "left_anti")
 
     found = staged(candidates(pending, splitter), "ingest-chunks")
     kept = staged(keep_first(found, known), "ingest-kept")
@@ -130,12 +134,12 @@ def plan_ingest(raw: DataFrame, stored: DataFrame | None, chunks: DataFrame | No
         .when(F.col("known"), "updated").otherwise("inserted"))
 
     written = ["inserted", "updated"] if compat else ["inserted", "updated", "empty"]
-    changed = result.filter(F.col("kind").isin(written))
+    done = result.filter(F.col("kind").isin(written))
     return Ingest(
         outcomes=result.select("url", "kind", "n_chunks"),
         chunks=build_chunks(found, kept, embedder),
-        stale=changed.filter("known").select("url"),
-        docs=changed.select("url", "content_hash"))
+        stale=done.filter("known").select("url"),
+        docs=done.select("url", "content_hash"))
 
 
 def drop_stale(chunks: DataFrame, stale: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from askorpus.functions.rules import Rule, load_rules
 
 
 def read_facts(spark: SparkSession, path: str) -> dict:
-    rows = spark.read.option("wholetext", True).text(path).take(2)
+    rows = spark.read.text(path, wholetext=True).take(2)
     if len(rows) != 1:
         raise ValueError("expected exactly one facts document")
     return json.loads(rows[0][0])

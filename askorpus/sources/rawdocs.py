@@ -16,7 +16,7 @@ _WITH_CORRUPT = T.StructType(
 
 def read_json_texts(spark: SparkSession, path: str) -> DataFrame:
     """One row per *.json file under ``path``: (file, value)."""
-    return (spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(path)
+    return (spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
             .select(F.col("_metadata.file_name").alias("file"), "value"))
 
 

@@ -46,16 +46,20 @@ def expand_sitemaps(roots: DataFrame, files: DataFrame, hosts: Mapping[str, str]
     level = roots.select("source", "sitemap", F.array().cast("array<int>").alias("order"))
     pages, broken = [], []
     for depth in range(max_depth + 1):
-        read = staged(parse_sitemaps(level.join(files, "sitemap", "left")), "sitemap-level")
+        # Written out, a level has a known size: XML is shuffled to meet it only
+        # when it is too large to broadcast.
+        level = staged(level, "sitemap-level")
+        read = staged(parse_sitemaps(files.join(level, "sitemap")), "sitemap-read")
         pages.append(read.select("source", "order", F.posexplode("pages").alias("p", "url")))
         broken.append(read.filter("broken").select("source"))
+        broken.append(level.join(files.select("sitemap"), "sitemap", "left_anti").select("source"))
         level = (read.select("source", "order", F.posexplode("children").alias("p", "sitemap"))
                  .select("source", "sitemap", F.concat("order", F.array("p")).alias("order")))
         if level.isEmpty():
             break
     else:
         broken.append(level.select("source"))
-    bad = reduce(DataFrame.unionAll, broken).distinct()
+    bad = staged(reduce(DataFrame.unionAll, broken).distinct(), "sitemap-broken")
     found = reduce(DataFrame.unionAll, pages).select(
         "source", urls.canonical(F.col("url"), hosts).alias("url"),
         F.concat("order", F.array("p")).alias("order"))

@@ -68,11 +68,22 @@ class Store:
         table = self.tables[name]
         key_only = T.StructType([table.schema[table.key]])
         rows = self._part(name, "rows", table.schema)
+        if not self._anything_replaced(name):
+            return rows
         dead = (self._part(name, "replaced", key_only)
                 .groupBy(table.key).agg(F.max("run").alias("until")))
         gone = (rows[table.key] == dead[table.key]) & (rows["run"] < dead["until"])
         return rows.join(dead, gone, "left_anti")
 
+    def _anything_replaced(self, name: str) -> bool:
+        """Whether a run after the base replaced keys; if not, reading is a plain scan."""
+        base, last = self._span()
+        folder = self._path(f"{self.root}/{name}/replaced")
+        if not self._fs().exists(folder):
+            return False
+        runs = (s.getPath().getName().partition("=") for s in self._fs().listStatus(folder))
+        return any(base < int(number) <= last for kind, _, number in runs if kind == "run")
+
     # -- writing -----------------------------------------------------------
 
     def commit(self, changes: Mapping[str, Change], kind: str = "run") -> int:

@@ -1,0 +1,23 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from askorpus.session import local_session
+
+    session = local_session("4", "6g")
+    session.conf.set("spark.sql.shuffle.partitions", "4")
+    yield session
+
+
+@pytest.fixture(scope="session")
+def sf_dir():
+    return SF

@@ -1,0 +1,94 @@
+"""The splitter against a string-based restatement of its contract."""
+
+import pandas as pd
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from askorpus.operators.chunking import (
+    SEPARATORS, explode_chunks, line_splitter, recursive_splitter, split_text)
+
+
+def restated(text, size, overlap, separators=SEPARATORS):
+    """Works on lists of strings, the way the contract is worded."""
+    at = next(i for i, s in enumerate(separators) if s == "" or s in text)
+    sep, finer = separators[at], separators[at + 1:]
+    if sep == "":
+        pieces = list(text)
+    else:
+        head, *tail = text.split(sep)
+        pieces = [p for p in [head, *(sep + t for t in tail)] if p]
+    chunks, run = [], []
+
+    def flush():
+        held = []
+        for piece in run:
+            if sum(map(len, held)) + len(piece) > size and held:
+                chunks.append("".join(held).strip())
+                while held and (sum(map(len, held)) > overlap
+                                or sum(map(len, held)) + len(piece) > size):
+                    held.pop(0)
+            held.append(piece)
+        chunks.append("".join(held).strip())
+        run.clear()
+
+    for piece in pieces:
+        if len(piece) < size:
+            run.append(piece)
+        else:
+            if run:
+                flush()
+            chunks.extend(restated(piece, size, overlap, finer))
+    if run:
+        flush()
+    return [c for c in chunks if c]
+
+
+words = st.lists(st.sampled_from(
+    ["a", "bb", " ", ". ", "? ", "! ", "\n", "\n\n", "cccccc", "ddddddddddddddddddd", "é", "😀"]), max_size=120)
+
+
+@given(words, st.sampled_from([2, 5, 10, 30]), st.sampled_from([0, 1]))
+@settings(max_examples=300, deadline=None)
+def test_same_as_restated(parts, size, overlap):
+    text = "".join(parts)
+    assert split_text(text, size, overlap) == restated(text, size, overlap)
+
+
+@given(words)
+@settings(max_examples=200, deadline=None)
+def test_invariants(parts):
+    text = "".join(parts)
+    chunks = split_text(text, 20, 5)
+    assert all(0 < len(c) <= 20 and c == c.strip() and c in text for c in chunks)
+    if len(text) < 20:
+        assert chunks == ([text.strip()] if text.strip() else [])
+
+
+def test_coverage_and_overlap_with_unique_characters():
+    text = "".join(chr(0x4E00 + i) + (" " if i % 7 == 0 else "") for i in range(3000))
+    chunks = split_text(text, 600, 100)
+    at = [(text.index(c), text.index(c) + len(c)) for c in chunks]
+    assert set("".join(chunks)) >= set(text.replace(" ", ""))
+    assert all(end - start <= 101 for (_, end), (start, _) in zip(at, at[1:]))
+
+
+def test_lengths_around_the_limit():
+    assert [len(c) for c in split_text("x" * 5000, 600, 100)] == [600] * 9 + [500]
+    for n in (599, 600, 601):
+        assert split_text("y" * n, 600, 100) == restated("y" * n, 600, 100)
+    assert split_text("", 600, 100) == [] and split_text(" \n ", 600, 100) == []
+
+
+def test_as_a_column(spark):
+    text = "uno dos. tres cuatro? cinco " * 60
+    df = spark.createDataFrame(pd.DataFrame({"id": [1, 2], "text": [text, "corto"]}))
+    rows = explode_chunks(df, recursive_splitter(100, 20)).orderBy("id", "pos").collect()
+    assert [r.content for r in rows if r.id == 1] == restated(text, 100, 20)
+    assert [(r.pos, r.content) for r in rows if r.id == 2] == [(0, "corto")]
+    nulls = spark.createDataFrame([(1, None)], "id int, text string")
+    assert explode_chunks(nulls, recursive_splitter()).count() == 0
+
+
+def test_lines(spark):
+    df = spark.createDataFrame([(1, " a \n\n b\n  ")], "id int, text string")
+    assert [r.content for r in explode_chunks(df, line_splitter).collect()] == ["a", "b"]

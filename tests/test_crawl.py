@@ -1,0 +1,143 @@
+"""Frontier, page processing and the failure log."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from askorpus.config import Site
+from askorpus.plans import crawl as cr
+from askorpus.sources import failures, sitemaps
+from askorpus.sources.store import Store
+from test_operators import DETAIL, page
+
+HOSTS = {"s.test": "https://www.s.test", "www.s.test": "https://www.s.test"}
+SPACE = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+
+
+def urlset(*locs):
+    return f"<urlset {SPACE}>" + "".join(f"<url><loc>{x}</loc></url>" for x in locs) + "</urlset>"
+
+
+def index(*locs):
+    return f"<sitemapindex {SPACE}>" + "".join(
+        f"<sitemap><loc> {x}\n</loc></sitemap>" for x in locs) + "</sitemapindex>"
+
+
+def expand(spark, files, roots=(("s", "root"),)):
+    f = spark.createDataFrame(list(files.items()), "sitemap string, xml string")
+    r = spark.createDataFrame(list(roots), "source string, sitemap string")
+    rows = sitemaps.expand_sitemaps(r, f, HOSTS, max_depth=3).collect()
+    return [(x.source, x.url) for x in sorted(rows, key=lambda x: (x.source, x.order))]
+
+
+def test_sitemaps_in_reading_order(spark):
+    files = {"root": index("one", "two"), "one": urlset("http://s.test/a", "https://o.test/b?x=1&amp;y=2", " "),
+             "two": index("three"), "three": urlset("http://s.test/c", "http://s.test/a")}
+    assert [u for _, u in expand(spark, files)] == [
+        "https://www.s.test/a", "https://o.test/b?x=1&y=2", "https://www.s.test/c", "https://www.s.test/a"]
+
+
+@pytest.mark.parametrize("files", [
+    {"root": index("one", "two"), "one": urlset("http://s.test/a")},
+    {"root": index("one"), "one": "<urlset><url><loc>cut"},
+    {"root": index("root")}, {}])
+def test_unreadable_sitemap_drops_its_source_only(spark, files):
+    files = {**files, "ok": urlset("http://x.test/")}
+    assert expand(spark, files, [("s", "root"), ("t", "ok")]) == [("t", "http://x.test/")]
+
+
+def test_frontier(spark):
+    site = Site("s", "root", seeds=("https://www.s.test/", "https://www.s.test/q"),
+                discovery=(("https://www.s.test/idx", r'href="(/n/[a-z0-9-]+/?)"'),))
+    plain = Site("p", "plain")
+    files = spark.createDataFrame([
+        ("root", urlset("http://s.test/q", "http://s.test/n/a", "http://s.test/z")),
+        ("plain", urlset("http://p.test/1", "http://p.test/1", "http://p.test/2"))], "sitemap string, xml string")
+    pages = spark.createDataFrame([
+        ("https://www.s.test/idx", '<a href="/n/b"><a href="/n/a"><a href="/n/b"><a href="/other/x">')],
+        "url string, html string")
+
+    def urls_of(limit):
+        rows = sitemaps.frontier(spark, [site, plain], files, pages, HOSTS, limit).collect()
+        rows.sort(key=lambda r: (r.source, r.priority, r.order))
+        return [r.url.split(".test")[1] for r in rows if r.source == "s"], [
+            r.url for r in rows if r.source == "p"]
+
+    assert urls_of(0) == (["/", "/q", "/n/b", "/n/a", "/z"],
+                          ["http://p.test/1", "http://p.test/1", "http://p.test/2"])
+    assert urls_of(3) == (["/", "/q", "/n/b"],
+                          ["http://p.test/1", "http://p.test/1", "http://p.test/2"])
+    assert urls_of(1) == (["/"], ["http://p.test/1"])
+
+
+def extract(markdown, url="https://x.test/final", title="T"):
+    return json.dumps({"metadata": {"url": url, "title": title}, "content": {"markdown": markdown}})
+
+
+LONG = "m" * 50
+FETCHED = [
+    # url, source, html, extract, error
+    ("alias1", "news", page(), None, None),
+    ("alias2", "news", page(), None, None),
+    ("gated", "news", '<meta property="og:url" content="/Account/Login">', extract(LONG), None),
+    ("plain-news-site", "news", "<p>otra</p>", extract(LONG), None),
+    ("html-failed", "news", None, extract(LONG), None),
+    ("not-news-site", "web", page(), extract(" " + LONG + "\n"), None),
+    ("short", "web", None, extract(" " + "m" * 49), None),
+    ("none", "web", None, "{}", None),
+    ("bad", "web", None, "{oops", None),
+    ("failed", "web", None, None, "timeout>40s"),
+    ("wall", "web", None, extract(LONG, url="https://x.test/ACCOUNT/login?r=1"), None),
+]
+FIELDS = "url string, source string, html string, extract string, error string"
+
+
+def test_crawl(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "raw"), cr.TABLES)
+    fetched = spark.createDataFrame(FETCHED, FIELDS)
+
+    def go(force=False):
+        rows = cr.crawl(store, fetched, ["news"], "s", "2024-01-01T00:00:00Z", force).collect()
+        return sorted((r.url, r.status, r.reason) for r in rows)
+
+    failed = [("bad", "failed", "json parse"), ("failed", "failed", "timeout>40s"),
+              ("gated", "failed", "login wall"), ("none", "failed", "empty content (len=0)"),
+              ("short", "failed", "empty content (len=49)"), ("wall", "failed", "login wall")]
+    assert go() == sorted(failed + [
+        (DETAIL, "fetched", "news summary"), (DETAIL, "fetched", "news summary"),
+        ("html-failed", "fetched", ""), ("not-news-site", "fetched", ""), ("plain-news-site", "fetched", "")])
+    docs = {r.url: r for r in store.read("raw").collect()}
+    assert set(docs) == {DETAIL, "html-failed", "not-news-site", "plain-news-site"}
+    assert docs["not-news-site"].text == LONG and docs[DETAIL].title == "Un título & más"
+
+    again = go()
+    assert {s for _, s, _ in again} == {"failed", "skipped"}
+    assert store.read("raw").count() == 4
+    assert {s for _, s, _ in go(force=True)} == {"failed", "fetched"}
+    assert store.read("raw").count() == 4
+
+
+def test_one_html_parse(spark):
+    """However many columns come from a page, it is read by Python once."""
+    plan = cr.process_pages(spark.createDataFrame(FETCHED, FIELDS), ["news"], "s")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython ") == 1
+
+
+def test_failure_log(spark, tmp_path):
+    results = spark.createDataFrame([
+        ("https://a.test/1", "a", "failed", "timeout"), ("https://a.test/2", "a", "fetched", ""),
+        ("https://b.test/x", "b", "failed", "x\ty"), ("https://c.test/", "c", "failed", "z")],
+        "url string, source string, status string, reason string")
+    path = str(tmp_path / "log")
+    failures.write_failures(results, path)
+    back = failures.read_failures(spark, path, ["a.test", "b.test"])
+    assert sorted(map(tuple, back.collect())) == [("a.test", "https://a.test/1"), ("b.test", "https://b.test/x")]
+    lines = spark.createDataFrame([("  \t x",), ("",), (" https://a.test/9 \tr",), ("https://zz/",)], "value string")
+    assert [tuple(r) for r in failures.parse_failures(lines, ["a"]).collect()] == [("a", "https://a.test/9")]
+    assert failures.unknown_hosts(lines, ["a"]).count() == 1
+    many = spark.createDataFrame([("s", f"u{i}") for i in range(9)] + [("t", "v")], "source string, url string")
+    assert sorted(r.url for r in failures.retry_frontier(many, limit=2).collect()) == ["u0", "u1", "v"]
+    assert failures.retry_frontier(many, site="t").count() == 1
+    failures.write_failures(results.filter("status = 'fetched'"), path)
+    assert failures.read_failures(spark, path, ["a"]).count() == 0
