@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from askorpus.catalogue.registry import DOC_TITLE, DOC_URL, documents, norm_sql, query, strip_sql, table
+from askorpus.catalogue.registry import DOC_TITLE, DOC_URL, documents, norm_sql, query, strip_sql, table, texts
 from askorpus.functions import text as tx
 from askorpus.functions import urls
 from askorpus.operators import newspage
@@ -61,7 +61,7 @@ SELECT link, arg_min(page_id, (page_id, pos)) AS first_page, arg_min(pos, (page_
        count(*) AS n
 FROM found GROUP BY link""")
 def link_discovery(spark, sf_dir):
-    found = sitemaps.discover_links(table(spark, sf_dir, "pages"), LINK, HOSTS)
+    found = sitemaps.discover_links(texts(spark, sf_dir, "pages"), LINK, HOSTS)
     at = F.struct("page_id", "pos")
     return found.groupBy("link").agg(
         F.min(at)["page_id"].alias("first_page"),
@@ -278,7 +278,7 @@ SELECT page_id, regexp_replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1
 FROM pages""")
 def page_titles(spark, sf_dir):
     """Heading inside the article of every page, read by the page parser."""
-    page = table(spark, sf_dir, "pages").withColumn("page", newspage.read_page(F.col("html")))
+    page = texts(spark, sf_dir, "pages").withColumn("page", newspage.read_page(F.col("html")))
     return page.select("page_id", F.col("page.title").alias("title"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askorpus.functions import urls
+from askorpus.operators.partitioning import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,13 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of long texts, for queries that work hard on every row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def doc_url(doc_id: Column | str = "doc_id") -> Column:
     return F.concat(F.lit("https://example.test/d/"), F.col(doc_id).cast("string"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table in the shape of raw documents."""
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", doc_url().alias("url"), "source", "lang",
         F.when(F.col("lang") != "fr", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")))
         .alias("title"), "text", F.sha2("text", 256).alias("content_hash"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from askorpus.catalogue.registry import (
     DOC_TITLE, DOC_URL, chunk_hash_sql, doc_url, documents, embed_sql, norm_sql, plain_sql,
-    quality_sql, query, strip_sql, table, uuid5_sql)
+    quality_sql, query, strip_sql, table, texts, uuid5_sql)
 from askorpus.functions import text as tx
 from askorpus.functions import urls
 from askorpus.operators.chunking import explode_chunks, line_splitter, recursive_splitter
@@ -56,7 +56,7 @@ SELECT doc_id, {quality_sql('text')} AS ok, length({norm_sql('text')}) AS n_char
        upper(substr(p, 1, 1)) || lower(substr(p, 2)) AS pretty
 FROM (SELECT *, trim(replace(source || '-' || lang || '-TEXT', '-', ' ')) p FROM documents)""")
 def quality_filter(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     slug = F.concat_ws("-", "source", "lang", F.lit("TEXT"))
     return d.select("doc_id", tx.quality_ok(F.col("text")).alias("ok"),
                     F.length(tx.normalise(F.col("text"))).cast("bigint").alias("n_chars_squeezed"),
@@ -76,7 +76,7 @@ SELECT page_id, {quality_sql('md')} AS ok, length({norm_sql(plain_sql('md'))}) A
        length({norm_sql('md')}) AS all_chars
 FROM (SELECT page_id, {_MD} AS md FROM pages)""")
 def markdown_quality(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("page_id", _markdown(F.col("html")).alias("md"))
+    p = texts(spark, sf_dir, "pages").select("page_id", _markdown(F.col("html")).alias("md"))
     md = F.col("md")
     return p.select(
         "page_id", tx.quality_ok(md).alias("ok"),
@@ -262,7 +262,7 @@ SELECT k AS doc_id, round(list_sum(list_transform(vec, lambda x, i: x * i)), 4)
        len(list_filter(vec, lambda x: x <> 0)) AS n_nonzero
 FROM e""")
 def embed_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(
+    d = texts(spark, sf_dir, "documents").select(
         "doc_id", HashingEmbedder().column(F.col("text")).alias("v"))
     weighted = F.aggregate(
         F.transform("v", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)

@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 # The characters Python's str.strip() and \s treat as whitespace,
 # which neither Java's \s nor SQL trim covers.
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+# The same as a character class. Low characters are listed one by one, which
+# Java turns into a bit set; the high ones sit behind one range check, so that
+# ordinary letters are rejected in two steps.
 WS = (
-    r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    r"[\t\n\x{0b}\f\r\x{1c}\x{1d}\x{1e}\x{1f} \x{85}\x{a0}"
+    r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]]"
 )
 
 # Markdown patterns and the minimum useful lengths.
@@ -23,7 +32,7 @@ TITLE_MAX_CHARS = 80
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def squeeze(c: Column) -> Column:

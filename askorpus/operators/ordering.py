@@ -13,13 +13,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
 
     An aggregate rather than a row_number window: the map side keeps one row
     per key, so a key holding a third of the input still shuffles only one row
-    per task.
+    per task. Equal positions are settled by the other columns, so repeating a
+    lost task gives the same row.
     """
-    rest = [c for c in df.columns if c not in keys]
-    if not rest:
-        return df.distinct()
-    picked = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    rest = [*order, *(c for c in df.columns if c not in keys and c not in order)]
+    picked = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row"))
     return picked.select(
         *[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from askorpus.functions import text as tx
 from askorpus.operators import newspage as np_
 from askorpus.operators.ordering import first_per_key
+from askorpus.operators.partitioning import spread
 from askorpus.schemas import EXTRACT, T
 from askorpus.sources.staging import staged
 from askorpus.sources.store import Change, Store, Table
@@ -32,7 +33,7 @@ def process_pages(fetched: DataFrame, news_sources: Sequence[str], news_site: st
     """
     may_be_news = F.col("source").isin(list(news_sources)) if news_sources else F.lit(False)
     news_html = F.when(may_be_news, F.col("html"))
-    read = fetched.withColumn("page", np_.read_page(news_html)).withColumn(
+    read = spread(fetched).withColumn("page", np_.read_page(news_html)).withColumn(
         "doc", F.from_json("extract", _EXTRACT,
                            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     item = read.withColumn("news", np_.news_item(F.col("page"), F.col("url"))).withColumn(

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from askorpus.functions import text as tx
 from askorpus.functions import urls
 from askorpus.operators.chunking import Splitter, explode_chunks
+from askorpus.operators.partitioning import spread
 from askorpus.providers import Embedder
 from askorpus.schemas import CHUNK, DOC_STATE
 from askorpus.sources.staging import staged
@@ -59,8 +60,8 @@ def dry_run(raw: DataFrame, stored: DataFrame) -> DataFrame:
 def candidates(docs: DataFrame, splitter: Splitter) -> DataFrame:
     """Chunks worth keeping, before duplicates are removed."""
     pieces = explode_chunks(
-        docs.select("url", urls.slug(F.col("url")).alias("slug"), "title", "source",
-                    "content_hash", "text"), splitter)
+        spread(docs.select("url", urls.slug(F.col("url")).alias("slug"), "title", "source",
+                           "content_hash", "text")), splitter)
     return (pieces.filter(tx.quality_ok(F.col("content")))
             .withColumn("chunk_hash", tx.chunk_hash(F.col("content"))))
 

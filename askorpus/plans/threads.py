@@ -149,16 +149,17 @@ def plan_append(batch: DataFrame, threads: DataFrame, messages: DataFrame,
     """
     valid = F.col("role").isin(*sc.MESSAGE_ROLES) & F.col("content").isNotNull()
     good = batch.filter(F.coalesce(valid, F.lit(False)))
-    fresh = (first_per_key(good, ["id"], ["seq"]).drop("seq")
-             .join(messages.select("id"), "id", "left_anti"))
+    # both are used several times below, and decided once
+    fresh = staged(first_per_key(good, ["id"], ["seq"]).drop("seq")
+                   .join(messages.select("id"), "id", "left_anti"), "append-fresh")
     named = good.groupBy(F.col("conversation_id").alias("id")).agg(
         F.min("created_at").alias("first_at"))
     bumped = fresh.groupBy(F.col("conversation_id").alias("id")).agg(
         F.max("created_at").alias("last_at"))
     old = threads.select("id", F.lit(True).alias("_old"), "title", "archived",
                          F.col("created_at").alias("_created"), F.col("updated_at").alias("_updated"))
-    state = named.join(bumped, "id", "left").join(old, "id", "left").filter(
-        F.col("_old").isNull() | F.col("last_at").isNotNull())
+    state = staged(named.join(bumped, "id", "left").join(old, "id", "left").filter(
+        F.col("_old").isNull() | F.col("last_at").isNotNull()), "append-threads")
     after = state.select(
         "id", F.coalesce("title", F.lit(default_title)).alias("title"),
         F.coalesce("archived", F.lit(False)).alias("archived"),

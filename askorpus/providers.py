@@ -95,10 +95,8 @@ class RuleRouter:
         words = F.size(F.split(tx.normalise(question), " "))
 
         def starts_word(items):
-            found = F.lit(False)
-            for item in items:
-                found = found | F.rlike(lowered, F.lit(rf"(?U)\W\Q{item}\E"))
-            return found
+            any_item = "|".join(rf"\Q{item}\E" for item in items)
+            return F.rlike(lowered, F.lit(rf"[^\p{{L}}\p{{N}}_](?:{any_item})"))
 
         return (F.when(starts_word(self.talk), F.lit("direct"))
                 .when(starts_word(self.follow_up) & (F.size(history) > 0), F.lit("direct"))

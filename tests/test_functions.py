@@ -39,8 +39,10 @@ def test_whitespace_rules_equal_python(spark):
 def test_whitespace_class_covers_the_plane(spark):
     chars = [chr(c) for c in range(1, 0x10000) if not 0xD800 <= c <= 0xDFFF]
     df = spark.createDataFrame([(c,) for c in chars], "v string")
-    spaces = {r.v for r in df.filter(F.length(tx.strip(F.col("v"))) == 0).collect()}
-    assert spaces == {c for c in chars if c.isspace()}
+    want = {c for c in chars if c.isspace()}
+    assert {r.v for r in df.filter(F.length(tx.strip(F.col("v"))) == 0).collect()} == want
+    squeezed = tx.squeeze(F.concat(F.lit("a"), "v", "v", F.lit("b")))
+    assert {r.v for r in df.filter(squeezed == "a b").collect()} == want
 
 
 def test_hashes(spark):
