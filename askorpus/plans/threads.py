@@ -102,6 +102,11 @@ def rehydrated_sources(messages: DataFrame) -> DataFrame:
         (F.col("role") == "assistant") & (F.size("sources") > 0)).select("id", "sources")
 
 
+def latest_sources(entries: DataFrame) -> DataFrame:
+    """(id, sources) from (id, sources, seq): the last write for a message counts."""
+    return entries.groupBy("id").agg(F.max_by("sources", "seq").alias("sources"))
+
+
 def wire_history(messages: DataFrame) -> DataFrame:
     """Messages a client sends along: user or assistant, with text."""
     return messages.filter(

@@ -7,6 +7,7 @@ A provider hands over columns or frames, so a networked one can be a pandas UDF
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askorpus.functions import rules as rl
+from askorpus.config import Settings
 from askorpus.functions import text as tx
 
 
@@ -39,6 +40,73 @@ class ChatModel(Protocol):
         """
 
 
+class Fetcher(Protocol):
+    def fetch(self, frontier: DataFrame) -> DataFrame:
+        """(url, source, html, extract, error) for the URLs of a frontier."""
+
+
+@dataclass(frozen=True)
+class ModelCall:
+    """How a chat or router model is to be called."""
+
+    host: str
+    model: str
+    temperature: float
+    context_tokens: int
+    reasoning: bool = False
+
+
+# Context sizes of the two kinds of call.
+CHAT_CONTEXT_TOKENS = 8192
+ROUTER_CONTEXT_TOKENS = 2048
+
+
+def chat_call(settings: Settings, temperature: float | None = None) -> ModelCall:
+    return ModelCall(settings.ollama_host, settings.llm_model,
+                     settings.temperature if temperature is None else temperature,
+                     CHAT_CONTEXT_TOKENS)
+
+
+def router_call(settings: Settings) -> ModelCall:
+    return ModelCall(settings.ollama_host, settings.router_model, 0.0, ROUTER_CONTEXT_TOKENS)
+
+
+@dataclass(frozen=True)
+class PageTable:
+    """Pages that were fetched beforehand: (url, html, extract, error), one row per URL."""
+
+    pages: DataFrame
+
+    def fetch(self, frontier: DataFrame) -> DataFrame:
+        return frontier.select("url", "source").join(
+            self.pages.select("url", "html", "extract", "error"), "url", "left")
+
+
+@dataclass(frozen=True)
+class FunctionFetcher:
+    """Calls ``one(url, source) -> (html, extract, error)`` for every URL, in as
+    many tasks at a time as ``concurrency`` says. What it raises becomes the error."""
+
+    one: Callable[[str, str], tuple[str | None, str | None, str | None]]
+    concurrency: int = 8
+
+    def fetch(self, frontier: DataFrame) -> DataFrame:
+        one = self.one
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for url, source in zip(batch["url"], batch["source"]):
+                    try:
+                        rows.append((url, source, *one(url, source)))
+                    except Exception as problem:
+                        rows.append((url, source, None, None, f"{type(problem).__name__}: {problem}"))
+                yield pd.DataFrame(rows, columns=["url", "source", "html", "extract", "error"])
+
+        return frontier.select("url", "source").repartition(self.concurrency).mapInPandas(
+            run, "url string, source string, html string, extract string, error string")
+
+
 @dataclass(frozen=True)
 class HashingEmbedder:
     """Signed feature hashing of words, scaled to length one."""
