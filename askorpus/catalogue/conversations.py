@@ -12,6 +12,7 @@ from askorpus.functions import text as tx
 from askorpus.functions import values as vl
 from askorpus.operators.ordering import last_n_per_key
 from askorpus.plans import threads as th
+from askorpus.plans import turns as tn
 from askorpus.sources import ndjson
 from askorpus.sources.staging import shared_dir
 from askorpus.streaming import history as sh
@@ -191,14 +192,14 @@ def _patches(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.select(
         thread_id().alias("id"), F.when(F.col("role") == "user", F.col("text")).alias("title"),
-        F.when(F.col("role") == "assistant", F.length("text") % 2 == 0).alias("archived"),
+        F.when(F.col("role") == "assistant", F.contains("text", F.lit(","))).alias("archived"),
         F.col("turn").alias("seq"))
 
 
 @query(f"""
 SELECT {_TID} AS id,
   coalesce(arg_max(text, turn) FILTER (WHERE role = 'user' AND length(text) BETWEEN 1 AND 200), '{_TITLE}') AS title,
-  coalesce(arg_max(length(text) % 2 = 0, turn) FILTER (WHERE role = 'assistant'), bool_or(role = 'system')) AS archived
+  coalesce(arg_max(contains(text, ','), turn) FILTER (WHERE role = 'assistant'), bool_or(role = 'system')) AS archived
 FROM conversations GROUP BY conv_id
 HAVING count(*) FILTER (WHERE role = 'assistant' OR (role = 'user' AND length(text) BETWEEN 1 AND 200)) > 0""")
 def patch_threads(spark, sf_dir):
@@ -238,6 +239,44 @@ def sources_json(spark, sf_dir):
     return back.select("id", "s.url", "s.title", F.round("s.score", 6).alias("score"))
 
 
+@query(f"""
+SELECT {_MID} AS id, 'https://example.test/' || turn AS url FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT {_MID}, 'https://example.test/first' FROM conversations WHERE role = 'user'""")
+def sources_map(spark, sf_dir):
+    """Sources written per message, assistants twice: the later write counts."""
+    early = table(spark, sf_dir, "conversations").filter(F.col("role").isin(*sc.MESSAGE_ROLES)).select(
+        message_id().alias("id"), vl.one_source(
+            F.lit("https://example.test/first"), F.lit(None).cast("string"), F.lit(0.5)).alias("sources"),
+        F.lit(0).alias("seq"))
+    late = th.rehydrated_sources(_messages(spark, sf_dir)).withColumn("seq", F.lit(1))
+    latest = th.latest_sources(early.unionByName(late))
+    return latest.select("id", F.col("sources")[0]["url"].alias("url"))
+
+
+@query(r"""
+SELECT conv_id || '.' || turn AS turn_id, text, CASE WHEN role = 'assistant' THEN turn END AS cited,
+       CASE WHEN role = 'system' THEN 'Ups (' || turn || ')' END AS problem
+FROM conversations""")
+def client_view(spark, sf_dir):
+    """Every message as an event stream: sources, a token per word, an end."""
+    c = table(spark, sf_dir, "conversations").withColumn("turn_id", F.concat_ws(".", "conv_id", "turn"))
+    words = c.select("turn_id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(\s*\S+\s*)"), F.lit(1)))
+                     .alias("seq", "data")).select(
+        "turn_id", F.lit(1).alias("part"), "seq", F.lit("token").alias("event"), "data")
+    cited = vl.one_source(F.col("turn").cast("string"), F.lit(None).cast("string"), F.lit(1.0))
+    sources = c.filter(F.col("role") == "assistant").select(
+        "turn_id", F.lit(0).alias("part"), F.lit(0).alias("seq"), F.lit("sources").alias("event"),
+        vl.sources_payload(cited).alias("data"))
+    failed = F.col("role") == "system"
+    end = c.select("turn_id", F.lit(2).alias("part"), F.lit(0).alias("seq"),
+                   F.when(failed, "error").otherwise("done").alias("event"),
+                   F.when(failed, F.to_json(F.struct(
+                       F.lit("Ups").alias("error"), F.col("turn").cast("string").alias("detail"))))
+                   .otherwise("ok").alias("data"))
+    seen = tn.client_view(words.unionAll(sources).unionAll(end))
+    return seen.select("turn_id", "text", F.col("sources")[0]["url"].cast("bigint").alias("cited"), "problem")
+
+
 @query(r"""
 SELECT conv_id, turn, role IN ('user', 'assistant') AND text <> '' AS sent,
        CASE WHEN role = 'user' THEN text || text ELSE text END AS flat

@@ -168,16 +168,16 @@ _NEWS = "https://news.example.test/biblioteca-cientifica/noticias-actualidad/"
 def _pages_of_docs(spark, sf_dir):
     """English documents as pages of the news site, the others as extractor output.
 
-    By source: src1x pages are detail pages, src2..9 of even length listings, and
-    the rest login pages. Toxic documents failed to fetch.
+    By source: src1x pages are detail pages; of the others those with a line break
+    are listings and the rest login pages. Toxic documents failed to fetch.
     """
     d = documents(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     ident = F.col("doc_id").cast("string")
     title = F.concat(F.lit("T "), ident)
     long_source = F.length("source") == 5
-    even = F.length("text") % 2 == 0
+    broken = F.contains("text", F.lit("\n"))
     og = (F.when(long_source, F.concat(F.lit(_NEWS), F.col("lang"), F.lit("/"), ident))
-          .when(even, F.concat(F.lit(_NEWS), F.col("lang"), F.lit("/")))
+          .when(broken, F.concat(F.lit(_NEWS), F.col("lang"), F.lit("/")))
           .otherwise(F.lit("https://news.example.test/Account/Login")))
     kicker = F.when(F.col("quality") == 1, F.lit(" Salud\n oral ")).otherwise(F.lit(""))
     html = _news_html(F.col("text"), title, F.lit("el 05/11/2024."), og, kicker)
@@ -194,11 +194,11 @@ def _pages_of_docs(spark, sf_dir):
 
 _FETCHED = f"""
 p AS (SELECT doc_id, {DOC_URL} AS asked, lang, text, {DOC_TITLE} AS title, quality, toxic,
-        lang = 'en' AS english, length(source) = 5 AS detail, length(text) % 2 = 0 AS even
+        lang = 'en' AS english, length(source) = 5 AS detail, contains(text, chr(10)) AS broken
       FROM documents LEFT JOIN labels USING (doc_id)),
 n AS (SELECT *, {norm_sql('text')} AS summary, {strip_sql('text')} AS markdown,
         english AND detail AND length({norm_sql('text')}) >= 40 AS is_news,
-        english AND NOT detail AND NOT even AS walled FROM p),
+        english AND NOT detail AND NOT broken AS walled FROM p),
 f AS (SELECT *, CASE WHEN is_news THEN NULL WHEN walled THEN 'login wall'
         WHEN toxic = 1 THEN 'timeout>40s'
         WHEN length(markdown) < 50 THEN 'empty content (len=' || length(markdown) || ')'
@@ -274,7 +274,7 @@ def news_items(spark, sf_dir):
 
 
 @query(r"""
-SELECT page_id, regexp_replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1), '&amp;', '&', 'g') AS title
+SELECT page_id, regexp_replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1), '&amp;?', '&', 'g') AS title
 FROM pages""")
 def page_titles(spark, sf_dir):
     """Heading inside the article of every page, read by the page parser."""

@@ -258,15 +258,16 @@ def ingest_changed_run(spark, sf_dir):
 
 @query(f"""
 WITH {embed_sql('e', 'documents', 'doc_id', 'text')}
-SELECT k AS doc_id, round(list_sum(list_transform(vec, lambda x, i: x * i)), 4) AS weighted,
-       len(list_filter(vec, lambda x: x <> 0)) AS n_nonzero
-FROM e""")
+SELECT k AS doc_id, CASE WHEN w = 0 THEN 0 ELSE w END AS weighted, n_nonzero
+FROM (SELECT k, round(list_sum(list_transform(vec, lambda x, i: x * i)), 4) AS w,
+      len(list_filter(vec, lambda x: x <> 0)) AS n_nonzero FROM e)""")
 def embed_documents(spark, sf_dir):
     d = texts(spark, sf_dir, "documents").select(
         "doc_id", HashingEmbedder().column(F.col("text")).alias("v"))
     weighted = F.aggregate(
         F.transform("v", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
-    return d.select("doc_id", F.round(weighted, 4).alias("weighted"),
+    rounded = F.round(weighted, 4)  # -0.0 and 0.0 are shown alike
+    return d.select("doc_id", F.when(rounded == 0, 0.0).otherwise(rounded).alias("weighted"),
                     F.size(F.filter("v", lambda x: x != 0)).cast("bigint").alias("n_nonzero"))
 
 

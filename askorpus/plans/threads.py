@@ -119,7 +119,7 @@ def wire_history(messages: DataFrame) -> DataFrame:
 def title_requests(messages: DataFrame, order: str = "created_at") -> DataFrame:
     """(conversation_id, prompt) from the first non-blank messages of each thread."""
     spoken = messages.filter(~tx.is_blank(F.col("content")))
-    first = top_n_per_key(spoken, ["conversation_id"], [F.col(order)], TITLE_MESSAGES)
+    first = top_n_per_key(spoken, ["conversation_id"], [F.col(order), F.col("id")], TITLE_MESSAGES)
     line = F.concat(F.upper("role"), F.lit(": "), F.substring("content", 1, TITLE_MESSAGE_CHARS))
     lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
     return first.groupBy("conversation_id").agg(F.concat(

@@ -7,26 +7,42 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folder of each local application that has no checkpoint folder of its own.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only a local session without it gets a temporary folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="askorpus-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="askorpus-")
+    return _LOCAL[context.applicationId]
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}"
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write once, read back: later uses do not repeat the work or its Python stages.
 
     A Parquet table rather than a cached one, so it survives lost executors and
-    each later use reads only the columns it needs.
+    each later use reads only the columns it needs. Its size on disk also lets
+    the optimiser choose between broadcasting and shuffling it.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{name}-{uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete what this application staged. Call it when no frame built here is
+    needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -15,6 +15,8 @@ def spark():
 
     session = local_session("4", "6g")
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    # any join without an equality fails instead of becoming a product
+    session.conf.set("spark.sql.crossJoin.enabled", "false")
     yield session
 
 

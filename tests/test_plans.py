@@ -1,0 +1,114 @@
+"""Shapes the plans must keep to hold up on large and skewed tables."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from askorpus.operators.ordering import first_per_key, last_n_per_key
+from askorpus.operators.packing import pack
+from askorpus.operators.partitioning import spread
+from askorpus.operators.topk import nearest_batch, nearest_one
+from askorpus.plans import ingest as ing
+from askorpus.plans import threads as th
+from askorpus.sources.store import Store
+
+TABLES = {"threads": th.TABLES["threads"], "messages": th.TABLES["messages"]}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_no_products(spark, sf_dir, name):
+    text = plan(entry.queries()[name](spark, sf_dir))
+    assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
+    assert "BatchEvalPython" not in text  # row-at-a-time Python
+
+
+@pytest.mark.parametrize("name", ["history_window", "title_prompts", "frontier_limit", "context_pack",
+                                  "retry_frontier", "vector_topk_batch"])
+def test_group_limit_before_the_shuffle(spark, sf_dir, name):
+    text = plan(entry.queries()[name](spark, sf_dir))
+    assert re.search(r"Exchange hashpartitioning.*\n.*WindowGroupLimit.*Partial", text)
+
+
+@pytest.mark.parametrize("name", ["normalised_dedup", "frontier", "newest_fetch", "page_stats"])
+def test_combined_before_the_shuffle(spark, sf_dir, name):
+    text = plan(entry.queries()[name](spark, sf_dir))
+    for part in re.findall(r"Exchange hashpartitioning.*\n.*", text):
+        assert "partial" in part or "Aggregate(key" in part, part
+
+
+def test_pages_of_threads_are_a_top_k(spark, sf_dir):
+    assert "TakeOrderedAndProject(limit=31" in plan(entry.queries()["thread_page"](spark, sf_dir))
+
+
+def test_one_vector_needs_no_shuffle(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    text = plan(nearest_one(e, [0.0] * 64, 5, "vec_id", "embedding"))
+    assert "TakeOrderedAndProject(limit=5" in text and "Exchange" not in text
+    assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in text
+
+
+def test_search_reads_ids_and_vectors_only(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    queries = e.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    text = plan(nearest_batch(e, queries, 5, "vec_id", "embedding"))
+    assert "label" not in text and "Coalesce" in text
+
+
+def test_thread_lookup_reaches_the_files(spark, tmp_path):
+    store = th.ThreadStore(Store(spark, str(tmp_path / "t"), TABLES))
+    from test_threads import BATCH, msg
+
+    store.append(spark.createDataFrame([msg("t", "x")], BATCH), "b")
+    text = plan(th.list_messages(store.messages(), "t"))
+    assert "EqualTo(conversation_id,t)" in text
+    # nothing has been replaced, so reading is a plain scan
+    assert "Join" not in text and "Aggregate" not in text
+
+
+def test_deciding_what_changed_reads_no_text(spark, tmp_path):
+    path = str(tmp_path / "raw")
+    from test_ingest import raw
+
+    raw(spark, {"u": "x"}).write.parquet(path)
+    docs = spark.read.parquet(path)
+    text = plan(ing.classify(docs, docs.select("url", "content_hash")))
+    assert "text" not in "".join(re.findall(r"ReadSchema: struct<[^>]*>", text))
+
+
+def test_hot_keys_are_cut_before_the_shuffle(spark):
+    """A key with most of the rows sends only a few of them per task."""
+    rows = spark.range(0, 40_000, numPartitions=4).select(
+        F.when(F.col("id") % 3 < 2, F.lit(-1)).otherwise(F.col("id")).alias("k"), F.col("id").alias("o"))
+
+    def shuffled(df):
+        df.collect()
+        tree = df._jdf.queryExecution().executedPlan().finalPhysicalPlan()
+        stage, records = [tree], 0
+        while stage:
+            node = stage.pop()
+            if "ShuffleQueryStage" in node.nodeName():
+                records += node.plan().metrics().apply("shuffleRecordsWritten").value()
+                stage.append(node.plan())
+            children = node.children()
+            stage.extend(children.apply(i) for i in range(children.size()))
+        return records
+
+    hot = 4  # tasks
+    cold = rows.filter("k >= 0").count()
+    assert shuffled(first_per_key(rows, ["k"], ["o"])) <= cold + hot
+    assert shuffled(last_n_per_key(rows, ["k"], "o", 6)) <= cold + 6 * hot
+    blocks = rows.withColumn("block", F.lit("x" * 20))
+    assert shuffled(pack(blocks, ["k"], [F.col("o")], 100)) <= cold + 10 * hot
+
+
+def test_spread_leaves_large_inputs_alone(spark, sf_dir, monkeypatch):
+    small = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert "RoundRobin" in plan(spread(small))
+    monkeypatch.setattr("askorpus.operators.partitioning.SMALL_BYTES_PER_CORE", 10)
+    assert spread(small) is small
