@@ -253,6 +253,27 @@ def sources_map(spark, sf_dir):
     return latest.select("id", F.col("sources")[0]["url"].alias("url"))
 
 
+@query("""
+WITH s AS (SELECT conv_id, turn, text, CASE role WHEN 'user' THEN 'updates' ELSE 'messages' END AS mode,
+  CASE WHEN role = 'assistant' AND turn > 1 THEN 'generate' WHEN role = 'assistant' THEN 'classify'
+       WHEN turn > 2 THEN 'retrieve' ELSE 'direct' END AS step,
+  contains(text, chr(10)) AS whole FROM conversations)
+SELECT conv_id, turn, CASE mode WHEN 'updates' THEN 'sources' ELSE 'token' END AS event, text AS data FROM s
+WHERE (mode = 'updates' AND step = 'retrieve') OR (mode = 'messages' AND step = 'generate' AND NOT whole)""")
+def event_filter(spark, sf_dir):
+    """Messages as steps of turns, of which a client hears some."""
+    role, turn = F.col("role"), F.col("turn")
+    steps = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("turn_id"), turn.alias("seq"),
+        F.when(role == "user", "updates").otherwise("messages").alias("mode"),
+        F.when((role == "assistant") & (turn > 1), "generate").when(role == "assistant", "classify")
+        .when(turn > 2, "retrieve").otherwise("direct").alias("step"),
+        F.when(F.contains("text", F.lit("\n")), "message").otherwise("chunk").alias("kind"),
+        F.col("text").alias("data"))
+    return tn.emitted(steps).select(
+        F.col("turn_id").alias("conv_id"), F.col("seq").alias("turn"), "event", "data")
+
+
 @query(r"""
 SELECT conv_id || '.' || turn AS turn_id, text, CASE WHEN role = 'assistant' THEN turn END AS cited,
        CASE WHEN role = 'system' THEN 'Ups (' || turn || ')' END AS problem

@@ -274,7 +274,7 @@ def news_items(spark, sf_dir):
 
 
 @query(r"""
-SELECT page_id, regexp_replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1), '&amp;?', '&', 'g') AS title
+SELECT page_id, regexp_replace(replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1), '&quot;', '"'), '&amp;?', '&', 'g') AS title
 FROM pages""")
 def page_titles(spark, sf_dir):
     """Heading inside the article of every page, read by the page parser."""

@@ -15,6 +15,7 @@ from askorpus.functions import urls
 from askorpus.functions import values as vl
 from askorpus.operators.ordering import first_per_key, top_n_per_key
 from askorpus.plans.turns import answers
+from askorpus.providers import ChatModel
 from askorpus.sources.staging import staged
 from askorpus.sources.store import Change, Store, Table
 
@@ -278,12 +279,17 @@ class ThreadStore:
         self.store.commit({"threads": Change(replaced=gone),
                            "messages": Change(replaced=theirs.select("id"))})
 
-    def title(self, chat, now: Column | None = None) -> DataFrame:
-        """Title every thread that still has the default one: (id, title).
+    def title(self, chat: ChatModel, ids: DataFrame | None = None,
+              now: Column | None = None) -> DataFrame:
+        """Title threads: those of ``ids``, or all that still have the default title.
 
-        Threads without a non-blank message are left as they are.
+        Returns (id, title). Threads without a non-blank message are left as they are.
         """
-        untitled = self.threads().filter(F.col("title") == self.settings.default_title)
+        untitled = self.threads()
+        if ids is None:
+            untitled = untitled.filter(F.col("title") == self.settings.default_title)
+        else:
+            untitled = untitled.join(ids.select("id").distinct(), "id", "left_semi")
         mine = self.messages().join(
             untitled.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
         asked = title_requests(mine).select(

@@ -191,3 +191,6 @@ def test_titles(threads):
     assert threads.get("t")["title"] == "Un tema"
     assert threads.get("blank")["title"] == "Nueva conversación" and threads.get("named")["title"] == "Puesto"
     assert threads.title(ExtractiveChat()).count() == 0
+    # asked for by id, a thread is titled again
+    again = threads.title(ExtractiveChat(), threads.threads().filter("id = 'named'")).collect()
+    assert [r.id for r in again] == ["named"] and threads.get("named")["title"] == again[0].title != "Puesto"
