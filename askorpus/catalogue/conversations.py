@@ -27,8 +27,8 @@ _ISO = "strftime({c}, '%Y-%m-%dT%H:%M:%S.000Z')"
 
 def _created(conv, turn):
     """Two threads start in each minute; messages follow by the second."""
-    start = F.unix_timestamp(F.lit("2024-01-01 00:00:00"))
-    return F.timestamp_seconds(start + F.floor(conv / 2) * 60 + turn)
+    start = 1_704_067_200  # 2024-01-01 UTC
+    return F.timestamp_seconds(F.lit(start) + F.floor(conv / 2) * 60 + turn)
 
 
 def _messages(spark, sf_dir, roles=sc.MESSAGE_ROLES):
@@ -336,7 +336,8 @@ FROM events""")
 def time_text(spark, sf_dir):
     """Timestamps rendered as text and parsed back; clicks carry no usable text."""
     e = table(spark, sf_dir, "events")
-    shown = vl.render_time(F.col("ts"))
+    at = F.from_utc_timestamp("ts", F.current_timezone())  # the column is UTC without a zone
+    shown = vl.render_time(at)
     text = F.when(F.col("event_type") == "click", F.lit("")).otherwise(shown)
     return e.select("event_id", shown.alias("shown"),
                     F.unix_millis(vl.parse_time(text)).alias("back_ms"))

@@ -41,12 +41,20 @@ def one_source(url: Column, title: Column, score: Column) -> Column:
 
 
 def parse_time(text: Column) -> Column:
-    """ISO text with or without a zone suffix; empty or malformed gives null."""
-    return F.try_to_timestamp(F.nullif(F.trim(text), F.lit("")))
+    """ISO text with or without a zone suffix; empty or malformed gives null.
+
+    Text without a zone is UTC, as everything this module renders is.
+    """
+    trimmed = F.trim(text)
+    zoned = F.when(F.rlike(trimmed, F.lit(r"([zZ]|[+-]\d{2}:?\d{2})$")), trimmed).otherwise(
+        F.concat(trimmed, F.when(F.contains(trimmed, F.lit(":")), F.lit("Z"))
+                 .otherwise(F.lit("T00:00:00Z"))))
+    return F.try_to_timestamp(F.when(F.length(trimmed) > 0, zoned))
 
 
 def render_time(ts: Column) -> Column:
-    return F.date_format(ts, TIMESTAMP_FORMAT)
+    """UTC text, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), TIMESTAMP_FORMAT)
 
 
 def uuid_or_null(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askorpus.functions.urls import slug
+from askorpus.functions.values import parse_time
 from askorpus.operators.ordering import first_per_key
 from askorpus.schemas import RAW_DOC
 
@@ -60,5 +61,5 @@ def write_json_files(docs: DataFrame, path: str) -> None:
 def newest_per_url(docs: DataFrame) -> DataFrame:
     """One row per URL: a later fetch overwrites an earlier one."""
     return first_per_key(
-        docs.withColumn("_age", -F.unix_micros(F.try_to_timestamp("fetched_at"))),
+        docs.withColumn("_age", -F.unix_micros(parse_time(F.col("fetched_at")))),
         ["url"], ["_age"]).drop("_age")

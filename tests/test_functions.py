@@ -125,10 +125,16 @@ def test_sources_json(spark):
 
 def test_times(spark):
     texts = ["2024-01-02T03:04:05.678Z", "2024-01-02T03:04:05", "", None, "nope",
-             "2024-01-02T03:04:05+02:00"]
-    got = [r[0] for r in col_values(spark, texts, vl.render_time(vl.parse_time(F.col("v"))))]
-    assert got == ["2024-01-02T03:04:05.678Z", "2024-01-02T03:04:05.000Z", None, None, None,
-                   "2024-01-02T01:04:05.000Z"]
+             "2024-01-02T03:04:05+02:00", "2024-01-02", "2024-01-02 03:04:05.5"]
+    want = ["2024-01-02T03:04:05.678Z", "2024-01-02T03:04:05.000Z", None, None, None,
+            "2024-01-02T01:04:05.000Z", "2024-01-02T00:00:00.000Z", "2024-01-02T03:04:05.500Z"]
+    for zone in ("UTC", "America/Bogota", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            got = col_values(spark, texts, vl.render_time(vl.parse_time(F.col("v"))))
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        assert [r[0] for r in got] == want, zone
 
 
 def test_uuid_or_null(spark):
