@@ -1,4 +1,4 @@
-"""Spreading rows before costly per-row work."""
+"""Sizes: spreading small inputs, and cutting large ones to a batch of keys."""
 
 from __future__ import annotations
 
@@ -13,6 +13,16 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def narrow_to(large: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """Rows of ``large`` whose key occurs in ``batch``.
+
+    An outer or anti join cannot broadcast the side it keeps, so a small batch
+    joined to a large table would make the table shuffle. Cut to the batch's
+    keys first, the table is only scanned: a small key set is broadcast to it.
+    """
+    return large.join(batch.select(key).distinct(), key, "left_semi")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Repartition an input too small to give every core a row group of its own.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from askorpus.functions import text as tx
 from askorpus.operators import newspage as np_
 from askorpus.operators.ordering import first_per_key
-from askorpus.operators.partitioning import spread
+from askorpus.operators.partitioning import narrow_to, spread
 from askorpus.schemas import EXTRACT, T
 from askorpus.sources.staging import staged
 from askorpus.sources.store import Change, Store, Table
@@ -65,7 +65,7 @@ def fetch_results(processed: DataFrame, existing: DataFrame | None, force: bool)
     if existing is None or force:
         joined = processed.withColumn("same", F.lit(False))
     else:
-        old = existing.select("url", F.col("content_hash").alias("_old"))
+        old = narrow_to(existing.select("url", F.col("content_hash").alias("_old")), processed, "url")
         joined = processed.join(old, "url", "left").withColumn(
             "same", F.coalesce(F.col("_old") == F.col("content_hash"), F.lit(False))).drop("_old")
     failed = F.col("failure").isNotNull()
@@ -97,8 +97,8 @@ def crawl(store: Store, fetched: DataFrame, news_sources: Sequence[str], news_si
           fetched_at: str, force: bool = False) -> DataFrame:
     """Process a batch of fetched pages into the raw table; returns the results."""
     existing = store.read("raw") if store.last_run() else None
-    results = staged(
-        fetch_results(process_pages(fetched, news_sources, news_site), existing, force), "crawl")
+    processed = staged(process_pages(fetched, news_sources, news_site), "crawl-pages")
+    results = staged(fetch_results(processed, existing, force), "crawl")
     docs = staged(payloads(results, fetched_at), "crawl-docs")
     store.commit({"raw": Change(docs, docs.select("url"))})
     return report(results)

@@ -14,6 +14,7 @@ from askorpus.functions import text as tx
 from askorpus.functions import urls
 from askorpus.functions import values as vl
 from askorpus.operators.ordering import first_per_key, top_n_per_key
+from askorpus.operators.partitioning import narrow_to
 from askorpus.plans.turns import answers
 from askorpus.providers import ChatModel
 from askorpus.sources.staging import staged
@@ -157,13 +158,15 @@ def plan_append(batch: DataFrame, threads: DataFrame, messages: DataFrame,
     good = batch.filter(F.coalesce(valid, F.lit(False)))
     # both are used several times below, and decided once
     fresh = staged(first_per_key(good, ["id"], ["seq"]).drop("seq")
-                   .join(messages.select("id"), "id", "left_anti"), "append-fresh")
+                   .join(narrow_to(messages.select("id"), good, "id"), "id", "left_anti"),
+                   "append-fresh")
     named = good.groupBy(F.col("conversation_id").alias("id")).agg(
         F.min("created_at").alias("first_at"))
     bumped = fresh.groupBy(F.col("conversation_id").alias("id")).agg(
         F.max("created_at").alias("last_at"))
-    old = threads.select("id", F.lit(True).alias("_old"), "title", "archived",
-                         F.col("created_at").alias("_created"), F.col("updated_at").alias("_updated"))
+    old = narrow_to(threads, good.select(F.col("conversation_id").alias("id")), "id").select(
+        "id", F.lit(True).alias("_old"), "title", "archived",
+        F.col("created_at").alias("_created"), F.col("updated_at").alias("_updated"))
     state = staged(named.join(bumped, "id", "left").join(old, "id", "left").filter(
         F.col("_old").isNull() | F.col("last_at").isNotNull()), "append-threads")
     after = state.select(
@@ -191,7 +194,8 @@ def plan_patch(patches: DataFrame, threads: DataFrame, now: Column) -> tuple[Dat
     after = threads.join(merged, "id").select(
         "id", F.coalesce("_title", "title").alias("title"),
         F.coalesce("_archived", "archived").alias("archived"), "created_at", now.alias("updated_at"))
-    missing = merged.select("id").join(threads.select("id"), "id", "left_anti").select(
+    missing = merged.select("id").join(
+        narrow_to(threads.select("id"), merged, "id"), "id", "left_anti").select(
         "id", F.lit("not found").alias("problem"))
     return after, checked.filter(F.col("problem").isNotNull()).select("id", "problem").unionAll(missing)
 

@@ -52,7 +52,7 @@ def expand_sitemaps(roots: DataFrame, files: DataFrame, hosts: Mapping[str, str]
         read = staged(parse_sitemaps(files.join(level, "sitemap")), "sitemap-read")
         pages.append(read.select("source", "order", F.posexplode("pages").alias("p", "url")))
         broken.append(read.filter("broken").select("source"))
-        broken.append(level.join(files.select("sitemap"), "sitemap", "left_anti").select("source"))
+        broken.append(level.join(read.select("sitemap"), "sitemap", "left_anti").select("source"))
         level = (read.select("source", "order", F.posexplode("children").alias("p", "sitemap"))
                  .select("source", "sitemap", F.concat("order", F.array("p")).alias("order")))
         if level.isEmpty():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from askorpus.operators.ordering import first_per_key, last_n_per_key
 from askorpus.operators.packing import pack
-from askorpus.operators.partitioning import spread
+from askorpus.operators.partitioning import narrow_to, spread
 from askorpus.operators.topk import nearest_batch, nearest_one
 from askorpus.plans import ingest as ing
 from askorpus.plans import threads as th
@@ -107,6 +107,15 @@ def test_hot_keys_are_cut_before_the_shuffle(spark):
     assert shuffled(pack(blocks, ["k"], [F.col("o")], 100)) <= cold + 10 * hot
 
 
+def test_a_small_batch_does_not_shuffle_the_table(spark, tmp_path):
+    big, batch = str(tmp_path / "big"), str(tmp_path / "batch")
+    spark.range(1000).write.parquet(big)
+    spark.range(3).write.parquet(batch)
+    text = plan(narrow_to(spark.read.parquet(big), spark.read.parquet(batch), "id"))
+    large_side = text[text.index("LeftSemi"):text.index("BroadcastExchange")]
+    assert "Exchange" not in large_side and big in large_side
+
+
 def test_spread_leaves_large_inputs_alone(spark, sf_dir, monkeypatch):
     small = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert "RoundRobin" in plan(spread(small))
