@@ -117,25 +117,38 @@ class HashingEmbedder:
         dim = self.dim
 
         @F.pandas_udf("array<float>")
-        def embed(texts: pd.Series) -> pd.Series:
-            slots: dict[str, tuple[int, float]] = {}
-            return texts.map(lambda t: None if t is None else _hash_words(t.split(), dim, slots))
+        def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            slots = _Slots(dim)
+            for texts in batches:
+                yield texts.map(lambda t: None if t is None else _hash_words(t.split(), slots))
 
         return embed(F.lower(text))
 
 
-def word_slot(word: str, dim: int) -> tuple[int, float]:
-    number = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
-    return number % dim, 1.0 if number // dim % 2 == 0 else -1.0
+class _Slots(dict):
+    """word -> slot, with the slots for negative signs behind the others.
 
+    Words are remembered while a task runs; the memory is emptied when large.
+    """
 
-def _hash_words(words: list[str], dim: int, slots: dict) -> np.ndarray:
-    vector = np.zeros(dim)
-    for word in words:
-        slot = slots.get(word)
-        if slot is None:
-            slot = slots[word] = word_slot(word, dim)
-        vector[slot[0]] += slot[1]
+    LIMIT = 1_000_000
+
+    def __init__(self, dim: int) -> None:
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        number = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        slot = self[word] = number % (2 * self.dim)
+        return slot
+
+
+def _hash_words(words: list[str], slots: _Slots) -> np.ndarray:
+    where = np.fromiter(map(slots.__getitem__, words), dtype=np.int64, count=len(words))
+    counts = np.bincount(where, minlength=2 * slots.dim).astype(np.float64)
+    vector = counts[:slots.dim] - counts[slots.dim:]
     length = float(np.sqrt((vector ** 2).sum()))
     return (vector / length if length else vector).astype(np.float32)
 
