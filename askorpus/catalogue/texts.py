@@ -139,7 +139,8 @@ def _stored(spark, sf_dir):
 def _stored_chunks(spark, sf_dir):
     d = documents(spark, sf_dir).join(
         table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    return ing.candidates(d, line_splitter).select("url", "pos", "content_hash", "chunk_hash")
+    return ing.worth_keeping(ing.candidates(d, line_splitter)).select(
+        "url", "pos", "content_hash", "chunk_hash")
 
 
 @query(f"""
@@ -251,7 +252,7 @@ def ingest_changed_run(spark, sf_dir):
     """Second run with the real splitter: part unchanged, part changed, part new."""
     d = documents(spark, sf_dir)
     old = d.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
-    chunks = ing.candidates(old, recursive_splitter()).select("url", "chunk_hash")
+    chunks = ing.worth_keeping(ing.candidates(old, recursive_splitter())).select("url", "chunk_hash")
     run = ing.plan_ingest(d, _stored(spark, sf_dir), chunks, recursive_splitter())
     return ing.summarise(run.outcomes)
 

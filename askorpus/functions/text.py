@@ -21,6 +21,10 @@ WS = (
     r"[\x{1680}-\x{3000}&&[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]]"
 )
 
+# Whitespace that squeezing changes: a run, or one character that is no plain
+# space. The single spaces between words do not match, so they cost no rewrite.
+_UNEVEN = f"{WS}(?:{WS}+|(?<! ))"
+
 # Markdown patterns and the minimum useful lengths.
 MD_IMAGE = r"!\[[^\]]*\]\([^)]*\)"
 MD_LINK = r"\[[^\]]*\]\([^)]*\)"
@@ -37,7 +41,7 @@ def strip(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Collapse each whitespace run to one space."""
-    return F.regexp_replace(c, f"{WS}+", " ")
+    return F.regexp_replace(c, _UNEVEN, " ")
 
 
 def normalise(c: Column) -> Column:
@@ -56,7 +60,13 @@ def content_hash(text: Column) -> Column:
 
 def chunk_hash(chunk: Column) -> Column:
     """Hash that ignores case and whitespace differences."""
-    return F.sha2(squeeze(F.lower(strip(chunk))), 256)
+    return normalised_hash(normalise(chunk))
+
+
+def normalised_hash(normalised: Column) -> Column:
+    """The same from text whose whitespace is normalised already; lower-casing
+    neither makes nor removes whitespace, so the order of the two is free."""
+    return F.sha2(F.lower(normalised), 256)
 
 
 def without_markdown_links(c: Column) -> Column:
@@ -69,11 +79,16 @@ def without_markdown_links(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("](")), plain).otherwise(c)
 
 
-def quality_ok(chunk: Column) -> Column:
-    """Enough text, and enough of it left once links and images are gone."""
+def quality_ok(chunk: Column, normalised: Column | None = None) -> Column:
+    """Enough text, and enough of it left once links and images are gone.
+
+    Pass the normalised chunk if it is at hand; it serves where there are no links.
+    """
     long_enough = F.length(strip(chunk)) >= MIN_CHUNK_CHARS
-    substantial = F.length(normalise(without_markdown_links(chunk))) >= MIN_CHUNK_CHARS
-    return long_enough & substantial
+    plain = normalise(without_markdown_links(chunk))
+    if normalised is not None:
+        plain = F.when(F.contains(chunk, F.lit("](")), plain).otherwise(normalised)
+    return long_enough & (F.length(plain) >= MIN_CHUNK_CHARS)
 
 
 def prettify(slug: Column) -> Column:

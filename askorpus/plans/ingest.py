@@ -58,12 +58,23 @@ def dry_run(raw: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def candidates(docs: DataFrame, splitter: Splitter) -> DataFrame:
-    """Chunks worth keeping, before duplicates are removed."""
+    """Chunks with their hash, which is null where the chunk is not worth keeping.
+
+    Not filtered here: a filter would be pushed below the projection and the
+    text normalised twice. ``worth_keeping`` filters what has been written.
+    """
     pieces = explode_chunks(
         spread(docs.select("url", urls.slug(F.col("url")).alias("slug"), "title", "source",
                            "content_hash", "text")), splitter)
-    return (pieces.filter(tx.quality_ok(F.col("content")))
-            .withColumn("chunk_hash", tx.chunk_hash(F.col("content"))))
+    flat = F.col("_flat")
+    return (pieces.withColumn("_flat", tx.normalise(F.col("content")))
+            .withColumn("chunk_hash", F.when(
+                tx.quality_ok(F.col("content"), flat), tx.normalised_hash(flat)))
+            .drop("_flat"))
+
+
+def worth_keeping(found: DataFrame) -> DataFrame:
+    return found.filter(F.col("chunk_hash").isNotNull())
 
 
 def keep_first(found: DataFrame, known: DataFrame | None) -> DataFrame:
@@ -120,7 +131,7 @@ def plan_ingest(raw: DataFrame, stored: DataFrame | None, chunks: DataFrame | No
         if not compat:
             known = known.join(changed, "url", "left_anti")
 
-    found = staged(candidates(pending, splitter), "ingest-chunks")
+    found = worth_keeping(staged(candidates(pending, splitter), "ingest-chunks"))
     kept = staged(keep_first(found, known), "ingest-kept")
 
     counts = kept.groupBy("slug").agg(F.count("*").alias("n_chunks"))
