@@ -10,6 +10,7 @@ from askorpus.functions import urls
 from askorpus.operators import newspage
 from askorpus.plans import crawl as cr
 from askorpus.sources import failures, sitemaps
+from askorpus.sources.staging import staged
 
 # Configuration of an invented crawl over the pages table.
 HOSTS = {
@@ -212,7 +213,7 @@ r AS (SELECT *, failure IS NULL AND coalesce(quality, 0) = 1 AND NOT is_news AS
 
 
 def _processed(spark, sf_dir):
-    return cr.process_pages(_pages_of_docs(spark, sf_dir), ["portal"], "portal")
+    return staged(cr.process_pages(_pages_of_docs(spark, sf_dir), ["portal"], "portal"), "pages")
 
 
 def _existing(spark, sf_dir):
