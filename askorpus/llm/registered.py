@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "tokencount"]
+MODULES = ["decontaminate", "tokencount", "chat"]
 
 
 def queries():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from uuid import uuid4
 
 import pyarrow as pa
@@ -47,32 +48,31 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def with_running_total(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
-                       value: Column, name: str) -> DataFrame:
-    """Adds ``name``: the sum of ``value`` over the rows of the same keys that come earlier.
+def with_running_totals(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
+                        values: dict[str, Column]) -> DataFrame:
+    """Adds, for each of ``values``, its sum over the rows of the same keys that come earlier.
 
     ``bucket`` must not decrease along ``order``. Each (keys, bucket) is summed on its own
     and only the bucket sums are accumulated per key, so a key holding a third of all
-    rows is spread over as many tasks as it has buckets.
+    rows is spread over as many tasks as it has buckets. Null keys are a key of their own.
     """
-    spark_bucket, base, inner = "__bucket", "__base", "__inner"
-    rows = df.withColumn(spark_bucket, bucket).withColumn("__value", value.cast("long"))
-    sums = rows.groupBy(*keys, spark_bucket).agg(F.sum("__value").alias("__sum"))
-    before = Window.partitionBy(*keys).orderBy(spark_bucket).rowsBetween(
+    inputs = {name: f"__value_{name}" for name in values}
+    rows = df.withColumn("__bucket", bucket).withColumns(
+        {inputs[name]: value.cast("long") for name, value in values.items()})
+    sums = rows.groupBy(*keys, "__bucket").agg(*[F.sum(c).alias(c) for c in inputs.values()])
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*keys, "__bucket", *[
+        F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in inputs.values()])
+    within = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1)
-    bases = sums.select(*keys, spark_bucket,
-                        F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias(base))
-    within = Window.partitionBy(*keys, spark_bucket).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    rows = rows.withColumn(inner, F.coalesce(F.sum("__value").over(within), F.lit(0)))
+    rows = rows.withColumns({f"__in{c}": F.coalesce(F.sum(c).over(within), F.lit(0))
+                             for c in inputs.values()})
     left, right = rows.alias("r"), bases.alias("b")
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, spark_bucket]]
-    condition = same[0]
-    for part in same[1:]:
-        condition = condition & part
-    kept = [F.col(f"r.{c}") for c in df.columns]
-    return left.join(right, condition).select(
-        *kept, (F.col(f"b.{base}") + F.col(f"r.{inner}")).alias(name))
+    same = reduce(Column.__and__, [F.col(f"r.{k}").eqNullSafe(F.col(f"b.{k}"))
+                                   for k in [*keys, "__bucket"]])
+    return left.join(right, same).select(
+        *[F.col(f"r.{c}") for c in df.columns if c not in values],
+        *[(F.col(f"b.{c}") + F.col(f"r.__in{c}")).alias(name) for name, c in inputs.items()])
 
 
 def with_columns_by_arrow(df: DataFrame, reads: list[str], ddl: str, make) -> DataFrame:

@@ -1,0 +1,56 @@
+"""Collapsed and rendered conversations against a plain restatement."""
+
+import random
+
+from askorpus.llm import chat
+from askorpus.llm.chat import format_chats
+
+DDL = "conv_id long, turn long, role string, text string"
+
+
+def brute(rows):
+    by = {}
+    for c, turn, role, text in set(rows):
+        if c is not None:
+            by.setdefault(c, set()).add((turn is not None, turn or 0, role or "", text or ""))
+    by = {c: sorted(t) for c, t in by.items()}
+    said = {c: tuple(x[2:] for x in t) for c, t in by.items()}
+    best = {}
+    for c in sorted(said):
+        best.setdefault(said[c], []).append(c)
+    return {ids[0]: (len(s), len(ids), "".join(f"<|{r}|>\n{t}\n<|end|>\n" for r, t in s)) for s, ids in best.items()
+            if not any(len(o) > len(s) and o[:len(s)] == s for o in best)}
+
+
+def got(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r["conv_id"], r["part"])):
+        had = out.get(r["conv_id"], (0, 0, ""))
+        out[r["conv_id"]] = (r["n_turns"], r["copies"], had[2] + r["text"])
+    return out
+
+
+def test_against_brute_force(spark, monkeypatch):
+    draw = random.Random(5)
+    rows = []
+    for c in range(60):
+        n = draw.randrange(1, 6)
+        rows += [(c, i, ("user", "assistant")[i % 2], draw.choice("ab")) for i in range(n)]
+    rows += [(100, i, "user", f"t{i}") for i in range(20)] + [(101, i, "user", f"t{i}") for i in range(9)]
+    rows += [(None, 0, "user", "a"), (102, None, None, None), (103, 0, "", ""), rows[0], rows[0],
+             (104, 0, "user", "x" * 100000)]
+    df = spark.createDataFrame(rows, DDL).selectExpr("*", "1 AS idx", "2 AS part", "'z' AS content")
+    assert got(format_chats(df)) == brute(rows)
+    monkeypatch.setattr(chat, "TURNS_A_ROW", 4)
+    assert got(format_chats(df)) == brute(rows)
+    assert format_chats(df).where("conv_id = 100").count() == 5
+
+
+def test_empty(spark):
+    assert format_chats(spark.createDataFrame([], DDL)).count() == 0
+
+
+def test_no_python_in_plan(spark, sf_dir):
+    df = chat.op10_chat_format(spark, sf_dir)
+    plan = df._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
