@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["decontaminate", "tokencount", "neardup", "chat"]
+MODULES = ["mixing", "sharding", "decontaminate", "tokencount", "neardup", "chat"]
 
 
 def queries():
