@@ -2,18 +2,23 @@ r"""Near-duplicates by circulant MinHash, banding and exact confirmation.
 
 Two permutations of 32-bit numbers give the whole signature: the first scatters a
 document's shingles, the second is shifted circularly by k for coordinate k, and each
-coordinate is the minimum (C-MinHash). Bands of coordinates give buckets. Within a bucket
-not all pairs are formed: a few pivots are compared with the other members, links become
-components, and only members still in different components go on, with eight times as
-many pivots in each round. So a bucket of n copies costs about n comparisons, and no pair
-that could join two components is left out. Every link is confirmed on the full sets.
+coordinate is the minimum (C-MinHash). Bands of coordinates give buckets.
+
+Within a bucket not all pairs are confirmed, and none that could join two components is
+left out. A first round over a few bands compares every member with one pivot of its
+bucket. From then on only buckets of several components are open, and only members
+outside a bucket's largest component are pivots: each first tries those of another
+component that its signature agrees with most, then a few more, and in the last round all.
+Links become components after every round. Signatures are compared inside tasks that hold
+the pivots and read the members, so pairs only exist as rows where they are worth
+confirming, and each in one band only. Every link is confirmed on the full sets.
 
 Equal sets are collapsed to one representative before anything else, so groups of exact
 copies never meet in a bucket.
 
 With ``BANDS`` bands of ``ROWS`` coordinates a pair with a similarity of 0.75 meets in no
-bucket with probability 2e-5, one of 0.8 with 1e-7. Before sets are fetched, pairs that
-agree in under half of the coordinates go: eight standard deviations below 0.75.
+bucket with probability 2e-5, one of 0.8 with 1e-7. A pair is worth confirming if its
+signatures agree in at most ``MARGIN`` fewer coordinates, 4.5 standard deviations.
 
 Defined cases: documents without words (null or empty texts) and documents without a
 doc_id are linked with nothing and kept; component_id is the doc_id itself. Rows with the
@@ -34,7 +39,11 @@ from askorpus.llm.shared import Scratch, table, with_columns_by_arrow
 WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 40, 5
-GROWTH = 8
+# How far below the similarity the share of agreeing coordinates may be: 4.5 deviations.
+MARGIN = 0.14
+# (bands, or None for all; one pivot a bucket; pairs for each pivot and component, or None for all)
+ROUNDS = ((4, True, None), (None, False, 1), (None, False, 8), (None, False, None))
+PIVOTS_HELD, MEMBERS_A_TASK = 2048, 1 << 16
 
 LOWER = bytes(i + 0x20 if 0x41 <= i <= 0x5A else i for i in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -136,13 +145,58 @@ def _similar(batches, percent: int):
         yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _alike(batches, least: float):
-    """Pairs whose signatures agree in ``least`` of the coordinates."""
+def _met(batches, least: float, best: int | None):
+    """Pairs (pivot, member) of a bucket worth confirming: of different components, agreeing
+    in ``least`` of the coordinates, and met in no earlier band. With ``best``, only so
+    many for each pivot and component, those that agree most.
+
+    Rows come by bucket part, its pivots first, so only those are held.
+    """
+    at, held, found = None, [], []
+
+    def chosen():
+        if best is None or not found:
+            return [(p, x) for p, _, _, x in found]
+        ranked = sorted(found, key=lambda f: (f[0], f[1], -f[2], f[3]))
+        out, before, n = [], None, 0
+        for p, c, _, x in ranked:
+            n = n + 1 if (p, c) == before else 1
+            before = (p, c)
+            if n <= best:
+                out.append((p, x))
+        return out
+
     for batch in batches:
-        a, b, left, right = batch.columns
-        keep = [np.mean(np.frombuffer(x.as_buffer(), np.uint8) == np.frombuffer(y.as_buffer(), np.uint8)) >= least
-                for x, y in zip(left, right)]
-        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        key, block, salt, role, ids, comp, out = (
+            batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "block", "salt", "role", "id", "comp", "out"))
+        bands = batch.column("bands").flatten().to_numpy().reshape(len(ids), -1)
+        sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
+        change = (np.diff(key) != 0) | (np.diff(block) != 0) | (np.diff(salt) != 0)
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(ids)]
+        done = []
+        for lo, hi in zip(edges, edges[1:]):
+            part = (key[lo], block[lo], salt[lo])
+            if part != at:
+                done += chosen()
+                at, held, found = part, [], []
+            split = lo + int(np.searchsorted(role[lo:hi], 1))
+            for k in range(lo, split):
+                held.append((int(ids[k]), comp[k], bands[k], sigs[k], int(np.flatnonzero(bands[k] == key[k])[0])))
+            if split == hi:
+                continue
+            own, own_comp, own_bands, own_sigs, own_out = (
+                v[split:hi] for v in (ids, comp, bands, sigs, out))
+            for p, c, p_bands, p_sig, band in held:
+                agree = (own_sigs == p_sig).mean(axis=1)
+                fits = (agree >= least) & (own_comp != c) & (own != p) & (~own_out | (own > p) | (best is not None))
+                for k in np.flatnonzero(fits):
+                    if int((own_bands[k] == p_bands).argmax()) == band:
+                        found.append((p, int(own_comp[k]), float(agree[k]), int(own[k])))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([min(d) for d in done], pa.int64()), pa.array([max(d) for d in done], pa.int64())], names=["a", "b"])
+    done = chosen()
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([min(d) for d in done], pa.int64()), pa.array([max(d) for d in done], pa.int64())], names=["a", "b"])
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
@@ -166,60 +220,71 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
         labels = scratch.put(nearer.join(over, "c").select(F.col("a").alias("id"), "comp"), f"{name}-{turn}")
 
 
-def confirmed_links(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    def with_both(pairs, table, column):
-        for side in ("a", "b"):
-            own = table.select(F.col("id").alias(side), F.col(column).alias(f"{column}_{side}"))
-            pairs = pairs.join(own, side)
-        return pairs.select("a", "b", f"{column}_a", f"{column}_b")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    for side in ("a", "b"):
+        own = sets.select(F.col("id").alias(side), F.col("shingles").alias(f"shingles_{side}"))
+        pairs = pairs.join(own, side)
+    return pairs.select("a", "b", "shingles_a", "shingles_b").mapInArrow(
+        partial(_similar, percent=percent), "a long, b long")
 
-    likely = with_both(pairs, sigs, "sig").mapInArrow(
-        partial(_alike, least=percent / 100 - 0.25), "a long, b long")
-    return with_both(likely, sets, "shingles").mapInArrow(partial(_similar, percent=percent), "a long, b long")
+
+def worth_confirming(rows: DataFrame, sigs: DataFrame, star: bool, best: int | None, percent: int) -> DataFrame:
+    """Pairs (a, b) from open buckets (key, id, comp, most, n, outside).
+
+    Pivots are the bucket's first member (``star``) or all outside its largest component.
+    They are dealt over blocks and members over salts, so a large bucket is many tasks.
+    """
+    place = F.xxhash64("id")
+    rows = rows.withColumns({
+        "blocks": F.ceil(F.when(F.lit(star), 1).otherwise(F.col("outside")) / PIVOTS_HELD).cast("int"),
+        "salts": F.ceil(F.col("n") / MEMBERS_A_TASK).cast("int")})
+    if star:
+        pivots = rows.groupBy("key").agg(F.min(F.struct(
+            place.alias("h"), "id", "comp", "most", "blocks", "salts")).alias("m")).select("key", "m.*")
+    else:
+        pivots = rows.where("comp <> most")
+    kept = ["key", "block", "salt", "role", "id", "comp", "out"]
+    out = F.lit(False) if star else F.col("comp") != F.col("most")
+    pivots = pivots.withColumns({"block": F.pmod(place, F.col("blocks")).cast("int"), "role": F.lit(0), "out": out}).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*kept)
+    members = rows.withColumns({"salt": F.pmod(place, F.col("salts")).cast("int"), "role": F.lit(1), "out": out}).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*kept)
+    part = ["key", "block", "salt"]
+    dealt = pivots.unionByName(members).join(sigs, "id").repartition(*part).sortWithinPartitions(*part, "role")
+    return dealt.mapInArrow(partial(_met, least=percent / 100 - MARGIN, best=best), "a long, b long").distinct()
 
 
 def link_buckets(scratch: Scratch, members: DataFrame, sigs: DataFrame, sets: DataFrame,
-                 percent: int) -> DataFrame:
-    """(id, comp) of the ids in buckets (key, id), joined by confirmed links within buckets."""
-    open_rows = members.withColumn("comp", F.col("id"))
-    state, pivots, turn = None, 1, 0
-    while True:
-        # members outside the bucket's largest component, in a fixed scattered order
-        sizes = open_rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+                 percent: int, rounds=None) -> DataFrame | None:
+    """(id, comp) of the ids in buckets (key, band, id), joined by confirmed links within buckets."""
+    state = None
+    for turn, (bands, star, best) in enumerate(rounds or ROUNDS):
+        rows = members.where(F.col("band") < bands) if bands else members
+        rows = rows.select("key", "id", F.col("id").alias("comp")) if state is None else rows.join(
+            state, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
         largest = sizes.groupBy("key").agg(
-            F.max(F.struct("n", F.negative("comp").alias("c"))).alias("m"), F.count(F.lit(1)).alias("comps"))
-        largest = largest.where("comps > 1").select("key", F.negative("m.c").alias("most"))
-        rows = scratch.put(open_rows.join(largest, "key"), f"open-{turn}")
+            F.max(F.struct("n", F.negative("comp").alias("c"))).alias("m"), F.sum("n").alias("n"),
+            F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        rows = scratch.put(rows.join(largest.select(
+            "key", F.negative("m.c").alias("most"), "n", (F.col("n") - F.col("m.n")).alias("outside")), "key"), f"open-{turn}")
         if rows.isEmpty():
-            break
-        ranked = rows.where("comp <> most").withColumn("place", F.row_number().over(
-            Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")))
-        chosen = scratch.put(ranked.where(F.col("place") <= pivots).select(
-            "key", F.col("id").alias("p"), F.col("comp").alias("pc")), f"pivots-{turn}")
-        pairs = rows.join(chosen, "key").where("comp <> pc").select(
-            F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        links = scratch.put(confirmed_links(pairs, sigs, sets, percent), f"links-{turn}")
-        # links between the components so far
-        of = None if state is None else state.select("id", "comp")
-        edges = links
-        if of is not None:
+            continue
+        pairs = scratch.put(worth_confirming(rows, sigs, star, best, percent), f"pairs-{turn}")
+        edges = scratch.put(confirmed(pairs, sets, percent), f"links-{turn}")
+        if state is not None:  # links between the components so far
             for side in ("a", "b"):
-                own = of.select(F.col("id").alias(side), F.col("comp").alias("c"))
+                own = state.select(F.col("id").alias(side), F.col("comp").alias("c"))
                 edges = edges.join(own, side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
         merged = components(scratch, edges, f"comp-{turn}")
-        renamed = merged.select(F.col("id").alias("comp"), F.col("comp").alias("new"))
-        if state is not None:
-            known = state.join(renamed, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp"))
-            fresh = merged.join(state.select("id"), "id", "left_anti")
-            state = scratch.put(known.unionByName(fresh.select("id", "comp")), f"state-{turn}")
-        else:
+        if state is None:
             state = merged
-        # pivots have met every other member of their bucket
-        left = rows.select("key", "id").join(
-            chosen.select("key", F.col("p").alias("id")), ["key", "id"], "left_anti")
-        open_rows = left.join(state, "id", "left").select(
-            "key", "id", F.coalesce("comp", "id").alias("comp"))
-        pivots, turn = pivots * GROWTH, turn + 1
+            continue
+        renamed = merged.select(F.col("id").alias("comp"), F.col("comp").alias("new"))
+        known = state.join(renamed, "comp", "left").select("id", F.coalesce("new", "comp").alias("comp"))
+        fresh = merged.join(state.select("id"), "id", "left_anti")
+        state = scratch.put(known.unionByName(fresh.select("id", "comp")), f"state-{turn}")
     return state
 
 
@@ -234,11 +299,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     reps = scratch.put(own.groupBy("set1", "set2").agg(F.min("doc_id").alias("id")), "reps")
     firsts = own.join(reps, ["set1", "set2"]).where("doc_id = id").dropDuplicates(["id"])
     firsts = scratch.put(firsts.select("id", "bands", "sig"), "firsts")
-    buckets = firsts.select("id", F.explode("bands").alias("key"))
+    buckets = firsts.select("id", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = scratch.put(buckets.join(shared, "key"), "members")
     met = scratch.put(members.select("id").distinct(), "met")
-    sigs = scratch.put(firsts.join(met, "id", "left_semi").select("id", "sig"), "sigs")
+    sigs = scratch.put(firsts.join(met, "id", "left_semi"), "sigs")
     texts = docs.join(met, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
     sets = scratch.put(with_columns_by_arrow(
         texts, ["text"], "shingles binary", partial(_set_maker, words)).drop("text"), "sets")

@@ -71,7 +71,8 @@ def test_chain_of_rounds(docs_of, monkeypatch):
     # a chain in which neighbours link and the ends do not
     words = [f"w{k}" for k in range(100)]
     chain = {k: " ".join(words[2 * k:] + [f"n{j}" for j in range(2 * k)]) for k in range(12)}
-    monkeypatch.setattr(neardup, "GROWTH", 2)
+    monkeypatch.setattr(neardup, "PIVOTS_HELD", 3)
+    monkeypatch.setattr(neardup, "MEMBERS_A_TASK", 4)
     assert found(near_duplicates(docs_of(list(chain.items())))) == brute(chain)
 
 
