@@ -17,8 +17,9 @@ Equal sets are collapsed to one representative before anything else, so groups o
 copies never meet in a bucket.
 
 With ``BANDS`` bands of ``ROWS`` coordinates a pair with a similarity of 0.75 meets in no
-bucket with probability 2e-5, one of 0.8 with 1e-7. A pair is worth confirming if its
-signatures agree in at most ``MARGIN`` fewer coordinates, 4.5 standard deviations.
+bucket with probability 2e-5, one of 0.8 with 1e-7. Documents that meet get a longer
+signature of the same kind; a pair is worth confirming if at most ``MARGIN`` fewer of its
+coordinates agree than the similarity, 4.5 standard deviations.
 
 Defined cases: documents without words (null or empty texts) and documents without a
 doc_id are linked with nothing and kept; component_id is the doc_id itself. Rows with the
@@ -39,9 +40,11 @@ from askorpus.llm.shared import Scratch, table, with_columns_by_arrow
 WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 40, 5
-# How far below the similarity the share of agreeing coordinates may be: 4.5 deviations.
-MARGIN = 0.14
-# (bands, or None for all; one pivot a bucket; pairs for each pivot and component, or None for all)
+# Coordinates of the longer signature of documents that meet in buckets, and how far below
+# the similarity their share of agreeing coordinates may be: 4.5 deviations.
+COORDINATES = 1000
+MARGIN = 0.062
+# (bands, or None for all; one pivot a bucket; pairs for each pivot of a bucket, or None for all)
 ROUNDS = ((4, True, None), (None, False, 1), (None, False, 8), (None, False, None))
 PIVOTS_HELD, MEMBERS_A_TASK = 2048, 1 << 16
 
@@ -120,17 +123,17 @@ def _signer(words: int, bands: int, rows: int):
         for text in texts.to_pylist():
             own = shingle_set(text, words)
             if not len(own):
-                out.append((0, None, None, [], None))
+                out.append((0, None, None, []))
                 continue
             sig = signature(own, bands * rows)
             out.append((len(own), int(own.sum().view(np.int64)), int(mix64(own ^ _MIX).sum().view(np.int64)),
-                        band_keys(sig, bands), (sig & np.uint32(255)).astype(np.uint8).tobytes()))
-        return list(zip(*out)) if out else [[]] * 5
+                        band_keys(sig, bands)))
+        return list(zip(*out)) if out else [[]] * 4
 
     return sign
 
 
-SIGNED = "n_shingles long, set1 long, set2 long, bands array<long>, sig binary"
+SIGNED = "n_shingles long, set1 long, set2 long, bands array<long>"
 
 
 def _similar(batches, percent: int):
@@ -148,7 +151,7 @@ def _similar(batches, percent: int):
 def _met(batches, least: float, best: int | None):
     """Pairs (pivot, member) of a bucket worth confirming: of different components, agreeing
     in ``least`` of the coordinates, and met in no earlier band. With ``best``, only so
-    many for each pivot and component, those that agree most.
+    many for each pivot, those that agree most.
 
     Rows come by bucket part, its pivots first, so only those are held.
     """
@@ -156,12 +159,11 @@ def _met(batches, least: float, best: int | None):
 
     def chosen():
         if best is None or not found:
-            return [(p, x) for p, _, _, x in found]
-        ranked = sorted(found, key=lambda f: (f[0], f[1], -f[2], f[3]))
+            return [(p, x) for p, _, x in found]
         out, before, n = [], None, 0
-        for p, c, _, x in ranked:
-            n = n + 1 if (p, c) == before else 1
-            before = (p, c)
+        for p, _, x in sorted(found):
+            n = n + 1 if p == before else 1
+            before = p
             if n <= best:
                 out.append((p, x))
         return out
@@ -191,7 +193,7 @@ def _met(batches, least: float, best: int | None):
                 fits = (agree >= least) & (own_comp != c) & (own != p) & (~own_out | (own > p) | (best is not None))
                 for k in np.flatnonzero(fits):
                     if int((own_bands[k] == p_bands).argmax()) == band:
-                        found.append((p, int(own_comp[k]), float(agree[k]), int(own[k])))
+                        found.append((p, -float(agree[k]), int(own[k])))
         yield pa.RecordBatch.from_arrays(
             [pa.array([min(d) for d in done], pa.int64()), pa.array([max(d) for d in done], pa.int64())], names=["a", "b"])
     done = chosen()
@@ -298,15 +300,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     own = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = scratch.put(own.groupBy("set1", "set2").agg(F.min("doc_id").alias("id")), "reps")
     firsts = own.join(reps, ["set1", "set2"]).where("doc_id = id").dropDuplicates(["id"])
-    firsts = scratch.put(firsts.select("id", "bands", "sig"), "firsts")
+    firsts = scratch.put(firsts.select("id", "bands"), "firsts")
     buckets = firsts.select("id", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = scratch.put(buckets.join(shared, "key"), "members")
     met = scratch.put(members.select("id").distinct(), "met")
-    sigs = scratch.put(firsts.join(met, "id", "left_semi"), "sigs")
     texts = docs.join(met, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
     sets = scratch.put(with_columns_by_arrow(
-        texts, ["text"], "shingles binary", partial(_set_maker, words)).drop("text"), "sets")
+        texts, ["text"], "shingles binary, sig binary", partial(_set_maker, words)).drop("text"), "sets")
+    sigs = scratch.put(firsts.join(sets.select("id", "sig").dropDuplicates(["id"]), "id"), "sigs")
     found = link_buckets(scratch, members, sigs, sets, percent)
     ids = reps if found is None else reps.join(
         found, "id", "left").select("set1", "set2", F.coalesce("comp", "id").alias("id"))
@@ -317,7 +319,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
 
 def _set_maker(words: int):
-    return lambda texts: [[shingle_set(t, words).tobytes() for t in texts.to_pylist()]]
+    def make(texts):
+        own = [shingle_set(t, words) for t in texts.to_pylist()]
+        return [[s.tobytes() for s in own],
+                [(signature(s, COORDINATES) & np.uint32(255)).astype(np.uint8).tobytes() for s in own]]
+
+    return make
 
 
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
