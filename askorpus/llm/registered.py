@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["neighbours", "mixing", "sharding", "decontaminate", "tokencount", "neardup", "chat"]
+MODULES = ["secrets", "neighbours", "mixing", "sharding", "decontaminate", "tokencount", "neardup", "chat"]
 
 
 def queries():
