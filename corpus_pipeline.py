@@ -1,11 +1,29 @@
-"""From raw documents to sharded training data: five stages, each one operator of askorpus.llm."""
+"""From raw documents to sharded training data: five stages, each one operator of askorpus.llm.
+
+Every stage works on all rows that its predecessor kept and returns the columns of
+documents; the last adds ``shard``. An empty table passes through all of them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from askorpus.llm.decontaminate import without_contaminated
+from askorpus.llm.mixing import mixed_documents
+from askorpus.llm.neardup import without_near_duplicates
+from askorpus.llm.sharding import shard_documents
 from askorpus.llm.shared import Scratch, table
+from askorpus.llm.toxicity import without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity of 0.3 or more go."""
+    return without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest doc_id."""
+    return without_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +31,18 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("decontaminate", decontaminate)]
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it, none to three times."""
+    return mixed_documents(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with the shard of each."""
+    return shard_documents(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate),
+          ("mix", mix), ("shard", shard)]
 
 # The toxicity model, the signatures and the tree have no SQL form; tests/llm checks the stages.
 ORACLE_SQL = None
