@@ -38,12 +38,13 @@ from pyspark.sql import functions as F
 from askorpus.llm.shared import Scratch, table, with_columns_by_arrow
 
 NEIGHBOURS = 15
-EXAMPLES = 20_000
-VOCABULARY = 8192
-CANDIDATES = 1 << 17   # terms of toxic training rows that are counted, most frequent first
+EXAMPLES = 4000
+VOCABULARY = 2048
+CANDIDATES = 1 << 15   # terms of toxic training rows that are counted, most frequent first
 LEAST_ROWS = 3         # toxic training rows a term is in
 CHI_SQUARE = 30.0
 BLOCK = 64
+FIRST_BLOCKS = 4
 PULL = 0.5
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -96,23 +97,23 @@ def _counts(seen: Counter):
 
 
 class Known:
-    """Looks the terms of a text up in a vocabulary, remembering each word's."""
+    """Counts the terms of a text that a vocabulary has."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.words = vocabulary, {}
+        self.vocabulary = vocabulary
+        # a word has a known term only if its first four characters begin one
+        self.heads = {t[:4] for t in vocabulary}
 
     def __call__(self, text: str | None) -> dict[int, int]:
-        if not text:
-            return {}
         out: dict[int, int] = {}
-        for word, n in Counter(WORD.findall(text.lower())).items():
-            own = self.words.get(word)
-            if own is None:
-                if len(self.words) > 300_000:
-                    self.words.clear()
-                own = self.words[word] = tuple(self.vocabulary[t] for t in _terms(word) if t in self.vocabulary)
-            for term in own:
-                out[term] = out.get(term, 0) + n
+        if text:
+            heads = self.heads
+            for word, n in Counter(WORD.findall(text.lower())).items():
+                if word[:4] in heads:
+                    for term in _terms(word):
+                        k = self.vocabulary.get(term)
+                        if k is not None:
+                            out[k] = out.get(k, 0) + n
         return out
 
 
@@ -148,11 +149,12 @@ class Model:
         for row, (_, _, counts) in enumerate(examples):
             for term, weight in self.vector(counts).items():
                 lists.setdefault(term, []).append((row, weight))
-        self.lists = {t: (np.array([r for r, _ in v], np.int32), np.array([w for _, w in v])) for t, v in lists.items()}
+        self.lists = {t: (np.array([r for r, _ in v], np.int32), np.array([w for _, w in v]),
+                          np.array([r // BLOCK for r, _ in v], np.int32)) for t, v in lists.items()}
         self.peaks = {}
-        for term, (rows, weights) in self.lists.items():
+        for term, (rows, weights, of_block) in self.lists.items():
             top = np.zeros(self.blocks)
-            np.maximum.at(top, rows // BLOCK, weights)
+            np.maximum.at(top, of_block, weights)
             self.peaks[term] = top
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
@@ -167,31 +169,35 @@ class Model:
             return []
         bounds = sum(w * self.peaks[t] for t, w in query.items())
         order = np.argsort(-bounds, kind="stable")
-        best: list[tuple[float, int]] = []
-        at = 0
-        while at < len(order):
-            # as many blocks at a time as have been read so far, so that few searches end late
-            part = order[at:at + max(4, at)]
-            part = part[bounds[part] > 0]
-            if len(best) == self.k:
-                part = part[bounds[part] >= -best[-1][0] - 1e-12]
-            if not len(part):
-                break
-            wanted = np.zeros(self.blocks, bool)
-            wanted[part] = True
-            cosine: dict[int, float] = {}
-            sums = np.zeros(len(self.ids))
-            for term, w in query.items():
-                rows, weights = self.lists[term]
-                inside = wanted[rows // BLOCK]
-                sums[rows[inside]] += w * weights[inside]
-            rows = np.flatnonzero(sums > 0)
-            rows = rows[rows != skip]
-            found = [(-round(float(c), 12), int(r)) for c, r in zip(sums[rows], rows)]
-            best = sorted(best + found)[:self.k]
-            at += max(4, at)
+        # the most promising blocks give a k-th cosine; then all blocks that may still beat it
+        best = self._read(query, order[:FIRST_BLOCKS], skip)
+        rest = order[FIRST_BLOCKS:]
+        rest = rest[bounds[rest] > 0]
+        if len(best) >= self.k:
+            rest = rest[bounds[rest] >= -best[self.k - 1][0] - 1e-9]
+        best = best[:self.k]
+        if len(rest):
+            best = sorted(best + self._read(query, rest, skip))[:self.k]
         return [(-c, r) for c, r in best]
 
+    def _read(self, query, blocks, skip) -> list[tuple[float, int]]:
+        """(-cosine, row) of the best k rows of some blocks, best first."""
+        wanted = np.zeros(self.blocks, bool)
+        wanted[blocks] = True
+        sums = np.zeros(len(self.ids))
+        for term, w in query.items():
+            rows, weights, of_block = self.lists[term]
+            inside = wanted[of_block]
+            sums[rows[inside]] += w * weights[inside]
+        sums = np.round(sums, 12)
+        if skip >= 0:
+            sums[skip] = 0
+        rows = np.flatnonzero(sums > 0)
+        if len(rows) > self.k:
+            least = np.partition(sums[rows], len(rows) - self.k)[len(rows) - self.k]
+            rows = rows[sums[rows] >= least]
+        return sorted(zip((-sums[rows]).tolist(), rows.tolist()))[:self.k]
+
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(c for c, _ in near)
         return (sum(c * self.labels[r] for c, r in near) + PULL * self.base) / (total + PULL)
@@ -254,14 +260,15 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
         return Model({}, np.zeros(0), [])
     found = train.where("toxic > 0").select("text").mapInArrow(_toxic_terms, "term string, n long").groupBy("term").agg(
         F.sum("n").alias("n")).where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "term").limit(CANDIDATES)
-    candidates = [r[0] for r in found.collect()]
+    candidates = found.select("term").toArrow().column(0).to_pylist()
     sent = spark.sparkContext.broadcast({t: k for k, t in enumerate(candidates)})
     labelled = docs.select("text", F.lit(None).cast("int").alias("toxic"))
     counted = labelled.mapInArrow(partial(_frequencies, vocabulary=sent), "term long, n long, train long, toxic long").unionByName(
         train.select("text", "toxic").mapInArrow(partial(_frequencies, vocabulary=sent), "term long, n long, train long, toxic long")
         .withColumn("n", F.lit(0).cast("long"))).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "train", "toxic")])
     total = docs.count()
-    chosen = choose_terms([(candidates[t], n, a, b) for t, n, a, b in counted.collect()], rows, toxic, vocabulary)
+    numbers = zip(*[c.to_pylist() for c in counted.toArrow().columns])
+    chosen = choose_terms(((candidates[t], n, a, b) for t, n, a, b in numbers), rows, toxic, vocabulary)
     words = {t: k for k, (_, t, _) in enumerate(chosen)}
     idf = np.array([np.log((1 + total) / (1 + n)) + 1 for _, _, n in chosen])
     # a bounded sample of the training rows that have a term
@@ -269,8 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary
     held = scratch.put(train.mapInArrow(partial(_vectors, vocabulary=sent), "doc_id long, toxic int, terms array<int>, counts array<int>"), "vectors")
     bare_rows, bare_toxic = held.where("size(terms) = 0").agg(
         F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
-    sample = held.where("size(terms) > 0").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(examples).collect()
-    rows_of = {r[0]: (r[0], int(r[1] > 0), dict(zip(r[2], r[3]))) for r in sample}
+    sample = held.where("size(terms) > 0").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(examples).toArrow()
+    rows_of = {d: (d, int(y > 0), dict(zip(t, n))) for d, y, t, n in zip(*[c.to_pylist() for c in sample.columns])}
     model = Model(words, idf, list(rows_of.values()))
     model.calibrate(toxic / rows, (bare_toxic + 1) / (bare_rows + 2) if bare_toxic else bare_toxic / max(1, bare_rows + 2),
                     list(rows_of.values()))
