@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["secrets", "neighbours", "mixing", "toxicity", "sharding", "decontaminate", "tokencount", "neardup", "chat"]
+MODULES = ["secrets", "neighbours", "mixing", "toxicity", "sharding", "decontaminate",
+           "suffixdedup", "tokencount", "neardup", "chat"]
 
 
 def queries():
