@@ -1,8 +1,8 @@
 r"""Toxicity by nearest labelled examples.
 
 Terms are lower-case words and word beginnings of four and five characters. The vocabulary
-is the terms that go with label 1 (chi-square, counted over all training rows); their
-inverse document frequencies are counted over all documents. A text is a TF-IDF vector of
+is the terms that go with label 1 in the training rows (by chi-square and by their share of
+toxic rows); their inverse document frequencies are counted over all documents. A text is a TF-IDF vector of
 unit length over it. Labelled examples are kept in an inverted index whose lists are cut into
 blocks of ``BLOCK`` examples with the largest weight of each block. A query adds up the block
 maxima of its terms, reads blocks in the order of that bound, and stops when the bound is
@@ -14,9 +14,10 @@ fitted on the examples themselves (each left out of its own search), turns it in
 probability. Texts without any term of the vocabulary get the share of toxic training rows
 among such texts.
 
-Bounds of the classifier: at most ``EXAMPLES`` examples and ``VOCABULARY`` terms, so index
-and vocabulary are small enough to broadcast. Labels come from rows with
-crc32(doc_id) mod 4 <> 2 only; labels, language, source and id are no input of a score.
+Bounds of the classifier: it is fitted on at most about ``TRAINING`` labelled rows chosen by the
+hash of their id, keeps at most ``EXAMPLES`` of them as examples and ``VOCABULARY`` terms, so
+training ids, index and vocabulary are small enough to broadcast. Labels come from rows
+with crc32(doc_id) mod 4 <> 2 only; labels, language, source and id are no input of a score.
 
 Defined cases: null and empty texts have no terms; null ids or labels are not learned from;
 an id labelled twice counts by its largest label; without any labelled row every score is 0;
@@ -38,11 +39,13 @@ from pyspark.sql import functions as F
 from askorpus.llm.shared import Scratch, table, with_columns_by_arrow
 
 NEIGHBOURS = 15
+TRAINING = 20_000
 EXAMPLES = 4000
 VOCABULARY = 2048
 CANDIDATES = 1 << 15   # terms of toxic training rows that are counted, most frequent first
 LEAST_ROWS = 3         # toxic training rows a term is in
 CHI_SQUARE = 30.0
+LEAST_SHARE = 0.3      # of a term's training rows that are toxic
 BLOCK = 64
 FIRST_BLOCKS = 4
 PULL = 0.5
@@ -64,19 +67,24 @@ def terms_of(text: str | None) -> Counter:
     return out
 
 
-def _terms(word: str) -> set[str]:
-    return {word, *(f"{word[:n]}-" for n in (4, 5) if len(word) >= n)}
+def _terms(word: str) -> tuple[str, ...]:
+    if len(word) < 4:
+        return (word,)
+    return (word, word[:4] + "-", word[:5] + "-") if len(word) > 4 else (word, word + "-")
 
 
 def fold(doc_id: Column | str) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) that labels may be learned from."""
-    own = labels.where((F.col("toxic").isNotNull()) & (fold("doc_id") != HELD_OUT)).groupBy("doc_id").agg(
-        F.max(F.col("toxic").cast("int")).alias("toxic"))
-    return docs.select("doc_id", "text").join(own, "doc_id")
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> DataFrame:
+    """(doc_id, text, toxic) of about ``most`` rows that labels may be learned from."""
+    own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id") != HELD_OUT)).groupBy(
+        "doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    share = max(1, -(-own.count() // most))
+    chosen = own.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(share)) == 0)
+    # about most ids and labels: small enough to send, so texts stay where they are
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
 def _toxic_terms(batches):
@@ -107,30 +115,37 @@ class Known:
     def __call__(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
         if text:
-            heads = self.heads
+            heads, known = self.heads, self.vocabulary
             for word, n in Counter(WORD.findall(text.lower())).items():
                 if word[:4] in heads:
                     for term in _terms(word):
-                        k = self.vocabulary.get(term)
+                        k = known.get(term)
                         if k is not None:
                             out[k] = out.get(k, 0) + n
         return out
 
 
 def _frequencies(batches, vocabulary):
-    """Documents of a task that have each term: all, training rows, toxic training rows."""
+    """Documents of a task that have each term, and how many of them are toxic."""
     known = Known(vocabulary.value)
-    counts = np.zeros((len(vocabulary.value), 3), np.int64)
+    counts = np.zeros((len(vocabulary.value), 2), np.int64)
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             own = list(known(text))
             counts[own, 0] += 1
-            if toxic is not None:
+            if toxic:
                 counts[own, 1] += 1
-                counts[own, 2] += toxic > 0
     some = np.flatnonzero(counts[:, 0])
-    yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(counts[some, k]) for k in range(3)]],
-                                     names=["term", "n", "train", "toxic"])
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some, 0]), pa.array(counts[some, 1])],
+                                     names=["term", "n", "toxic"])
+
+
+def count_terms(rows: DataFrame, terms: list[str]) -> dict[str, tuple[int, int]]:
+    """(rows, toxic rows) with each term, of (text, toxic)."""
+    sent = rows.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
+    counted = rows.select("text", "toxic").mapInArrow(partial(_frequencies, vocabulary=sent), "term long, n long, toxic long")
+    found = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
+    return {terms[t]: (n, y) for t, n, y in zip(*[c.to_pylist() for c in found.columns])}
 
 
 class Model:
@@ -140,7 +155,7 @@ class Model:
         """``examples``: (id, label, {term: count}), with at least one term each."""
         self.vocabulary, self.idf, self.k = vocabulary, idf, neighbours
         self.slope, self.offset, self.base, self.bare = 1.0, 0.0, 0.0, 0.0
-        self.known = None
+        self.known, self.seen = None, {}
         examples = sorted(examples, key=lambda e: e[0])
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[1] for e in examples], np.int8)
@@ -229,58 +244,56 @@ class Model:
         """(probability, [(id, label, cosine)]) of a text."""
         if self.known is None:
             self.known = Known(self.vocabulary)
-        near = self.nearest(self.known(text)) if len(self.ids) else []
+        counts = self.known(text) if len(self.ids) else {}
+        key = tuple(sorted(counts.items()))
+        if key not in self.seen:
+            if len(self.seen) > 20_000:
+                self.seen.clear()
+            self.seen[key] = self.nearest(counts)
+        near = self.seen[key]
         if not near:
             return float(self.bare), []
         value = 1 / (1 + np.exp(-np.clip(self.slope * self.vote(near) + self.offset, -30, 30)))
         return float(value), [(int(self.ids[r]), int(self.labels[r]), c) for c, r in near]
 
 
-def choose_terms(counted, rows: int, toxic: int, most: int) -> list[tuple]:
-    """Of (term, documents, training rows, toxic rows), those that go with toxic rows."""
+def choose_terms(counted: dict[str, tuple[int, int]], rows: int, toxic: int, most: int) -> list[str]:
+    """The terms that go with toxic rows, most significant first."""
     out = []
-    for term, n, train, own in counted:
-        if own < LEAST_ROWS or own * rows <= train * toxic:
+    for term, (n, own) in counted.items():
+        if own < LEAST_ROWS or own * rows <= n * toxic or own < LEAST_SHARE * n:
             continue
-        other, rest = train - own, rows - toxic
-        a, b, c, d = own, other, toxic - own, rest - other
+        a, b, c, d = own, n - own, toxic - own, rows - toxic - (n - own)
         chi = rows * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * (a + c) * (b + d))
         if chi >= CHI_SQUARE:
-            out.append((chi, term, n))
-    return sorted(out, key=lambda r: (-r[0], r[1]))[:most]
+            out.append((-chi, term))
+    return [t for _, t in sorted(out)[:most]]
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, vocabulary: int = VOCABULARY) -> Model:
-    """The model. Counts cover all documents and all training rows; examples are bounded."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "toxicity")
-    train = scratch.put(training_rows(docs, labels), "train")
+def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING, examples: int = EXAMPLES,
+        vocabulary: int = VOCABULARY) -> Model:
+    """The model, fitted on bounded training rows; document frequencies cover all documents."""
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    train = scratch.put(training_rows(docs, labels, training), "train")
     rows, toxic = train.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
     if not toxic:
         return Model({}, np.zeros(0), [])
     found = train.where("toxic > 0").select("text").mapInArrow(_toxic_terms, "term string, n long").groupBy("term").agg(
         F.sum("n").alias("n")).where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "term").limit(CANDIDATES)
     candidates = found.select("term").toArrow().column(0).to_pylist()
-    sent = spark.sparkContext.broadcast({t: k for k, t in enumerate(candidates)})
-    labelled = docs.select("text", F.lit(None).cast("int").alias("toxic"))
-    counted = labelled.mapInArrow(partial(_frequencies, vocabulary=sent), "term long, n long, train long, toxic long").unionByName(
-        train.select("text", "toxic").mapInArrow(partial(_frequencies, vocabulary=sent), "term long, n long, train long, toxic long")
-        .withColumn("n", F.lit(0).cast("long"))).groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "train", "toxic")])
+    chosen = choose_terms(count_terms(train, candidates), rows, toxic, vocabulary)
+    everywhere = count_terms(docs.select("text", F.lit(0).alias("toxic")), chosen)
+    words = {t: k for k, t in enumerate(chosen)}
     total = docs.count()
-    numbers = zip(*[c.to_pylist() for c in counted.toArrow().columns])
-    chosen = choose_terms(((candidates[t], n, a, b) for t, n, a, b in numbers), rows, toxic, vocabulary)
-    words = {t: k for k, (_, t, _) in enumerate(chosen)}
-    idf = np.array([np.log((1 + total) / (1 + n)) + 1 for _, _, n in chosen])
-    # a bounded sample of the training rows that have a term
-    sent = spark.sparkContext.broadcast(words)
+    idf = np.array([np.log((1 + total) / (1 + everywhere.get(t, (0, 0))[0])) + 1 for t in chosen])
+    sent = docs.sparkSession.sparkContext.broadcast(words)
     held = scratch.put(train.mapInArrow(partial(_vectors, vocabulary=sent), "doc_id long, toxic int, terms array<int>, counts array<int>"), "vectors")
     bare_rows, bare_toxic = held.where("size(terms) = 0").agg(
         F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
     sample = held.where("size(terms) > 0").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(examples).toArrow()
     rows_of = {d: (d, int(y > 0), dict(zip(t, n))) for d, y, t, n in zip(*[c.to_pylist() for c in sample.columns])}
     model = Model(words, idf, list(rows_of.values()))
-    model.calibrate(toxic / rows, (bare_toxic + 1) / (bare_rows + 2) if bare_toxic else bare_toxic / max(1, bare_rows + 2),
-                    list(rows_of.values()))
+    model.calibrate(toxic / rows, bare_toxic / max(1, bare_rows), list(rows_of.values()))
     scratch.drop("train", "vectors")
     return model
 
