@@ -91,9 +91,9 @@ def _toxic_terms(batches):
     """Rows that have each term, for a task's toxic rows."""
     seen = Counter()
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            seen.update(terms_of(text).keys())
-            if len(seen) > 500_000:
+        for text in batch.column("text"):
+            seen.update(terms_of(text.as_py()).keys())
+            if len(seen) > 200_000:
                 yield _counts(seen)
                 seen.clear()
     yield _counts(seen)
@@ -130,8 +130,8 @@ def _frequencies(batches, vocabulary):
     known = Known(vocabulary.value)
     counts = np.zeros((len(vocabulary.value), 2), np.int64)
     for batch in batches:
-        for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            own = list(known(text))
+        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
+            own = list(known(text.as_py()))
             counts[own, 0] += 1
             if toxic:
                 counts[own, 1] += 1
@@ -247,7 +247,7 @@ class Model:
         counts = self.known(text) if len(self.ids) else {}
         key = tuple(sorted(counts.items()))
         if key not in self.seen:
-            if len(self.seen) > 20_000:
+            if len(self.seen) > 2000:
                 self.seen.clear()
             self.seen[key] = self.nearest(counts)
         near = self.seen[key]
@@ -301,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING, examples:
 def _vectors(batches, vocabulary):
     known = Known(vocabulary.value)
     for batch in batches:
-        own = [known(t) for t in batch.column("text").to_pylist()]
+        own = [known(t.as_py()) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()),
              pa.array([list(o) for o in own], pa.list_(pa.int32())), pa.array([list(o.values()) for o in own], pa.list_(pa.int32()))],
@@ -310,7 +310,7 @@ def _vectors(batches, vocabulary):
 
 def _scorer(model):
     def score(texts):
-        rows = [model.value.score(t) for t in texts.to_pylist()]
+        rows = [model.value.score(t.as_py()) for t in texts]
         return [[r[0] for r in rows], [[{"doc_id": d, "label": y, "cosine": c} for d, y, c in r[1]] for r in rows]]
 
     return score
