@@ -40,9 +40,10 @@ from askorpus.llm.shared import Scratch, table, with_columns_by_arrow
 
 LENGTH = 100
 GRAM = 24
-STEP = 4
-BLOCK = 2 << 20
+STEP = 5
+BLOCK = 1 << 20
 HOT = 20_000
+DOCUMENTS_AT_ONCE = 1000
 
 _FACTOR = 0x9E3779B97F4A7C15
 _INVERSE = np.uint64(pow(_FACTOR, -1, 1 << 64))
@@ -102,14 +103,21 @@ def _cut(batches):
     """(m, h, d, at) of all segments; at is the start, shifted, and the number of starts."""
     for batch in batches:
         out = [[], [], [], []]
-        for d, text in zip(batch.column("d").to_pylist(), batch.column("text").to_pylist()):
-            grams, first, count, content = segments(_bytes_of(text))
+        for d, text in zip(batch.column("d").to_pylist(), batch.column("text")):
+            grams, first, count, content = segments(_bytes_of(text.as_py()))
             out[0].append(grams.view(np.int64))
             out[1].append(content.view(np.int64))
             out[2].append(np.full(len(first), d, np.int64))
             out[3].append(first << 8 | count)
+            if len(out[0]) == DOCUMENTS_AT_ONCE:
+                yield _joined(out)
+                out = [[], [], [], []]
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["m", "h", "d", "at"])
+            yield _joined(out)
+
+
+def _joined(columns):
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], names=["m", "h", "d", "at"])
 
 
 def _collapse(batches):
@@ -181,7 +189,7 @@ def depth_order(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
     keys = _eights(np.concatenate((text, np.zeros(8, np.uint8))))[:n]
     known = 8
     while True:
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         if known == depth:
             return order
         ordered = keys[order]
