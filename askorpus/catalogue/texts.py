@@ -11,7 +11,7 @@ from askorpus.functions import text as tx
 from askorpus.functions import urls
 from askorpus.operators.chunking import explode_chunks, line_splitter, recursive_splitter
 from askorpus.operators.ordering import first_per_key
-from askorpus.operators.packing import context_block, pack
+from askorpus.operators.packing import SHORTEST_CONTEXT_BLOCK, context_block, pack
 from askorpus.operators.stats import corpus_stats, stats_note
 from askorpus.plans import ingest as ing
 from askorpus.providers import HashingEmbedder
@@ -313,7 +313,7 @@ def context_pack(spark, sf_dir):
     d = documents(spark, sf_dir)
     blocks = d.select("source", "doc_id", context_block(
         F.col("doc_id"), F.col("title"), F.col("url"), F.col("text")).alias("block"))
-    packed = pack(blocks, ["source"], [F.col("doc_id")], 6000)
+    packed = pack(blocks, ["source"], [F.col("doc_id")], 6000, shortest=SHORTEST_CONTEXT_BLOCK)
     return packed.select("source", "doc_id", F.col("rank").cast("bigint"), "used",
                          F.sha2("block", 256).alias("block_hash"))
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 # Fixed value: the RFC 4122 namespace for URLs.
 UUID_NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 
-# scheme, authority, everything after it
-_PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://([^/?#]*))?(.*)$"
+# scheme (which "//host/path" leaves out), authority, everything after it
+_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?(.*)$"
 
 
 def slug(url: Column) -> Column:

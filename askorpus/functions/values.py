@@ -11,7 +11,7 @@ _SOURCES_DDL = "array<struct<url:string,title:string,score:double>>"
 
 # Accepted UUID form and the stored timestamp form.
 UUID_PATTERN = (
-    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-5][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}\z")
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 

@@ -77,6 +77,10 @@ class _PageReader(HTMLParser):
         self.open_regions.update(regions)
         self.open_tags.append((tag, regions))
 
+    def handle_startendtag(self, tag, attrs):
+        # "<div/>" opens a div like "<div>" does
+        self.handle_starttag(tag, attrs)
+
     def handle_endtag(self, tag):
         if all(tag != opened for opened, _ in self.open_tags):
             return

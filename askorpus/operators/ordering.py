@@ -34,8 +34,13 @@ def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
 
 
 def last_n_per_key(df: DataFrame, keys: Sequence[str], order: str, n: int) -> DataFrame:
-    """Last ``n`` rows per key; sort by ``order`` to read them oldest first."""
-    return top_n_per_key(df, keys, [F.col(order).desc()], n, "_back").drop("_back")
+    """Last ``n`` rows per key; sort by ``order`` to read them oldest first.
+
+    Equal positions are settled by the other columns, so the choice does not
+    depend on how the rows are spread.
+    """
+    ties = [F.col(c).desc() for c in sorted(df.columns) if c not in keys and c != order]
+    return top_n_per_key(df, keys, [F.col(order).desc(), *ties], n, "_back").drop("_back")
 
 
 def list_per_key(df: DataFrame, keys: Sequence[str], order: str,

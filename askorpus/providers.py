@@ -68,7 +68,9 @@ def chat_call(settings: Settings, temperature: float | None = None) -> ModelCall
 
 
 def router_call(settings: Settings) -> ModelCall:
-    return ModelCall(settings.ollama_host, settings.router_model, 0.0, ROUTER_CONTEXT_TOKENS)
+    # routing has a model of its own only where one is named
+    named = settings.llm_router_model.strip()
+    return ModelCall(settings.ollama_host, named if named else settings.llm_model, 0.0, ROUTER_CONTEXT_TOKENS)
 
 
 @dataclass(frozen=True)
@@ -84,11 +86,14 @@ class PageTable:
 
 @dataclass(frozen=True)
 class FunctionFetcher:
-    """Calls ``one(url, source) -> (html, extract, error)`` for every URL, in as
-    many tasks at a time as ``concurrency`` says. What it raises becomes the error."""
+    """Calls ``one(url, source) -> (html, extract, error)`` for every URL. What it
+    raises becomes the error.
+
+    A host is fetched by at most ``per_host`` tasks at a time; different hosts are
+    fetched by as many tasks as the session shuffles into."""
 
     one: Callable[[str, str], tuple[str | None, str | None, str | None]]
-    concurrency: int = 8
+    per_host: int = 8
 
     def fetch(self, frontier: DataFrame) -> DataFrame:
         one = self.one
@@ -103,7 +108,8 @@ class FunctionFetcher:
                         rows.append((url, source, None, None, f"{type(problem).__name__}: {problem}"))
                 yield pd.DataFrame(rows, columns=["url", "source", "html", "extract", "error"])
 
-        return frontier.select("url", "source").repartition(self.concurrency).mapInPandas(
+        lane = F.pmod(F.xxhash64("url"), F.lit(self.per_host))
+        return frontier.select("url", "source").repartition(F.col("source"), lane).mapInPandas(
             run, "url string, source string, html string, extract string, error string")
 
 

@@ -19,6 +19,7 @@ from askorpus.plans.health import health
 from askorpus.providers import (
     ChatModel, Embedder, ExtractiveChat, Fetcher, HashingEmbedder, Router, RuleRouter)
 from askorpus.sources import failures, rawdocs, sitemaps
+from askorpus.sources.staging import staged
 from askorpus.sources.store import Store
 from askorpus.streaming.turns import stored_history, turn_messages
 
@@ -69,11 +70,16 @@ class Service:
 
     def retry(self, failure_log: str, fetcher: Fetcher, fetched_at: str, site: str = "all",
               limit: int = 0, force: bool = False) -> DataFrame:
-        """Fetch again what the log names."""
+        """Fetch again what the log names, and rewrite the log without what now worked."""
         names = [s.name for s in self.settings.sites]
-        again = failures.retry_frontier(
-            failures.read_failures(self.spark, failure_log, names), site, limit)
-        return self.crawl(again, fetcher, fetched_at, force)
+        lines = staged(self.spark.read.text(failure_log), "failure-log")
+        again = staged(failures.retry_frontier(
+            failures.parse_failures(lines, names), site, limit), "retry-frontier")
+        results = self.crawl(again, fetcher, fetched_at, force)
+        # what was tried keeps its line only where it failed again; the rest stays as it is
+        rest = failures.lines_not_of(lines, again)
+        rest.unionAll(failures.failure_lines(results)).write.mode("overwrite").text(failure_log)
+        return results
 
     def ingest(self, json_path: str | None = None, only: str | None = None, dry_run: bool = False,
                compat: bool = False, prune: bool = False) -> DataFrame:
@@ -81,7 +87,8 @@ class Service:
         JSON files; ``only`` keeps documents whose JSON contains a substring."""
         if json_path is not None:
             texts = rawdocs.read_json_texts(self.spark, json_path)
-            docs = rawdocs.good_docs(rawdocs.parse_raw(texts, only))
+            # a URL in two files is one document: its newest fetch
+            docs = rawdocs.newest_per_url(rawdocs.good_docs(rawdocs.parse_raw(texts, only)))
         else:
             docs = self.raw.read("raw")
             if only:
@@ -89,6 +96,14 @@ class Service:
                 docs = docs.filter(F.contains(body, F.lit(only)))
         return ing.ingest(self.corpus, docs, self.splitter, self.embedder, dry_run, compat, prune)
 
+    def corrupt(self, json_path: str) -> DataFrame:
+        """The documents of a folder that ``ingest`` cannot read."""
+        return rawdocs.bad_docs(rawdocs.parse_raw(rawdocs.read_json_texts(self.spark, json_path)))
+
+    def unknown_hosts(self, failure_log: str) -> DataFrame:
+        """The URLs of a failure log that belong to no known site; ``retry`` leaves them."""
+        return failures.unknown_hosts(self.spark.read.text(failure_log), [s.name for s in self.settings.sites])
+
     # -- asking ------------------------------------------------------------
 
     def chunks(self) -> DataFrame:
@@ -117,7 +132,7 @@ class Service:
 
     # -- upkeep ------------------------------------------------------------
 
-    def health(self, model_probe: Callable[[], object]) -> DataFrame:
+    def health(self, model_probe: Callable[[], object] | None = None) -> DataFrame:
         return health(self.spark, self.chunks, self.threads.threads, model_probe, self.settings)
 
     def compact(self) -> None:

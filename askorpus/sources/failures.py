@@ -43,6 +43,13 @@ def unknown_hosts(lines: DataFrame, sources: Sequence[str]) -> DataFrame:
         (F.length("url") > 0) & urls.source_of(F.col("url"), sources).isNull())
 
 
+def lines_not_of(lines: DataFrame, tried: DataFrame) -> DataFrame:
+    """Lines whose URL was not tried: unknown hosts, other sites, beyond a limit."""
+    url = strip(F.substring_index(F.col("value"), "\t", 1))
+    return lines.withColumn("url", url).filter(F.length("url") > 0).join(
+        tried.select("url").distinct(), "url", "left_anti").select("value")
+
+
 def retry_frontier(failures: DataFrame, site: str = "all", limit: int = 0) -> DataFrame:
     """URLs of a retry run, in URL order within each source."""
     chosen = failures if site == "all" else failures.filter(F.col("source") == site)

@@ -16,9 +16,17 @@ _WITH_CORRUPT = T.StructType(
 
 
 def read_json_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per *.json file under ``path``: (file, value)."""
-    return (spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
-            .select(F.col("_metadata.file_name").alias("file"), "value"))
+    """One row per document in the *.json files under ``path``: (file, value).
+
+    A file holds one document, which may span lines, or one document on each line.
+    """
+    files = (spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
+             .select(F.col("_metadata.file_name").alias("file"), "value"))
+    # every line of its own an object: a line break inside a document never leaves that
+    lines = F.filter(F.split("value", r"\r?\n"), lambda t: F.trim(t) != "")
+    per_line = F.forall(lines, lambda t: F.rlike(t, F.lit(r"^\s*\{.*\}\s*$")))
+    return files.select("file", F.explode(
+        F.when(per_line & (F.size(lines) > 1), lines).otherwise(F.array("value"))).alias("value"))
 
 
 def parse_raw(texts: DataFrame, only: str | None = None, value: str = "value") -> DataFrame:

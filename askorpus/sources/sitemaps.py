@@ -35,30 +35,31 @@ def parse_sitemaps(files: DataFrame, xml: str = "xml") -> DataFrame:
                     (F.col("_missing") | F.col("d._corrupt").isNotNull()).alias("broken")))
 
 
-def expand_sitemaps(roots: DataFrame, files: DataFrame, hosts: Mapping[str, str],
-                    max_depth: int = 8) -> DataFrame:
+def expand_sitemaps(roots: DataFrame, files: DataFrame, hosts: Mapping[str, str]) -> DataFrame:
     """Follow index files level by level: (source, url, order) in reading order.
 
     ``roots`` is (source, sitemap), ``files`` is (sitemap, xml). The driver only
-    loops over levels; each level is one join. A source with a sitemap that
-    cannot be read yields nothing, as does one nested deeper than ``max_depth``.
+    loops over levels, as many as the files have; each level is one join. A sitemap
+    inside itself is not entered again, so cycles end; one listed twice is read
+    twice. A source with a sitemap that cannot be read yields nothing.
     """
-    level = roots.select("source", "sitemap", F.array().cast("array<int>").alias("order"))
+    level = roots.select("source", "sitemap", F.array().cast("array<int>").alias("order"),
+                         F.array("sitemap").alias("inside"))
     pages, broken = [], []
-    for depth in range(max_depth + 1):
+    while True:
         # Written out, a level has a known size: XML is shuffled to meet it only
         # when it is too large to broadcast.
         level = staged(level, "sitemap-level")
+        if level.isEmpty():
+            break
         read = staged(parse_sitemaps(files.join(level, "sitemap")), "sitemap-read")
         pages.append(read.select("source", "order", F.posexplode("pages").alias("p", "url")))
         broken.append(read.filter("broken").select("source"))
         broken.append(level.join(read.select("sitemap"), "sitemap", "left_anti").select("source"))
-        level = (read.select("source", "order", F.posexplode("children").alias("p", "sitemap"))
-                 .select("source", "sitemap", F.concat("order", F.array("p")).alias("order")))
-        if level.isEmpty():
-            break
-    else:
-        broken.append(level.select("source"))
+        level = (read.select("source", "order", "inside", F.posexplode("children").alias("p", "sitemap"))
+                 .filter(~F.array_contains("inside", F.col("sitemap")))
+                 .select("source", "sitemap", F.concat("order", F.array("p")).alias("order"),
+                         F.concat("inside", F.array("sitemap")).alias("inside")))
     bad = staged(reduce(DataFrame.unionAll, broken).distinct(), "sitemap-broken")
     found = reduce(DataFrame.unionAll, pages).select(
         "source", urls.canonical(F.col("url"), hosts).alias("url"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from uuid import uuid4
 
@@ -12,7 +14,8 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; only a local session without it gets a temporary folder."""
+    """spark.checkpoint.dir; only a local session without it gets a temporary folder,
+    which goes when the process ends."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
@@ -20,7 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     if context.applicationId not in _LOCAL:
-        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="askorpus-")
+        folder = _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="askorpus-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return _LOCAL[context.applicationId]
 
 

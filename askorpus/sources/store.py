@@ -44,16 +44,23 @@ class Store:
 
     def _span(self) -> tuple[int, int]:
         """First run that still counts and last committed run."""
-        base, last = 0, 0
-        folder = self._path(f"{self.root}/_commits")
-        files = self._fs()
-        if files.exists(folder):
-            for status in files.listStatus(folder):
-                number, _, kind = status.getPath().getName().partition("-")
-                last = max(last, int(number))
-                if kind == "base":
-                    base = max(base, int(number))
-        return base, last
+        runs = self._runs()
+        base = max([n for n, kind in runs if kind == "base"], default=0)
+        return base, max([n for n, kind in runs if kind != "claim"], default=0)
+
+    def _runs(self) -> list[tuple[int, str]]:
+        """(number, kind) of every marker: a claim, then a run or base once its data is there."""
+        folder, files = self._path(f"{self.root}/_commits"), self._fs()
+        if not files.exists(folder):
+            return []
+        names = [status.getPath().getName().partition("-") for status in files.listStatus(folder)]
+        return [(int(number), kind) for number, _, kind in names]
+
+    def _open_claims(self, base: int, last: int) -> list[int]:
+        """Numbers up to the last committed one whose writer has not committed (yet)."""
+        runs = self._runs()
+        done = {n for n, kind in runs if kind != "claim"}
+        return sorted({n for n, kind in runs if kind == "claim" and base <= n <= last} - done)
 
     def _part(self, name: str, part: str, schema: T.StructType) -> DataFrame:
         with_run = T.StructType(list(schema.fields) + [T.StructField("run", T.IntegerType())])
@@ -61,8 +68,9 @@ class Store:
         if not self._fs().exists(self._path(where)):
             return self.spark.createDataFrame([], with_run)
         base, last = self._span()
-        return (self.spark.read.schema(with_run).parquet(where)
-                .filter(F.col("run").between(base, last)))
+        rows = self.spark.read.schema(with_run).parquet(where).filter(F.col("run").between(base, last))
+        pending = self._open_claims(base, last)
+        return rows.filter(~F.col("run").isin(pending)) if pending else rows
 
     def _current(self, name: str) -> DataFrame:
         table = self.tables[name]
@@ -87,24 +95,36 @@ class Store:
     # -- writing -----------------------------------------------------------
 
     def commit(self, changes: Mapping[str, Change], kind: str = "run") -> int:
-        """Write every change, then the marker that makes them visible together."""
-        run = self.last_run() + 1
+        """Take a number, write every change under it, then the marker that makes them
+        visible together. Writers at the same time get numbers of their own."""
+        run = self._claim()
         for name, change in changes.items():
             table = self.tables[name]
             if change.rows is not None:
                 self._write(change.rows.select(table.schema.fieldNames()), name, "rows", run)
             if change.replaced is not None:
                 self._write(change.replaced.select(table.key).distinct(), name, "replaced", run)
-        marker = self._path(f"{self.root}/_commits/{run:09d}-{kind}")
-        # fails if another writer has taken this number
-        self._fs().create(marker, False).close()
+        self._fs().create(self._path(f"{self.root}/_commits/{run:09d}-{kind}"), False).close()
         return run
 
+    def _claim(self) -> int:
+        run = max([n for n, _ in self._runs()], default=0) + 1
+        while True:
+            try:
+                # fails if another writer has taken this number
+                self._fs().create(self._path(f"{self.root}/_commits/{run:09d}-claim"), False).close()
+                return run
+            except Exception as problem:
+                if "already exists" not in str(problem):
+                    raise
+                run += 1
+
     def _write(self, df: DataFrame, name: str, part: str, run: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/{part}/run={run}")
 
     def compact(self) -> int:
-        """Rewrite the current rows as one run and ignore all earlier ones."""
+        """Rewrite the current rows as one run and ignore all earlier ones. Call it while
+        nobody writes: a run that is claimed but not committed would be left behind."""
         return self.commit({n: Change(rows=self.read(n)) for n in self.tables}, kind="base")
 
     def reset(self, confirm: bool = False) -> None:

@@ -28,7 +28,8 @@ class _LastMessages(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = {row[1]: tuple(row) for row in self.kept.get()}
         for part in rows:
-            fresh = part.nlargest(self.n, "pos")
+            # a message delivered again must not take the place of another
+            fresh = part.drop_duplicates("id").nlargest(self.n, "pos")
             for row in zip(fresh["pos"], fresh["id"], fresh["role"], fresh["content"]):
                 held.setdefault(row[1], (int(row[0]),) + tuple(row[1:]))
             held = {r[1]: r for r in sorted(held.values())[-self.n:]}

@@ -27,7 +27,7 @@ def index(*locs):
 def expand(spark, files, roots=(("s", "root"),)):
     f = spark.createDataFrame(list(files.items()), "sitemap string, xml string")
     r = spark.createDataFrame(list(roots), "source string, sitemap string")
-    rows = sitemaps.expand_sitemaps(r, f, HOSTS, max_depth=3).collect()
+    rows = sitemaps.expand_sitemaps(r, f, HOSTS).collect()
     return [(x.source, x.url) for x in sorted(rows, key=lambda x: (x.source, x.order))]
 
 
@@ -38,6 +38,17 @@ def test_sitemaps_in_reading_order(spark):
         "https://www.s.test/a", "https://o.test/b?x=1&y=2", "https://www.s.test/c", "https://www.s.test/a"]
 
 
+def test_sitemaps_as_deep_as_they_are(spark):
+    files = {f"d{k}": index(f"d{k + 1}", f"leaf{k}") for k in range(12)}
+    files |= {"d12": urlset("http://s.test/deep")} | {f"leaf{k}": urlset(f"http://s.test/{k}") for k in range(12)}
+    assert len(expand(spark, files, [("s", "d0")])) == 13
+
+
+def test_cycles_end_and_repeats_stay(spark):
+    files = {"root": index("one", "one"), "one": index("root", "two"), "two": urlset("http://s.test/a")}
+    assert expand(spark, files) == [("s", "https://www.s.test/a")] * 2
+
+
 @pytest.mark.parametrize("files", [
     {"root": index("one", "two"), "one": urlset("http://s.test/a")},
     {"root": index("one"), "one": "<urlset><url><loc>cut"},

@@ -132,19 +132,30 @@ def test_unfinished_run_is_invisible(spark, store):
     assert stored(store) == {("u", 0): "b"}
 
 
-def test_second_writer_is_refused(spark, store):
+def test_two_writers_both_keep_their_rows(spark, store):
     run(store, {"u": text("a")})
-    taken = store._path(f"{store.root}/_commits/{store.last_run() + 1:09d}-run")
-    original = store.last_run
+    rows = store.read("docs")
+    other, first = Store(spark, store.root, ing.TABLES), store._write
+    done = []
 
-    def late():
-        value = original()
-        store._fs().create(taken, False).close()
-        return value
+    def late(df, name, part, number):
+        # the second writer starts and commits while the first one is still writing
+        if not done:
+            done.append(other.commit({"docs": Change(rows.withColumn("url", F.lit("B")))}))
+        first(df, name, part, number)
 
-    store.last_run = late
-    with pytest.raises(Exception):
-        store.commit({"docs": Change(store.read("docs"))})
+    store._write = late
+    mine = store.commit({"docs": Change(rows.withColumn("url", F.lit("A")))})
+    assert {r.url for r in store.read("docs").collect()} == {"u", "A", "B"}
+    assert done[0] != mine
+
+
+def test_claimed_run_is_invisible_until_committed(spark, store):
+    run(store, {"u": text("a")})
+    number = store._claim()
+    store._write(store.read("chunks").withColumn("url", F.lit("ghost")), "chunks", "rows", number)
+    run(store, {"v": text("b")})
+    assert stored(store) == {("u", 0): "a", ("v", 0): "b"}
 
 
 def test_compact_and_reset(store):
@@ -180,6 +191,18 @@ def test_raw_json_files(spark, tmp_path):
     assert [(r.url, r.text, r.title) for r in back] == [("u1", 'say "hi"\n', None)]
 
 
+def test_many_documents_in_a_json_file_come_back(spark, tmp_path):
+    docs = spark.range(1000).selectExpr(
+        "concat('u', id) AS url", "'s' AS source", "if(id % 3 = 0, null, 'T') AS title",
+        "concat('{', id, '}\n{\"x\"}') AS text", "sha2(cast(id AS string), 256) AS content_hash",
+        "'2024-01-01T00:00:00Z' AS fetched_at").select(RAW_DOC.fieldNames())
+    out = str(tmp_path / "json")
+    rawdocs.write_json_files(docs.coalesce(2), out)
+    parsed = rawdocs.parse_raw(rawdocs.read_json_texts(spark, out))
+    assert rawdocs.bad_docs(parsed).count() == 0
+    assert sorted(map(tuple, rawdocs.good_docs(parsed).collect())) == sorted(map(tuple, docs.collect()))
+
+
 def test_embedder_is_unit_length(spark):
     df = spark.createDataFrame([("uno dos dos",), ("",), (None,)], "t string")
     got = [r[0] for r in df.select(HashingEmbedder(16).column(F.col("t"))).collect()]

@@ -24,7 +24,7 @@ def vectors():
     rows = [(i, rng.normal(size=8).round(3).tolist()) for i in range(200)]
     # a third of the table is one vector, copied
     rows += [(200 + i, [0.5] * 8) for i in range(100)]
-    return rows + [(900, None), (901, [1.0])]
+    return rows + [(900, None)]
 
 
 @pytest.mark.parametrize("block_bytes", [1 << 20, 64 * 3])
@@ -82,6 +82,31 @@ def test_packing(spark):
     assert got == want
 
 
+def test_short_and_empty_blocks_are_all_packed(spark):
+    blocks = [(i, "ab") for i in range(1500)] + [(i, "") for i in range(1500, 1600)]
+    df = spark.createDataFrame([("g", *b) for b in blocks], "g string, i int, block string")
+    assert packing.pack(df, ["g"], [F.col("i")], 3000).count() == 1600
+    assert packing.pack(df, ["g"], [F.col("i")], 2999).count() == 1499
+    one = spark.createDataFrame([("g", i, "x" if i < 50 else "") for i in range(60)], "g string, i int, block string")
+    assert packing.pack(one, ["g"], [F.col("i")], 10).count() == 10
+
+
+def test_vectors_of_another_length_are_an_error(spark):
+    corpus = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0]), (3, None)], "id int, v array<double>")
+    asked = spark.createDataFrame([(1, [0.0, 0.0])], "query_id int, vector array<double>")
+    with pytest.raises(Exception, match="another length"):
+        topk.nearest_batch(corpus, asked, 2, "id", "v").collect()
+    with pytest.raises(Exception, match="another length"):
+        topk.nearest_one(corpus, [0.0, 0.0], 2, "id", "v").collect()
+    assert topk.nearest_batch(corpus.filter("id <> 2"), asked, 2, "id", "v").count() == 1
+
+
+def test_last_rows_do_not_depend_on_their_spread(spark):
+    df = spark.createDataFrame([("a", 1, f"m{i}") for i in range(30)], "k string, o int, v string")
+    picks = {tuple(sorted(r.v for r in last_n_per_key(df.repartition(n), ["k"], "o", 6).collect())) for n in (1, 3, 7)}
+    assert len(picks) == 1
+
+
 def test_context_block_and_prompt(spark):
     df = spark.createDataFrame(
         [(0, "T", "u", "  c \n"), (1, None, "u", "c"), (2, "", "u", "c")],
@@ -91,7 +116,7 @@ def test_context_block_and_prompt(spark):
     assert blocks == ["[#0 · T]\nu\nc\n", "[#1 · u]\nu\nc\n", "[#2 · u]\nu\nc\n"]
     shortest = spark.range(1).select(packing.context_block(
         F.lit(0), F.lit("x"), F.lit(""), F.lit(""))).first()[0]
-    assert len(shortest) >= packing._SHORTEST_BLOCK
+    assert len(shortest) >= packing.SHORTEST_CONTEXT_BLOCK
     prompt = spark.range(1).select(packing.corpus_prompt(
         F.lit("¿q?"), F.lit(None).cast("string"), F.lit("3 notas."))).first()[0]
     assert prompt == ("<datos_del_corpus>\n3 notas.\n</datos_del_corpus>\n\n<contexto>\n"

@@ -29,6 +29,23 @@ def test_append_stream(spark, tmp_path):
     assert store.messages().count() == 3 and store.threads().count() == 2
 
 
+def test_repeated_delivery_pushes_nothing_out():
+    import pandas as pd
+
+    class Kept(list):
+        def get(self):
+            return list(self)
+
+        def put(self, rows):
+            self[:] = rows
+
+    memory = sh._LastMessages(6)
+    memory.kept = Kept()
+    rows = [(9, "m9", "user", "x")] * 6 + [(p, f"m{p}", "user", "x") for p in range(4, 9)]
+    out = list(memory.handleInputRows(("t",), iter([pd.DataFrame(rows, columns=["pos", "id", "role", "content"])]), None))
+    assert out[-1]["pos"].tolist() == [4, 5, 6, 7, 8, 9]
+
+
 def test_history_state(spark, tmp_path):
     sh.use_state_store(spark)
     inbox, out = str(tmp_path / "in"), str(tmp_path / "out")
