@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from askorpus.catalogue.registry import (
@@ -9,13 +11,15 @@ from askorpus.catalogue.registry import (
     quality_sql, query, strip_sql, table, texts, uuid5_sql)
 from askorpus.functions import text as tx
 from askorpus.functions import urls
-from askorpus.operators.chunking import explode_chunks, line_splitter, recursive_splitter
+from askorpus.operators.chunking import explode_chunks, line_splitter, recursive_splitter, span_splitter
 from askorpus.operators.ordering import first_per_key
 from askorpus.operators.packing import SHORTEST_CONTEXT_BLOCK, context_block, pack
 from askorpus.operators.stats import corpus_stats, stats_note
 from askorpus.plans import ingest as ing
 from askorpus.providers import HashingEmbedder
+from askorpus.schemas import RAW_DOC
 from askorpus.sources import rawdocs
+from askorpus.sources.staging import shared_dir
 
 # -- identifiers and scalars ------------------------------------------------
 
@@ -238,6 +242,42 @@ def chunk_split(spark, sf_dir):
                          F.sha2("content", 256).alias("content_hash"))
 
 
+@query("""
+SELECT doc_id, true AS same_pieces, true AS in_order, true AS within_size, 0 AS uncovered FROM documents
+WHERE text IS NOT NULL""")
+def chunk_cover(spark, sf_dir):
+    """Of every document: its chunks are the pieces at their places, in order, at most 600
+    long, and no character but blanks is outside them."""
+    d = documents(spark, sf_dir).select("doc_id", "text").filter("text IS NOT NULL")
+    split = d.select("doc_id", "text", recursive_splitter()(F.col("text")).alias("chunks"),
+                     span_splitter()(F.col("text")).alias("spans"))
+    pieces = F.transform("spans", lambda s: F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))
+    starts = F.transform("spans", lambda s: s["start"])
+    # how far the text is covered before each span, and what lies between
+    ends = F.transform("spans", lambda s, i: F.when(i == 0, F.lit(0)).otherwise(F.array_max(
+        F.transform(F.slice("spans", 1, F.greatest(i, F.lit(1))), lambda p: p["end"]))))
+    gaps = F.zip_with("spans", ends, lambda s, e: F.substring(
+        F.col("text"), e + 1, F.greatest(s["start"] - e, F.lit(0))))
+    last = F.coalesce(F.array_max(F.transform("spans", lambda s: s["end"])), F.lit(0))
+    outside = F.concat(F.array_join(gaps, ""), F.substring(F.col("text"), last + 1, F.length("text")))
+    return split.select(
+        "doc_id", (pieces == F.col("chunks")).alias("same_pieces"), (F.array_sort(starts) == starts).alias("in_order"),
+        F.forall("spans", lambda s: s["end"] - s["start"] <= 600).alias("within_size"),
+        F.length(F.regexp_replace(outside, r"(?U)\s", "")).alias("uncovered"))
+
+
+@query(f"""
+SELECT {DOC_URL} AS url, source, {DOC_TITLE} AS title, sha256(text) AS text_hash, sha256(text) AS content_hash,
+       '2024-01-02T03:04:05Z' AS fetched_at FROM documents""")
+def raw_roundtrip(spark, sf_dir):
+    """Documents written as JSON and read back by the reader of raw documents."""
+    path = f"{shared_dir(spark)}/roundtrip-{uuid4().hex}"
+    docs = documents(spark, sf_dir).withColumn("fetched_at", F.lit("2024-01-02T03:04:05Z"))
+    rawdocs.write_json_files(docs.select(RAW_DOC.fieldNames()), path)
+    back = rawdocs.good_docs(rawdocs.parse_raw(rawdocs.read_json_texts(spark, path)))
+    return back.select("url", "source", "title", F.sha2("text", 256).alias("text_hash"), "content_hash", "fetched_at")
+
+
 @query()
 def ingest_first_run(spark, sf_dir):
     """Whole ingest of an empty store with the real splitter and embedder."""

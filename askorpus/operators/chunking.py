@@ -86,11 +86,22 @@ def _spans(text: str, start: int, end: int, separators: tuple[str, ...],
         yield from _pack(run, size, overlap)
 
 
+def split_spans(text: str, size: int, overlap: int,
+                separators: tuple[str, ...] = SEPARATORS) -> list[tuple[int, int]]:
+    """Where the chunks of one text are, stripped; blank ones are left out."""
+    out = []
+    for a, b in _spans(text, 0, len(text), separators, size, overlap):
+        piece = text[a:b]
+        a += len(piece) - len(piece.lstrip())
+        b = a + len(piece.strip())
+        if b > a:
+            out.append((a, b))
+    return out
+
+
 def split_text(text: str, size: int, overlap: int,
                separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Chunks of one text, stripped; blank ones are left out."""
-    pieces = (text[a:b].strip() for a, b in _spans(text, 0, len(text), separators, size, overlap))
-    return [p for p in pieces if p]
+    return [text[a:b] for a, b in split_spans(text, size, overlap, separators)]
 
 
 def recursive_splitter(size: int = 600, overlap: int = 100,
@@ -106,6 +117,17 @@ def recursive_splitter(size: int = 600, overlap: int = 100,
     return split
 
 
+def span_splitter(size: int = 600, overlap: int = 100,
+                  separators: tuple[str, ...] = SEPARATORS) -> Splitter:
+    """Like ``recursive_splitter``, giving array<struct<start,end>> in characters from 0."""
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [
+            {"start": a, "end": b} for a, b in split_spans(t, size, overlap, separators)])
+
+    return split
+
+
 def line_splitter(text: Column) -> Column:
     """One chunk per non-blank line; a JVM-side splitter."""
     lines = F.transform(F.split(text, "\n"), lambda ln: F.trim(ln))
