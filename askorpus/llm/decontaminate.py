@@ -109,9 +109,9 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
-                       automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+                       automaton_bytes: int = AUTOMATON_BYTES, keep: list[str] | None = None) -> DataFrame:
     """Adds n_words, n_hit, items (ids with an occurring window) and spans (runs of hit words,
-    code points, end exclusive) to ``docs``."""
+    code points, end exclusive) to ``docs``, or to its columns ``keep``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     windows = scratch.put(benchmark_windows(items, window), "windows")
@@ -124,7 +124,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW,
         part = spark.sparkContext.broadcast({bytes(r[0]): list(r[1]) for r in own.toLocalIterator()})
         last = block == blocks - 1
         rows = with_columns_by_arrow(rows, ["text", "hits"], RESULT if last else f"hits {HITS}",
-                                     partial(_tagger, part, last))
+                                     partial(_tagger, part, last), keep if last else None)
         if not last:
             rows = scratch.put(rows, f"block{block}")
     return rows.drop("hits")
@@ -156,7 +156,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return found.select(
         "doc_id", F.col("n_words"), F.col("n_hit"), F.size("items").cast("long").alias("n_items"),

@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     scratch = Scratch(docs.sparkSession, "neardup")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = scratch.put(with_columns_by_arrow(
-        docs, ["text"], SIGNED, partial(_signer, words, bands, rows)).drop("text"), "signed")
+        docs, ["text"], SIGNED, partial(_signer, words, bands, rows), keep=["doc_id"]), "signed")
     own = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = scratch.put(own.groupBy("set1", "set2").agg(F.min("doc_id").alias("id")), "reps")
     firsts = own.join(reps, ["set1", "set2"]).where("doc_id = id").dropDuplicates(["id"])
@@ -307,7 +307,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     met = scratch.put(members.select("id").distinct(), "met")
     texts = docs.join(met, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
     sets = scratch.put(with_columns_by_arrow(
-        texts, ["text"], "shingles binary, sig binary", partial(_set_maker, words)).drop("text"), "sets")
+        texts, ["text"], "shingles binary, sig binary", partial(_set_maker, words), keep=["id"]), "sets")
     sigs = scratch.put(firsts.join(sets.select("id", "sig").dropDuplicates(["id"]), "id"), "sigs")
     found = link_buckets(scratch, members, sigs, sets, percent)
     ids = reps if found is None else reps.join(

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from askorpus.llm.shared import table, with_columns_by_arrow
 
 KINDS = ("assign", "access", "hex", "crf")
-TRAIN_DOCUMENTS = 4000
+TRAIN_DOCUMENTS = 3000
 WINDOW = 24          # tokens on either side of a training window's centre
 LONG_WINDOWS, OTHER_WINDOWS = 1200, 600
 LEAST = 8
@@ -264,9 +264,17 @@ def secrets_of(texts: list[str], field: Field) -> list[list[tuple[str, int, int]
     return [ordered(f) for f in found]
 
 
-def training_windows(texts: list[str], seed: int = SEED):
+def training_windows(texts: list[str], seed: int = SEED, group: int = 128):
     """Windows around pattern spans, half of them with cue words hidden; around long tokens that
-    are none; and anywhere."""
+    are none; and anywhere. Texts are read in small groups."""
+    out, draw = [], np.random.default_rng(seed)
+    for at in range(0, len(texts), group):
+        part = texts[at:at + group]
+        out += _windows_of(part, draw, len(part) / len(texts))
+    return out
+
+
+def _windows_of(texts: list[str], draw: np.random.Generator, share: float):
     starts, ends, owner, values, begins = features(texts)
     tags = np.zeros(len(starts), np.int64)
     centres = []
@@ -278,11 +286,10 @@ def training_windows(texts: list[str], seed: int = SEED):
             if a < b and not tags[a:b].any():
                 tags[a:b], tags[a] = 2, 1
                 centres.append(int(a))
-    draw = np.random.default_rng(seed)
     if len(starts):
         others = np.flatnonzero((tags == 0) & (ends - starts >= LEAST) & (values[:, 0] > 10))
-        centres += draw.permutation(others)[:LONG_WINDOWS].tolist()
-        centres += draw.integers(0, len(starts), OTHER_WINDOWS).tolist()
+        centres += draw.permutation(others)[:round(LONG_WINDOWS * share)].tolist()
+        centres += draw.integers(0, len(starts), round(OTHER_WINDOWS * share)).tolist()
     out = []
     for k, c in enumerate(centres):
         own = np.arange(max(0, c - WINDOW), min(len(starts), c + WINDOW + 1))
@@ -310,15 +317,15 @@ def _scanner(field):
     return scan
 
 
-def find_secrets(docs: DataFrame, field: Field) -> DataFrame:
-    """Adds ``secrets``, the spans by start and kind."""
+def find_secrets(docs: DataFrame, field: Field, keep: list[str] | None = None) -> DataFrame:
+    """Adds ``secrets``, the spans by start and kind, to ``docs`` or to its columns ``keep``."""
     sent = docs.sparkSession.sparkContext.broadcast(field)
-    return with_columns_by_arrow(docs, ["text"], SECRETS, partial(_scanner, sent))
+    return with_columns_by_arrow(docs, ["text"], SECRETS, partial(_scanner, sent), keep)
 
 
 def op1_crf_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_secrets(docs, fit(docs))
+    found = find_secrets(docs, fit(docs), ["doc_id"])
 
     def listed(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(

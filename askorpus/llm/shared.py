@@ -75,28 +75,31 @@ def with_running_totals(df: DataFrame, keys: list[str], bucket: Column, order: l
         *[(F.col(f"b.{c}") + F.col(f"r.__in{c}")).alias(name) for name, c in inputs.items()])
 
 
-def with_columns_by_arrow(df: DataFrame, reads: list[str], ddl: str, make) -> DataFrame:
-    """``df`` with the columns of ``ddl``, replacing those of the same name.
+def with_columns_by_arrow(df: DataFrame, reads: list[str], ddl: str, make,
+                          keep: list[str] | None = None) -> DataFrame:
+    """``df``, or its columns ``keep``, with the columns of ``ddl``, replacing those of the
+    same name.
 
     ``make()`` is called once per task and returns a function from the Arrow columns named
     in ``reads`` to a list of value lists, one per new column. Other columns pass through
-    untouched, whatever their type.
+    untouched, whatever their type; a text that is not kept is not sent back.
     """
     added = T._parse_datatype_string(ddl)
-    names = [c for c in df.columns if c not in added.names]
+    names = [c for c in (df.columns if keep is None else keep) if c not in added.names]
+    extra = [r for r in reads if r not in names]
+    places = [names.index(r) if r in names else len(names) + extra.index(r) for r in reads]
     schema = T.StructType([df.schema[c] for c in names] + list(added.fields))
+    arrow_types = [to_arrow_type(f.dataType) for f in added.fields]
 
     def run(batches):
         work = make()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
-                columns = part.columns[:len(names)]
-                values = work(*part.columns[len(names):])
+                values = work(*[part.column(p) for p in places])
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, *[pa.array(v, type=t) for v, t in zip(values, arrow_types)]],
+                    [*part.columns[:len(names)], *[pa.array(v, type=t) for v, t in zip(values, arrow_types)]],
                     names=schema.names)
+            pa.default_memory_pool().release_unused()
 
-    arrow_types = [to_arrow_type(f.dataType) for f in added.fields]
-    return (df.select(*names, *[F.col(r).alias(f"__in_{r}") for r in reads])
-            .mapInArrow(run, schema))
+    return df.select(*names, *[F.col(r).alias(f"__in_{r}") for r in extra]).mapInArrow(run, schema)

@@ -372,7 +372,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     ordered = document_order(docs)
     rows = ordered.join(find_repeats(ordered), "d", "left").select("doc_id", "text", "runs")
     return with_columns_by_arrow(rows, ["text", "runs"], "n_bytes long, n_removed long, n_spans long, kept binary",
-                                 _remover).drop("text", "runs")
+                                 _remover, keep=["doc_id"])
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

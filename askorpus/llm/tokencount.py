@@ -124,19 +124,20 @@ def _counter(path: str):
     return count
 
 
-def count_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """Adds n_tokens of ``text`` under the byte-level BPE vocabulary at ``path``."""
-    return with_columns_by_arrow(docs, ["text"], "n_tokens long", partial(_counter, path))
+def count_tokens(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
+    """Adds n_tokens of ``text`` under the byte-level BPE vocabulary at ``path`` to ``docs``, or
+    to its columns ``keep``."""
+    return with_columns_by_arrow(docs, ["text"], "n_tokens long", partial(_counter, path), keep)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    counted = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id", "n_bytes"])
     return counted.select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
+        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
 
 
 QUERIES = {"op8_token_counts": op8_token_counts}

@@ -316,10 +316,11 @@ def _scorer(model):
     return score
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds score and evidence (the nearest examples with label and cosine)."""
+def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """Adds score and evidence (the nearest examples with label and cosine) to ``docs``, or to
+    its columns ``keep``."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return with_columns_by_arrow(docs, ["text"], RESULT, partial(_scorer, sent))
+    return with_columns_by_arrow(docs, ["text"], RESULT, partial(_scorer, sent), keep)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -329,7 +330,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 def op4_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+    scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
     return scored.select("doc_id", (fold("doc_id") == HELD_OUT).alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
