@@ -21,7 +21,7 @@ from askorpus.providers import (
 from askorpus.sources import failures, rawdocs, sitemaps
 from askorpus.sources.staging import staged
 from askorpus.sources.store import Store
-from askorpus.streaming.turns import stored_history, turn_messages
+from askorpus.streaming.turns import before_turns, stored_history, turn_messages
 
 
 class Service:
@@ -125,7 +125,8 @@ class Service:
 
     def ask(self, requests: DataFrame, batch_name: str, remember: bool = True) -> tn.TurnResult:
         """Answer (turn_id, thread_id, question, temperature, top_k) requests."""
-        result = tn.run_turns(requests, stored_history(self.threads.messages()), self.engine())
+        earlier = before_turns(self.threads.messages(), requests)
+        result = tn.run_turns(requests, stored_history(earlier), self.engine())
         if remember:
             self.threads.append(turn_messages(result, F.current_timestamp()), batch_name)
         return result

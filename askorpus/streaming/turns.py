@@ -17,6 +17,18 @@ def stored_history(messages: DataFrame) -> DataFrame:
                            F.unix_micros("created_at").alias("pos"), "role", "content")
 
 
+def message_id(part: Column) -> Column:
+    """The id of a turn's question (part 0) or answer (part 1)."""
+    return urls.uuid5(F.concat_ws("#", "turn_id", part.cast("string")))
+
+
+def before_turns(messages: DataFrame, requests: DataFrame) -> DataFrame:
+    """The stored messages without those that these turns leave behind, so that a batch
+    that is repeated sees its threads as it did the first time."""
+    own = requests.select(F.explode(F.array(message_id(F.lit(0)), message_id(F.lit(1)))).alias("id"))
+    return messages.join(own, "id", "left_anti")
+
+
 def turn_messages(result: TurnResult, at: Column) -> DataFrame:
     """The question and the answer of each turn as a batch to append.
 
@@ -24,8 +36,7 @@ def turn_messages(result: TurnResult, at: Column) -> DataFrame:
     is stamped a millisecond later to keep it behind its question.
     """
     rows = result.new_messages
-    made = urls.uuid5(F.concat_ws("#", "turn_id", F.col("part").cast("string")))
-    asked = urls.uuid5(F.concat_ws("#", "turn_id", F.lit("0")))
+    made, asked = message_id(F.col("part")), message_id(F.lit(0))
     return rows.select(
         made.alias("id"), F.col("thread_id").alias("conversation_id"),
         F.when(F.col("part") == 1, asked).alias("parent_id"), "role", "content",
@@ -43,7 +54,7 @@ def answer_stream(stream: DataFrame, engine: Engine, store: ThreadStore, events_
     each other belong in different batches.
     """
     def answer(batch: DataFrame, number: int) -> None:
-        result = run_turns(batch, stored_history(store.messages()), engine)
+        result = run_turns(batch, stored_history(before_turns(store.messages(), batch)), engine)
         frames(result.events).write.mode("overwrite").parquet(f"{events_path}/batch={number}")
         store.append(turn_messages(result, F.current_timestamp()), f"{name}-{number}")
 

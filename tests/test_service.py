@@ -67,8 +67,11 @@ def test_from_sitemap_to_answer(spark, service, tmp_path):
     assert seen["2"].text.startswith("Información disponible sobre la empresa")
     assert "Conteo" not in service.note() and service.note() in result.turns.filter("route='rag'").first().context
     assert [r.role for r in service.threads.list_messages(thread).collect()].count("assistant") == 2
-    service.ask(asked, "b1")
+    again = service.ask(asked, "b1")
     assert service.threads.messages().count() == 4
+    # a batch asked again sees its threads as it did the first time
+    assert sorted(map(tuple, again.turns.select("turn_id", "route", "context").collect())) == sorted(
+        map(tuple, result.turns.select("turn_id", "route", "context").collect()))
 
     row = service.health(lambda: True).first()
     assert (row.ok, row.db_ok, row.ollama_ok, row.chunk_count) == (True, True, True, service.chunks().count())
