@@ -287,7 +287,9 @@ class ThreadStore:
               now: Column | None = None) -> DataFrame:
         """Title threads: those of ``ids``, or all that still have the default title.
 
-        Returns (id, title). Threads without a non-blank message are left as they are.
+        Returns (id, title). Threads without a non-blank message are left as they are; of
+        those asked for by id the default title is returned. Ids that no thread has
+        are in no row: ``unknown`` names them.
         """
         untitled = self.threads()
         if ids is None:
@@ -306,4 +308,11 @@ class ThreadStore:
             tx.clean_title(F.col("answer"), self.settings.default_title).alias("title")), "titles")
         self.patch(titled.select("id", "title", F.lit(None).cast("boolean").alias("archived"),
                                  F.lit(0).alias("seq")), now)
-        return titled
+        if ids is None:
+            return titled
+        quiet = untitled.select("id").join(titled.select("id"), "id", "left_anti")
+        return titled.unionByName(quiet.withColumn("title", F.lit(self.settings.default_title)))
+
+    def unknown(self, ids: DataFrame) -> DataFrame:
+        """Those of ``ids`` that no thread has."""
+        return ids.select("id").distinct().join(self.threads().select("id"), "id", "left_anti")

@@ -193,4 +193,8 @@ def test_titles(threads):
     assert threads.title(ExtractiveChat()).count() == 0
     # asked for by id, a thread is titled again
     again = threads.title(ExtractiveChat(), threads.threads().filter("id = 'named'")).collect()
+    some = threads.threads().sparkSession.createDataFrame([("blank",), ("nowhere",)], "id string")
+    assert [tuple(r) for r in threads.title(Titles(), some).collect()] == [("blank", "Nueva conversación")]
+    assert threads.get("blank")["title"] == "Nueva conversación"
+    assert [r.id for r in threads.unknown(some).collect()] == ["nowhere"]
     assert [r.id for r in again] == ["named"] and threads.get("named")["title"] == again[0].title != "Puesto"
