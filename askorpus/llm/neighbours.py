@@ -37,7 +37,7 @@ SAMPLE = 20_000
 TREES = 20
 LEAF = 64            # sample vectors in a leaf
 PROBES = 200         # sample queries that measure the number of leaves
-RECALL = 0.95
+RECALL = 0.98
 SEED = 11
 QUERIES_HELD = 2048
 VECTORS_A_TASK = 1 << 16

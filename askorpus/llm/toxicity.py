@@ -331,7 +331,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 def op4_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")), ["doc_id"])
-    return scored.select("doc_id", (fold("doc_id") == HELD_OUT).alias("held_out"), "score",
+    return scored.select("doc_id", F.coalesce(fold("doc_id") == HELD_OUT, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
