@@ -11,8 +11,9 @@ fits in whole and then the blocks from its start.
 Only one row for each source and shard reaches the driver: sums, at most ``MOST_SOURCES``
 sources. Documents are never gathered.
 
-Defined cases: a document without words has size 0 and is taken 0 times; repeated rows are
-documents of their own; null ids are ordered by text; an empty table gives no rows.
+Defined cases: more sources than that are an error before anything is sent; a document
+without words has size 0 and is taken 0 times; repeated rows are documents of their own;
+null ids are ordered by text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -86,8 +87,6 @@ def sainte_lague(votes: list[float], seats: int, capacity: list[int]) -> list[in
 def quotas(streams: list[tuple], block: int = BLOCK, most: int = MOST, weights=WEIGHTS) -> list[tuple]:
     """(source, shard, source_size, target, words) for each (source, shard, size)."""
     names = sorted({s for s, _, _ in streams}, key=lambda s: (s is None, s or ""))
-    if len(names) > MOST_SOURCES:
-        raise ValueError(f"{len(names)} sources: mix groups of them instead")
     by: dict = {n: [] for n in names}
     for s, j, w in sorted(streams, key=lambda r: r[1]):
         by[s].append((j, w))
@@ -123,7 +122,10 @@ def plan_mix(scratch: Scratch, docs: DataFrame, block: int = BLOCK, shards: int
     often the stream is taken, rest how many words from its start are taken once more."""
     spark = docs.sparkSession
     rows = scratch.put(streams_of(docs, shards), "rows")
-    sums = rows.groupBy("source", "shard").agg(F.sum("size").alias("size")).collect()
+    sums = scratch.put(rows.groupBy("source", "shard").agg(F.sum("size").alias("size")), "sums")
+    if sums.count() > MOST_SOURCES * shards:
+        raise ValueError(f"more than {MOST_SOURCES} sources: mix groups of them instead")
+    sums = sums.collect()
     words = {(r[0], r[1]): r[2] for r in sums}
     plan = [(s, j, size, target, *divmod(w, max(1, words[s, j])))
             for s, j, size, target, w in quotas([tuple(r) for r in sums], block, most)]

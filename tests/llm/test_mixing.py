@@ -3,6 +3,9 @@
 import random
 from fractions import Fraction
 
+import pytest
+
+from askorpus.llm import mixing
 from askorpus.llm.mixing import mixed_documents, op3_source_mix, quotas, sainte_lague, targets
 
 
@@ -89,3 +92,9 @@ def test_edges(spark, docs_of, table_dir):
     assert mixed_documents(docs).columns == docs.columns
     assert op3_source_mix(spark, table_dir(documents=docs_of([]))).count() == 0
     assert mixed_documents(docs_of([])).count() == 0
+
+
+def test_too_many_sources_are_refused(docs_of, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    with pytest.raises(ValueError, match="sources"):
+        mixed_documents(docs_of([(k, "a b", f"s{k}") for k in range(50)]))
