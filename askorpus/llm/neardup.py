@@ -14,7 +14,8 @@ the pivots and read the members, so pairs only exist as rows where they are wort
 confirming, and each in one band only. Every link is confirmed on the full sets.
 
 Equal sets are collapsed to one representative before anything else, so groups of exact
-copies never meet in a bucket.
+copies never meet in a bucket. A distinct set has a number of its own, so it does not matter
+which doc_id its rows have; numbers become doc_ids at the end.
 
 With ``BANDS`` bands of ``ROWS`` coordinates a pair with a similarity of 0.75 meets in no
 bucket with probability 2e-5, one of 0.8 with 1e-7. Documents that meet get a longer
@@ -23,7 +24,9 @@ coordinates agree than the similarity, 4.5 standard deviations.
 
 Defined cases: documents without words (null or empty texts) and documents without a
 doc_id are linked with nothing and kept; component_id is the doc_id itself. Rows with the
-same doc_id and the same set are copies of one document. An empty table gives no rows.
+same doc_id and the same set are copies of one document; rows with the same doc_id and
+different sets are documents of their own, and where such are near each other, the smaller
+set number is kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askorpus.llm.shared import Scratch, table, with_columns_by_arrow
@@ -47,6 +50,7 @@ MARGIN = 0.062
 # (bands, or None for all; one pivot a bucket; pairs for each pivot of a bucket, or None for all)
 ROUNDS = ((4, True, None), (None, False, 1), (None, False, 8), (None, False, None))
 PIVOTS_HELD, MEMBERS_A_TASK = 2048, 1 << 16
+SALTS = 16
 
 LOWER = bytes(i + 0x20 if 0x41 <= i <= 0x5A else i for i in range(256))
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -292,30 +296,48 @@ def link_buckets(scratch: Scratch, members: DataFrame, sigs: DataFrame, sets: Da
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, set1, set2, component_id, kept) of every row of (doc_id, text)."""
+    """(doc_id, text_hash, n_shingles, set1, set2, component_id, kept) of every row of (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "neardup")
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long"), "text", _text_hash())
     signed = scratch.put(with_columns_by_arrow(
-        docs, ["text"], SIGNED, partial(_signer, words, bands, rows), keep=["doc_id"]), "signed")
+        docs, ["text"], SIGNED, partial(_signer, words, bands, rows), keep=["doc_id", "text_hash"]), "signed")
     own = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = scratch.put(own.groupBy("set1", "set2").agg(F.min("doc_id").alias("id")), "reps")
-    firsts = own.join(reps, ["set1", "set2"]).where("doc_id = id").dropDuplicates(["id"])
+    # a number for each distinct set, and the row that stands for it
+    reps = own.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "text_hash")).alias("m"))
+    reps = scratch.put(reps.select("set1", "set2", F.col("m.doc_id").alias("doc"), F.col("m.text_hash").alias("hash"),
+                                   F.monotonically_increasing_id().alias("id")), "reps")
+    firsts = own.join(reps, ["set1", "set2"]).where("doc_id = doc AND text_hash = hash").dropDuplicates(["id"])
     firsts = scratch.put(firsts.select("id", "bands"), "firsts")
     buckets = firsts.select("id", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = scratch.put(buckets.join(shared, "key"), "members")
-    met = scratch.put(members.select("id").distinct(), "met")
-    texts = docs.join(met, F.col("doc_id") == F.col("id"), "left_semi").select(F.col("doc_id").alias("id"), "text")
+    met = scratch.put(reps.join(members.select("id").distinct(), "id").select(
+        F.col("doc").alias("doc_id"), F.col("hash").alias("text_hash"), "id"), "met")
+    texts = docs.join(met, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("id", "text")
     sets = scratch.put(with_columns_by_arrow(
         texts, ["text"], "shingles binary, sig binary", partial(_set_maker, words), keep=["id"]), "sets")
-    sigs = scratch.put(firsts.join(sets.select("id", "sig").dropDuplicates(["id"]), "id"), "sigs")
+    sigs = scratch.put(firsts.join(sets.select("id", "sig"), "id"), "sigs")
     found = link_buckets(scratch, members, sigs, sets, percent)
-    ids = reps if found is None else reps.join(
-        found, "id", "left").select("set1", "set2", F.coalesce("comp", "id").alias("id"))
-    done = signed.join(ids, ["set1", "set2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("id")).otherwise(F.col("doc_id"))
-    return done.select("doc_id", "n_shingles", "set1", "set2", component.alias("component_id"),
-                       component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    lead = F.struct("doc", "set1", "set2")
+    ids = reps.withColumn("lead", lead)
+    if found is not None:
+        # each lead is sent SALTS times, so the rows of a large component are several tasks
+        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt")
+        leads = reps.join(found, "id").groupBy("comp").agg(F.min(lead).alias("least")).withColumn(
+            "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        ids = reps.join(found, "id", "left").select(
+            "set1", "set2", "doc", F.coalesce("comp", "id").alias("comp"), salt).join(
+            leads, ["comp", "salt"], "left").withColumn("lead", F.coalesce("least", lead))
+    done = signed.join(ids.select("set1", "set2", "lead"), ["set1", "set2"], "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return done.select(
+        "doc_id", "text_hash", "n_shingles", "set1", "set2",
+        F.when(linked, F.col("lead.doc")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(linked, F.struct(F.col("doc_id").alias("doc"), "set1", "set2") == F.col("lead")).otherwise(True).alias("kept"))
+
+
+def _text_hash() -> Column:
+    return F.xxhash64("text").alias("text_hash")
 
 
 def _set_maker(words: int):
@@ -330,15 +352,15 @@ def _set_maker(words: int):
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each component: the one with the smallest doc_id. Documents without
     words or without a doc_id stay; of rows that repeat both doc_id and set, one stays."""
-    found = near_duplicates(docs, words, percent)
-    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    kept = found.where(~alone & F.col("kept")).select("doc_id").distinct()
-    linked = found.where(~alone).select("doc_id").distinct()
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    # ids without words are in neither list
-    first = rows.join(kept.withColumnRenamed("doc_id", "__id"), "__id", "left_semi")
-    rest = rows.join(linked.withColumnRenamed("doc_id", "__id"), "__id", "left_anti")
-    place = Window.partitionBy("__id").orderBy(F.xxhash64("text"))
+    found = near_duplicates(docs, words, percent).where("doc_id IS NOT NULL AND n_shingles > 0")
+    kept = found.where("kept").groupBy("doc_id", "set1", "set2").agg(F.min("text_hash").alias("__hash")).select(
+        F.col("doc_id").alias("__id"), "__hash")
+    linked = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": _text_hash()})
+    first = rows.join(kept, ["__id", "__hash"], "left_semi")
+    # rows without words or without an id are in neither list
+    rest = rows.join(linked, ["__id", "__hash"], "left_anti")
+    place = Window.partitionBy("__id", "__hash").orderBy("__hash")
     first = first.withColumn("__place", F.row_number().over(place)).where("__place = 1")
     return first.select(*docs.columns).unionByName(rest.select(*docs.columns))
 

@@ -96,3 +96,18 @@ def test_edges(docs_of, table_dir, spark):
     assert op9_minhash_neardup(spark, table_dir(documents=docs_of([]))).count() == 0
     assert without_near_duplicates(docs_of([])).count() == 0
     assert found(near_duplicates(docs_of(["", None]))) == {0: (0, 0, True), 1: (0, 1, True)}
+
+
+def test_one_id_with_several_texts(docs_of):
+    draw = random.Random(5)
+    many = [" ".join(f"t{k}w{draw.randrange(500)}" for _ in range(60)) for k in range(8)]
+    # id 7 has four unrelated texts, two near ones, one repeated row and one without words
+    rows = [(7, t) for t in many[:4]] + [(7, many[0] + " z"), (7, many[1]), (7, ""), (9, many[2] + " z"), (8, many[4]),
+                                         (3, many[3] + " z"), (10, many[4] + " z"), (8, many[5])]
+    got = [(r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in near_duplicates(docs_of(rows)).collect()]
+    assert sorted(got) == sorted([(7, True, 7)] * 5 + [(7, False, 7), (9, True, 7), (7, True, 3), (3, True, 3),
+                                                       (8, True, 8), (10, True, 8), (8, True, 8)])
+    kept = [(r["doc_id"], r["text"]) for r in without_near_duplicates(docs_of(rows)).collect()]
+    near = {k: [t for t in kept if t[1] in (many[k], many[k] + " z")] for k in range(6)}
+    assert len(kept) == 7 and (7, "") in kept and all(len(v) == 1 for v in near.values())
+    assert [near[k][0][0] for k in range(6)] == [7, 7, 7, 3, 8, 8]
