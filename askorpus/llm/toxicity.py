@@ -1,8 +1,10 @@
 r"""Toxicity by nearest labelled examples.
 
 Terms are lower-case words and word beginnings of four and five characters. The vocabulary
-is the terms that go with label 1 in the training rows (by chi-square and by their share of
-toxic rows); their inverse document frequencies are counted over all documents. A text is a TF-IDF vector of
+is every term of the labelled examples; inverse document frequencies are counted over all
+documents. A term's weight is its inverse document frequency times its contrast: the log
+ratio of its shares in toxic and in other training rows, in standard errors. A weak contrast
+makes a term light, none leaves it out. A text is a weighted vector of
 unit length over it. Labelled examples are kept in an inverted index whose lists are cut into
 blocks of ``BLOCK`` examples with the largest weight of each block. A query adds up the block
 maxima of its terms, reads blocks in the order of that bound, and stops when the bound is
@@ -11,12 +13,12 @@ below its k-th best cosine: the nearest examples are exact.
 The vote is the mean label of the k nearest, weighted by cosine, and pulled to the share of
 toxic rows with the weight ``PULL``, so faint likeness decides little. A logistic curve,
 fitted on the examples themselves (each left out of its own search), turns it into a
-probability. Texts without any term of the vocabulary get the share of toxic training rows
+probability. Texts without any term of the examples get the share of toxic training rows
 among such texts.
 
 Bounds of the classifier: it is fitted on at most about ``TRAINING`` labelled rows chosen by the
-hash of their id, keeps at most ``EXAMPLES`` of them as examples and ``VOCABULARY`` terms, so
-training ids, index and vocabulary are small enough to broadcast. Labels come from rows
+hash of their id and keeps at most ``EXAMPLES`` of them as examples, so training ids, index and
+vocabulary are small enough to broadcast. Labels come from rows
 with crc32(doc_id) mod 4 <> 2 only; labels, language, source and id are no input of a score.
 
 Defined cases: null and empty texts have no terms; null ids or labels are not learned from;
@@ -27,12 +29,14 @@ named like a result column are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,11 +45,7 @@ from askorpus.llm.shared import Scratch, table, with_columns_by_arrow
 NEIGHBOURS = 15
 TRAINING = 20_000
 EXAMPLES = 4000
-VOCABULARY = 2048
-CANDIDATES = 1 << 15   # terms of toxic training rows that are counted, most frequent first
-LEAST_ROWS = 3         # toxic training rows a term is in
-CHI_SQUARE = 30.0
-LEAST_SHARE = 0.3      # of a term's training rows that are toxic
+LEAST_CONTRAST = 0.05
 BLOCK = 64
 FIRST_BLOCKS = 4
 PULL = 0.5
@@ -87,131 +87,144 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> D
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def _toxic_terms(batches):
-    """Rows that have each term, for a task's toxic rows."""
-    seen = Counter()
-    for batch in batches:
-        for text in batch.column("text"):
-            seen.update(terms_of(text.as_py()).keys())
-            if len(seen) > 200_000:
-                yield _counts(seen)
-                seen.clear()
-    yield _counts(seen)
-
-
-def _counts(seen: Counter):
-    return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
-                                      names=["term", "n"])
-
-
 class Known:
     """Counts the terms of a text that a vocabulary has."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary = vocabulary
-        # a word has a known term only if its first four characters begin one
-        self.heads = {t[:4] for t in vocabulary}
+        self.vocabulary, self.words = vocabulary, {}
 
     def __call__(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
         if text:
-            heads, known = self.heads, self.vocabulary
+            if len(self.words) > 200_000:
+                self.words.clear()
+            words = self.words
             for word, n in Counter(WORD.findall(text.lower())).items():
-                if word[:4] in heads:
-                    for term in _terms(word):
-                        k = known.get(term)
-                        if k is not None:
-                            out[k] = out.get(k, 0) + n
+                own = words.get(word)
+                if own is None:
+                    own = words[word] = tuple(k for t in _terms(word) if (k := self.vocabulary.get(t)) is not None)
+                for k in own:
+                    out[k] = out.get(k, 0) + n
         return out
 
 
 def _frequencies(batches, vocabulary):
-    """Documents of a task that have each term, and how many of them are toxic."""
+    """Documents of a task that have each term, and how many of them are toxic; term -1
+    stands for those without any."""
     known = Known(vocabulary.value)
-    counts = np.zeros((len(vocabulary.value), 2), np.int64)
+    counts = np.zeros((len(vocabulary.value) + 1, 2), np.int64)
     for batch in batches:
         for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-            own = list(known(text.as_py()))
+            own = list(known(text.as_py())) or [-1]
             counts[own, 0] += 1
-            if toxic:
+            if toxic and toxic > 0:
                 counts[own, 1] += 1
     some = np.flatnonzero(counts[:, 0])
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some, 0]), pa.array(counts[some, 1])],
+    term = np.where(some == len(counts) - 1, -1, some)
+    yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(counts[some, 0]), pa.array(counts[some, 1])],
                                      names=["term", "n", "toxic"])
 
 
-def count_terms(rows: DataFrame, terms: list[str]) -> dict[str, tuple[int, int]]:
-    """(rows, toxic rows) with each term, of (text, toxic)."""
-    sent = rows.sparkSession.sparkContext.broadcast({t: k for k, t in enumerate(terms)})
-    counted = rows.select("text", "toxic").mapInArrow(partial(_frequencies, vocabulary=sent), "term long, n long, toxic long")
+def count_terms(rows: DataFrame, vocabulary, size: int) -> np.ndarray:
+    """(rows, toxic rows) with each term of a broadcast vocabulary, of (text, toxic); the last
+    line is of rows without any."""
+    counted = rows.select("text", "toxic").mapInArrow(partial(_frequencies, vocabulary=vocabulary), "term long, n long, toxic long")
     found = counted.groupBy("term").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).toArrow()
-    return {terms[t]: (n, y) for t, n, y in zip(*[c.to_pylist() for c in found.columns])}
+    out = np.zeros((size + 1, 2), np.int64)
+    out[found.column("term").to_numpy()] = np.stack([found.column("n").to_numpy(), found.column("toxic").to_numpy()], axis=1)
+    return out
+
+
+def contrast(counts: np.ndarray, rows: int, toxic: int) -> np.ndarray:
+    """How far each term's share of toxic rows is from that of the others, in standard errors."""
+    share = toxic / rows
+    inside, outside = counts[:, 1] + share, counts[:, 0] - counts[:, 1] + 1 - share
+    ratio = np.log(inside / (toxic + 1)) - np.log(outside / (rows - toxic + 1))
+    return np.maximum(LEAST_CONTRAST, np.abs(ratio) / np.sqrt(1 / inside + 1 / outside))
+
+
+def _arrays(counts) -> tuple[np.ndarray, np.ndarray]:
+    """Terms and how often each occurs."""
+    if isinstance(counts, dict):
+        return np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))
+    return counts
+
+
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places begins[0], begins[0] + 1, ... of every range, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
 
 
 class Model:
-    """Vocabulary, inverse document frequencies, block-max index and calibration."""
+    """Vocabulary, term weights, block-max index and calibration."""
 
     def __init__(self, vocabulary, idf, examples, neighbours=NEIGHBOURS):
-        """``examples``: (id, label, {term: count}), with at least one term each."""
-        self.vocabulary, self.idf, self.k = vocabulary, idf, neighbours
+        """``examples``: (id, label, {term: count} or (terms, counts)), with at least one term each."""
+        self.vocabulary, self.idf, self.k = vocabulary, np.asarray(idf, float), neighbours
         self.slope, self.offset, self.base, self.bare = 1.0, 0.0, 0.0, 0.0
         self.known, self.seen = None, {}
         examples = sorted(examples, key=lambda e: e[0])
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[1] for e in examples], np.int8)
         self.blocks = -(-len(examples) // BLOCK)
-        lists: dict[int, list] = {}
-        for row, (_, _, counts) in enumerate(examples):
-            for term, weight in self.vector(counts).items():
-                lists.setdefault(term, []).append((row, weight))
-        self.lists = {t: (np.array([r for r, _ in v], np.int32), np.array([w for _, w in v]),
-                          np.array([r // BLOCK for r, _ in v], np.int32)) for t, v in lists.items()}
-        self.peaks = {}
-        for term, (rows, weights, of_block) in self.lists.items():
-            top = np.zeros(self.blocks)
-            np.maximum.at(top, of_block, weights)
-            self.peaks[term] = top
+        vectors = [self._weighted(*_arrays(e[2])) for e in examples]
+        terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        rows = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        order = np.argsort(terms, kind="stable")
+        terms, self.rows = terms[order], rows[order]
+        self.weights = np.concatenate([w for _, w in vectors])[order] if vectors else np.zeros(0)
+        # the list of term t is rows[at[t]:at[t + 1]], its blocks are blocks_of[peaks_at[t]:peaks_at[t + 1]]
+        self.at = np.searchsorted(terms, np.arange(len(self.idf) + 1))
+        new = np.flatnonzero(np.concatenate(([True], (np.diff(terms) != 0) | (np.diff(self.rows // BLOCK) != 0)))[:len(terms)])
+        self.peaks = np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
+        self.blocks_of = self.rows[new] // BLOCK
+        self.peaks_at = np.searchsorted(terms[new], np.arange(len(self.idf) + 1))
+
+    def _weighted(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = (1 + np.log(counts)) * self.idf[terms]
+        length = np.sqrt((raw * raw).sum())
+        return (terms, raw / length) if length > 0 else (terms[:0], raw[:0])
 
     def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + np.log(n)) * self.idf[t] for t, n in counts.items()}
-        length = np.sqrt(sum(w * w for w in raw.values()))
-        return {t: w / length for t, w in raw.items()} if length > 0 else {}
+        terms, weights = self._weighted(*_arrays(counts))
+        return dict(zip(terms.tolist(), weights.tolist()))
 
-    def nearest(self, counts: dict[int, int], skip: int = -1) -> list[tuple[float, int]]:
+    def nearest(self, counts, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, example row) of the k nearest with a positive cosine, ties to the smaller id."""
-        query = {t: w for t, w in self.vector(counts).items() if t in self.lists}
-        if not query:
+        terms, query = self._weighted(*_arrays(counts))
+        if not len(terms):
             return []
-        bounds = sum(w * self.peaks[t] for t, w in query.items())
+        sizes = self.peaks_at[terms + 1] - self.peaks_at[terms]
+        where = _ranges(self.peaks_at[terms], sizes)
+        bounds = np.bincount(self.blocks_of[where], np.repeat(query, sizes) * self.peaks[where], self.blocks)
         order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        sizes = self.at[terms + 1] - self.at[terms]
+        where = _ranges(self.at[terms], sizes)
+        rows, query = self.rows[where], np.repeat(query, sizes)
         # the most promising blocks give a k-th cosine; then all blocks that may still beat it
-        best = self._read(query, order[:FIRST_BLOCKS], skip)
+        best = self._read(rows, where, query, order[:FIRST_BLOCKS], skip)
         rest = order[FIRST_BLOCKS:]
-        rest = rest[bounds[rest] > 0]
         if len(best) >= self.k:
             rest = rest[bounds[rest] >= -best[self.k - 1][0] - 1e-9]
-        best = best[:self.k]
         if len(rest):
-            best = sorted(best + self._read(query, rest, skip))[:self.k]
+            best = sorted(best + self._read(rows, where, query, rest, skip))[:self.k]
         return [(-c, r) for c, r in best]
 
-    def _read(self, query, blocks, skip) -> list[tuple[float, int]]:
+    def _read(self, rows, where, query, blocks, skip) -> list[tuple[float, int]]:
         """(-cosine, row) of the best k rows of some blocks, best first."""
         wanted = np.zeros(self.blocks, bool)
         wanted[blocks] = True
-        sums = np.zeros(len(self.ids))
-        for term, w in query.items():
-            rows, weights, of_block = self.lists[term]
-            inside = wanted[of_block]
-            sums[rows[inside]] += w * weights[inside]
-        sums = np.round(sums, 12)
+        inside = np.flatnonzero(wanted[rows // BLOCK])
+        sums = np.round(np.bincount(rows[inside], query[inside] * self.weights[where[inside]], len(self.ids)), 12)
         if skip >= 0:
             sums[skip] = 0
-        rows = np.flatnonzero(sums > 0)
-        if len(rows) > self.k:
-            least = np.partition(sums[rows], len(rows) - self.k)[len(rows) - self.k]
-            rows = rows[sums[rows] >= least]
-        return sorted(zip((-sums[rows]).tolist(), rows.tolist()))[:self.k]
+        found = np.flatnonzero(sums > 0)
+        if len(found) > self.k:
+            least = np.partition(sums[found], len(found) - self.k)[len(found) - self.k]
+            found = found[sums[found] >= least]
+        return sorted(zip((-sums[found]).tolist(), found.tolist()))[:self.k]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(c for c, _ in near)
@@ -244,12 +257,11 @@ class Model:
         """(probability, [(id, label, cosine)]) of a text."""
         if self.known is None:
             self.known = Known(self.vocabulary)
-        counts = self.known(text) if len(self.ids) else {}
-        key = tuple(sorted(counts.items()))
+        key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
         if key not in self.seen:
-            if len(self.seen) > 2000:
+            if len(self.seen) > 20_000:
                 self.seen.clear()
-            self.seen[key] = self.nearest(counts)
+            self.seen[key] = self.nearest(self.known(text)) if len(self.ids) else []
         near = self.seen[key]
         if not near:
             return float(self.bare), []
@@ -257,55 +269,44 @@ class Model:
         return float(value), [(int(self.ids[r]), int(self.labels[r]), c) for c, r in near]
 
 
-def choose_terms(counted: dict[str, tuple[int, int]], rows: int, toxic: int, most: int) -> list[str]:
-    """The terms that go with toxic rows, most significant first."""
-    out = []
-    for term, (n, own) in counted.items():
-        if own < LEAST_ROWS or own * rows <= n * toxic or own < LEAST_SHARE * n:
-            continue
-        a, b, c, d = own, n - own, toxic - own, rows - toxic - (n - own)
-        chi = rows * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * (a + c) * (b + d))
-        if chi >= CHI_SQUARE:
-            out.append((-chi, term))
-    return [t for _, t in sorted(out)[:most]]
-
-
-def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING, examples: int = EXAMPLES,
-        vocabulary: int = VOCABULARY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING, examples: int = EXAMPLES) -> Model:
     """The model, fitted on bounded training rows; document frequencies cover all documents."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     train = scratch.put(training_rows(docs, labels, training), "train")
     rows, toxic = train.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
     if not toxic:
         return Model({}, np.zeros(0), [])
-    found = train.where("toxic > 0").select("text").mapInArrow(_toxic_terms, "term string, n long").groupBy("term").agg(
-        F.sum("n").alias("n")).where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "term").limit(CANDIDATES)
-    candidates = found.select("term").toArrow().column(0).to_pylist()
-    chosen = choose_terms(count_terms(train, candidates), rows, toxic, vocabulary)
-    everywhere = count_terms(docs.select("text", F.lit(0).alias("toxic")), chosen)
-    words = {t: k for k, t in enumerate(chosen)}
-    total = docs.count()
-    idf = np.array([np.log((1 + total) / (1 + everywhere.get(t, (0, 0))[0])) + 1 for t in chosen])
+    # ids of examples are at most that many: small enough to send
+    ids = train.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(examples)
+    sample = train.join(F.broadcast(ids), "doc_id").mapInArrow(
+        _term_lists, "doc_id long, toxic int, terms array<string>, counts array<int>").where("size(terms) > 0").toArrow()
+    coded = sample.column("terms").combine_chunks().flatten().dictionary_encode()
+    words = {t: k for k, t in enumerate(coded.dictionary.to_pylist())}
     sent = docs.sparkSession.sparkContext.broadcast(words)
-    held = scratch.put(train.mapInArrow(partial(_vectors, vocabulary=sent), "doc_id long, toxic int, terms array<int>, counts array<int>"), "vectors")
-    bare_rows, bare_toxic = held.where("size(terms) = 0").agg(
-        F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
-    sample = held.where("size(terms) > 0").orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(examples).toArrow()
-    rows_of = {d: (d, int(y > 0), dict(zip(t, n))) for d, y, t, n in zip(*[c.to_pylist() for c in sample.columns])}
-    model = Model(words, idf, list(rows_of.values()))
-    model.calibrate(toxic / rows, bare_toxic / max(1, bare_rows), list(rows_of.values()))
-    scratch.drop("train", "vectors")
+    learned = count_terms(train, sent, len(words))
+    everywhere = count_terms(docs.select("text", F.lit(0).alias("toxic")), sent, len(words))
+    total = docs.count()
+    idf = np.log((1 + total) / (1 + everywhere[:-1, 0])) + 1
+    lists = np.cumsum([0, *pc.list_value_length(sample.column("terms")).to_pylist()])
+    codes = coded.indices.to_numpy().astype(np.int64)
+    counts = sample.column("counts").combine_chunks().flatten().to_numpy().astype(np.int64)
+    rows_of = {d: (d, int(y > 0), (codes[a:b], counts[a:b])) for d, y, a, b in zip(
+        sample.column("doc_id").to_pylist(), sample.column("toxic").to_pylist(), lists, lists[1:])}
+    model = Model(words, idf * contrast(learned[:-1], rows, toxic), list(rows_of.values()))
+    model.calibrate(toxic / rows, learned[-1, 1] / max(1, learned[-1, 0]), list(rows_of.values()))
+    scratch.drop("train")
     return model
 
 
-def _vectors(batches, vocabulary):
-    known = Known(vocabulary.value)
+def _term_lists(batches):
     for batch in batches:
-        own = [known(t.as_py()) for t in batch.column("text")]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()),
-             pa.array([list(o) for o in own], pa.list_(pa.int32())), pa.array([list(o.values()) for o in own], pa.list_(pa.int32()))],
-            names=["doc_id", "toxic", "terms", "counts"])
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            own = [terms_of(t.as_py()) for t in part.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").cast(pa.int64()), part.column("toxic").cast(pa.int32()),
+                 pa.array([list(o) for o in own], pa.list_(pa.string())), pa.array([list(o.values()) for o in own], pa.list_(pa.int32()))],
+                names=["doc_id", "toxic", "terms", "counts"])
 
 
 def _scorer(model):

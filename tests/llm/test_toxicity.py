@@ -96,3 +96,15 @@ def test_edges(spark, docs_of, labelled, table_dir):
     assert {r["score"] for r in score_documents(docs, fit(docs, none)).collect()} == {0.0}
     sf = table_dir(documents=docs_of([]), labels=none)
     assert op4_toxicity_neighbours(spark, sf).count() == 0
+
+
+def test_every_term_of_the_examples_counts(spark, docs_of):
+    # a toxic word of two rows, ordinary words and a text of ordinary words only
+    rows = [(k, f"alpha beta w{k}" + (" rareslur" if k in (0, 1, 3) else "")) for k in range(40)] + [(900, "alpha beta")]
+    labels = spark.createDataFrame([(k, 1, int(k in (0, 1, 3) or k % 5 == 0)) for k in range(40)], LABELS)
+    model = fit(docs_of(rows), labels)
+    held = set(model.ids.tolist())
+    assert {t for k, text in rows if k in held for t in terms_of(text)} == set(model.vocabulary)
+    assert (model.idf > 0).all()
+    got = {r["doc_id"]: r["evidence"] for r in score_documents(docs_of(rows), model).collect()}
+    assert all(len(e) == model.k for e in got.values())
