@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ["secrets", "neighbours", "mixing", "toxicity", "sharding", "decontaminate",
-           "suffixdedup", "tokencount", "neardup", "chat"]
+           "suffixdedup", "tokencount", "neardup", "chat", "windowpack"]
 
 
 def queries():

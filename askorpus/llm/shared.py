@@ -5,7 +5,9 @@ from __future__ import annotations
 from functools import reduce
 from uuid import uuid4
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,8 @@ from askorpus.sources.staging import shared_dir
 
 # Rows a task works on at a time in Python; long texts make such a group large enough.
 ROWS_AT_ONCE = 512
+# Bytes of one column in such a group of rows, where a row is not longer by itself.
+BYTES_AT_ONCE = 8 << 20
 
 
 class Scratch:
@@ -103,3 +107,17 @@ def with_columns_by_arrow(df: DataFrame, reads: list[str], ddl: str, make,
             pa.default_memory_pool().release_unused()
 
     return df.select(*names, *[F.col(r).alias(f"__in_{r}") for r in extra]).mapInArrow(run, schema)
+
+
+def slices(batch: pa.RecordBatch, heavy: int, rows: int = ROWS_AT_ONCE, size: int = BYTES_AT_ONCE):
+    """Parts of an Arrow batch of at most ``rows`` rows, and ``size`` bytes of column ``heavy``
+    unless one row has more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(heavy)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        fits = int(np.searchsorted(ends, base + size, "right")) - at
+        many = min(rows, batch.num_rows - at, max(1, fits))
+        yield batch.slice(at, many)
+        at += many
+    pa.default_memory_pool().release_unused()
