@@ -5,7 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = ["secrets", "neighbours", "mixing", "toxicity", "sharding", "decontaminate",
-           "suffixdedup", "tokencount", "neardup", "chat", "windowpack"]
+           "suffixdedup", "tokencount", "neardup", "chat", "windowpack",
+           "collocations"]
 
 
 def queries():

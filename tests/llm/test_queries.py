@@ -10,9 +10,10 @@ from askorpus import llm
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm.queries()) == [*range(1, 11), 12]
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm.queries()) == [*range(1, 11), 12, 13]
     assert set(llm.queries()) | {"pipeline"} <= set(entry.queries())
-    assert set(llm.oracle_sql()) == {"op6_decontaminate", "op9_minhash_neardup", "op10_chat_format"}
+    assert set(llm.oracle_sql()) == {"op6_decontaminate", "op9_minhash_neardup", "op10_chat_format",
+                                      "op13_collocations"}
 
 
 @pytest.mark.parametrize("name", sorted(llm.oracle_sql()))
