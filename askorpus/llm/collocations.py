@@ -347,13 +347,13 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH p AS (SELECT coalesce(lang, 'und') lang, unnest(string_split_regex(
-             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--
-]')) s
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) s
            FROM documents),
-w AS (SELECT lang, regexp_extract_all(s, '[^ 	]+') w FROM p),
-g AS (SELECT lang, k size, array_to_string(w[i:i + k - 1], ' ') phrase
-      FROM w, (VALUES (1), (2), (3)) sizes(k), unnest(range(1, len(w) - k + 2)) t(i)),
+q AS (SELECT lang, row_number() OVER () piece, regexp_extract_all(s, '[^\x20\x09]+') w FROM p),
+u AS (SELECT lang, piece, unnest(w) w, generate_subscripts(w, 1) i FROM q),
+v AS (SELECT lang, w, lead(w, 1) OVER o x, lead(w, 2) OVER o y FROM u WINDOW o AS (PARTITION BY piece ORDER BY i)),
+g AS (SELECT lang, 1 size, w phrase FROM v UNION ALL SELECT lang, 2, w || ' ' || x FROM v WHERE x IS NOT NULL
+      UNION ALL SELECT lang, 3, w || ' ' || x || ' ' || y FROM v WHERE y IS NOT NULL),
 f AS (SELECT lang, size, phrase, count(*) f FROM g GROUP BY ALL),
 n AS (SELECT lang, sum(f) n FROM f WHERE size = 1 GROUP BY lang),
 c AS (SELECT lang, size, phrase, f a, string_split(phrase, ' ') w FROM f WHERE size > 1 AND f >= 10),
@@ -361,7 +361,8 @@ cut AS (SELECT c.*, k, array_to_string(w[1:k], ' ') x, array_to_string(w[k + 1:s
         FROM c, unnest(range(1, size)) t(k)),
 scored AS (SELECT cut.lang, cut.size, cut.phrase, a, w, k, l.f l, r.f r,
              CAST((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS BIGINT) score
-           FROM cut JOIN f l ON l.lang = cut.lang AND l.phrase = x JOIN f r ON r.lang = cut.lang AND r.phrase = y),
+           FROM cut JOIN f l ON {'a': l.lang, 'b': l.phrase} = {'a': cut.lang, 'b': x}
+                JOIN f r ON {'a': r.lang, 'b': r.phrase} = {'a': cut.lang, 'b': y}),
 weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 around AS (SELECT lang, phrase, max(f) f FROM (
              SELECT lang, a f, array_to_string(w[1:2], ' ') phrase FROM c WHERE size = 3
