@@ -6,7 +6,7 @@ from importlib import import_module
 
 MODULES = ["secrets", "neighbours", "mixing", "toxicity", "sharding", "decontaminate",
            "suffixdedup", "tokencount", "neardup", "chat", "windowpack",
-           "collocations"]
+           "collocations", "ranking"]
 
 
 def queries():
