@@ -48,7 +48,7 @@ from askorpus.llm.shared import Scratch, slices, table
 TOP = 50
 # Documents of a block; documents and postings of a shard.
 BLOCK = 16
-SHARD, POSTINGS = 4096, 1 << 20
+SHARD, POSTINGS = 1024, 1 << 18
 # Term occurrences of the queries that are searched in one pass.
 QUERY_TERMS = 1 << 17
 # A floor looks at a query's rarest terms until they have so many postings for each result.
