@@ -50,8 +50,10 @@ PHRASES = 1 << 21
 SIDE = 256
 DENSE = SIDE * SIDE // 8
 # Occurrences that a task counts at a time; distinct words it holds before it sends them on.
-GROUP = 1 << 21
-HELD = 400_000
+GROUP = 1 << 20
+HELD = 300_000
+# Bytes of text whose words a task holds at a time, where a text is not longer by itself.
+TEXT = 2 << 20
 
 # Fixed values of the text rule: what ends a piece becomes a line feed, a tab a blank.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -71,22 +73,20 @@ def words_by_language(part: pa.RecordBatch):
 
 def tile_counts(left: np.ndarray, right: np.ndarray, side: int = SIDE, dense: int = DENSE):
     """Distinct pairs of ids and how often each occurs."""
-    rows, columns = left // side, right // side
-    tile = rows << 32 | columns
+    tile = (left // side) << 32 | right // side
     order = np.argsort(tile, kind="stable")
-    tile = tile[order]
+    tile, left, right = tile[order], left[order], right[order]
     starts = np.flatnonzero(np.append(True, tile[1:] != tile[:-1])) if len(tile) else np.zeros(0, np.int64)
     ends = np.append(starts[1:], len(tile))
     out = []
-    rest = np.ones(len(tile), bool)
+    sparse = np.ones(len(tile), bool)
     for a, b in zip(starts[ends - starts >= dense].tolist(), ends[ends - starts >= dense].tolist()):
-        own, rest[a:b] = order[a:b], False
-        base = left[own[0]] // side * side, right[own[0]] // side * side
-        cells = np.bincount((left[own] - base[0]) * side + right[own] - base[1], minlength=side * side)
+        sparse[a:b] = False
+        row, column = left[a] // side * side, right[a] // side * side
+        cells = np.bincount((left[a:b] - row) * side + right[a:b] - column, minlength=side * side)
         at = np.flatnonzero(cells)
-        out.append((base[0] + at // side, base[1] + at % side, cells[at]))
-    own = order[rest]
-    keys, counts = np.unique(left[own] << 32 | right[own], return_counts=True)
+        out.append((row + at // side, column + at % side, cells[at]))
+    keys, counts = np.unique((left << 32 | right)[sparse], return_counts=True)
     out.append((keys >> 32, keys & 0xFFFFFFFF, counts))
     return tuple(np.concatenate(c) for c in zip(*out))
 
@@ -104,7 +104,7 @@ def count_words(texts: DataFrame) -> DataFrame:
                  pa.array([r[2] for r in rows], pa.int64())], names=["lang", "word", "f"])
 
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, size=TEXT):
                 for lang, words in words_by_language(part):
                     met.setdefault(lang, Counter()).update(words)
                 if sum(map(len, met.values())) > HELD:
@@ -118,15 +118,25 @@ class Words:
     """Ids of words: those of one language follow each other, the most frequent first. ``filter`` is
     the bitmap over frequent words without an id, None if there are none."""
 
-    def __init__(self, rows, filter: bytes | None):
-        self.rows = sorted(((r["lang"], r["f"], r["word"]) for r in rows), key=lambda r: (r[0], -r[1], r[2]))
+    def __init__(self, rows: pa.Table, filter: bytes | None):
         self.filter = filter
+        # a word holds no blank, so a language's words travel as one string
+        self.joined: dict[str, tuple[int, bytes]] = {}
+        langs = rows.column("lang").combine_chunks().dictionary_encode()
+        words = rows.column("word").combine_chunks().cast(pa.binary())
+        codes = langs.indices.to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+        for a, b in zip(edges, edges[1:]):
+            if a < b:
+                self.joined[langs.dictionary[int(codes[a])].as_py()] = (a, b" ".join(words.slice(a, b - a).to_pylist()))
         self.ids: dict[str, dict[bytes, int]] = {}
 
     def prepare(self) -> "Words":
-        if not self.ids:
-            for k, (lang, _, word) in enumerate(self.rows):
-                self.ids.setdefault(lang, {b"": GAP, b"\n": END})[word.encode("utf-8")] = k
+        for lang, (first, joined) in self.joined.items():
+            words = joined.split(b" ")
+            self.ids[lang] = dict(zip(words, range(first, first + len(words))))
+            self.ids[lang].update({b"": GAP, b"\n": END})
+        self.joined = {}
         return self
 
     def of(self, lang: str, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
@@ -211,7 +221,7 @@ def count_longer(texts: DataFrame, words, block, size: int, first: bool) -> Data
                  *[none] * size, pa.array([r[2] for r in rows], pa.int64())], names=["lang", "phrase", *names, "f"])
 
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, size=TEXT):
                 for lang, found in words_by_language(part):
                     ids, kept = known.of(lang, found)
                     a = (ids if phrases is None else phrases.symbols(ids))[:max(0, len(ids) - size + 1)]
@@ -270,9 +280,10 @@ def frequent_phrases(docs: DataFrame, scratch: Scratch, longest: int = LONGEST,
     ranked = frequent.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("f"), "lang", "word").limit(DICTIONARY)
     chosen = scratch.put(ranked, "chosen")
     tail = frequent.join(chosen.select("lang", "word"), ["lang", "word"], "left_anti")
-    words = Words(chosen.toLocalIterator(), None if tail.isEmpty() else _bitmap(tail))
-    names = scratch.put(spark.createDataFrame([(k, lang, w) for k, (lang, _, w) in enumerate(words.rows)],
-                                              "id int, lang string, word string"), "ids")
+    ranks = chosen.orderBy("lang", F.desc("f"), "word").select("lang", "word").toArrow()
+    words = Words(ranks, None if tail.isEmpty() else _bitmap(tail))
+    names = scratch.put(spark.createDataFrame(ranks.append_column("id", pa.array(range(ranks.num_rows), pa.int32())),
+                                              "lang string, word string, id int"), "ids")
     shared = spark.sparkContext.broadcast((scratch.base, words))
     found = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f")
     blocks = [None]
