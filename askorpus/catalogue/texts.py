@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from askorpus.catalogue.registry import (
     DOC_TITLE, DOC_URL, chunk_hash_sql, doc_url, documents, embed_sql, norm_sql, plain_sql,
     quality_sql, query, strip_sql, table, texts, uuid5_sql)
+from askorpus.catalogue.splitting import split_sql
 from askorpus.functions import text as tx
 from askorpus.functions import urls
 from askorpus.operators.chunking import explode_chunks, line_splitter, recursive_splitter, span_splitter
@@ -181,9 +182,18 @@ def ingest_lines(spark, sf_dir):
                              "title", "content", "content_hash", "chunk_hash")
 
 
-def _outcomes_sql(known: str, empty: str) -> str:
+# the same pieces from the recursive splitter
+_SPLIT = f"""
+{split_sql('documents', 'doc_id', 'text')},
+d AS (SELECT doc_id, {DOC_URL} url, sha1({DOC_URL}) slug, {DOC_TITLE} title, source, sha256(text) content_hash, quality
+      FROM documents LEFT JOIN labels USING (doc_id)),
+pieces AS (SELECT d.*, pos, content, {chunk_hash_sql('content')} AS chunk_hash
+           FROM chunks JOIN d ON d.doc_id = chunks.k WHERE {quality_sql('content')})"""
+
+
+def _outcomes_sql(known: str, empty: str, pieces: str = _PIECES) -> str:
     return f"""
-WITH {_PIECES},
+WITH RECURSIVE {pieces},
 known AS (SELECT DISTINCT chunk_hash FROM pieces WHERE {known}),
 fresh AS (SELECT *, row_number() OVER (PARTITION BY chunk_hash ORDER BY slug, pos) rn
           FROM pieces WHERE quality IS DISTINCT FROM 1
@@ -235,10 +245,12 @@ def existing_hash(spark, sf_dir):
     return ing.stored_hashes(_stored_chunks(spark, sf_dir))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {split_sql('documents', 'doc_id', 'text')}
+SELECT k AS doc_id, pos, length(content) AS n_chars, sha256(content) AS content_hash FROM chunks""")
 def chunk_split(spark, sf_dir):
     chunks = explode_chunks(documents(spark, sf_dir).select("doc_id", "text"), recursive_splitter())
-    return chunks.select("doc_id", "pos", F.length("content").alias("n_chars"),
+    return chunks.select("doc_id", F.col("pos").cast("bigint"), F.length("content").cast("bigint").alias("n_chars"),
                          F.sha2("content", 256).alias("content_hash"))
 
 
@@ -278,16 +290,22 @@ def raw_roundtrip(spark, sf_dir):
     return back.select("url", "source", "title", F.sha2("text", 256).alias("text_hash"), "content_hash", "fetched_at")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_SPLIT},
+fresh AS (SELECT *, row_number() OVER (PARTITION BY chunk_hash ORDER BY slug, pos) rn FROM pieces),
+kept AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY pos) - 1 AS i FROM fresh WHERE rn = 1)
+SELECT {uuid5_sql("url || '#' || i")} AS chunk_id, ('0x' || substr(slug, 1, 12))::BIGINT AS document_id,
+       i AS chunk_index, url, title, content_hash, chunk_hash, 64::BIGINT AS dim
+FROM kept""")
 def ingest_first_run(spark, sf_dir):
     """Whole ingest of an empty store with the real splitter and embedder."""
     run = ing.plan_ingest(documents(spark, sf_dir), None, None, recursive_splitter(),
                           HashingEmbedder())
-    return run.chunks.select("chunk_id", "document_id", "chunk_index", "url", "title", "content_hash",
-                             "chunk_hash", F.size("embedding").alias("dim"))
+    return run.chunks.select("chunk_id", "document_id", F.col("chunk_index").cast("bigint"), "url", "title",
+                             "content_hash", "chunk_hash", F.size("embedding").cast("bigint").alias("dim"))
 
 
-@query()
+@query(f"SELECT kind, n_docs, n_chunks FROM ({_outcomes_sql('quality = 1', 'true', _SPLIT)})")
 def ingest_changed_run(spark, sf_dir):
     """Second run with the real splitter: part unchanged, part changed, part new."""
     d = documents(spark, sf_dir)
