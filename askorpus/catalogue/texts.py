@@ -21,6 +21,7 @@ from askorpus.providers import HashingEmbedder
 from askorpus.schemas import RAW_DOC
 from askorpus.sources import rawdocs
 from askorpus.sources.staging import shared_dir
+from askorpus.sources.store import Store
 
 # -- identifiers and scalars ------------------------------------------------
 
@@ -315,6 +316,37 @@ def ingest_changed_run(spark, sf_dir):
     return ing.summarise(run.outcomes)
 
 
+@query(f"""
+WITH RECURSIVE versions AS (
+  SELECT doc_id * 2 v, text t FROM documents
+  UNION ALL SELECT doc_id * 2 + 1, substr(text, 201) FROM documents JOIN labels USING (doc_id) WHERE quality = 0),
+{split_sql('versions', 'v', 't')},
+d AS (SELECT doc_id, {DOC_URL} url, sha1({DOC_URL}) slug, quality FROM documents LEFT JOIN labels USING (doc_id)),
+pieces AS (SELECT d.*, chunks.k % 2 = 1 AS was, pos, content, {chunk_hash_sql('content')} AS chunk_hash
+           FROM chunks JOIN d ON d.doc_id = chunks.k // 2 WHERE {quality_sql('content')}),
+one AS (SELECT *, row_number() OVER (PARTITION BY chunk_hash ORDER BY slug, pos) rn FROM pieces
+        WHERE quality IS NOT NULL AND was = (quality = 0)),
+one_kept AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY pos) - 1 AS i FROM one WHERE rn = 1),
+two AS (SELECT *, row_number() OVER (PARTITION BY chunk_hash ORDER BY slug, pos) rn FROM pieces
+        WHERE NOT was AND quality IS DISTINCT FROM 1
+        AND chunk_hash NOT IN (SELECT chunk_hash FROM one_kept WHERE quality = 1)),
+two_kept AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY pos) - 1 AS i FROM two WHERE rn = 1)
+SELECT {uuid5_sql("url || '#' || i")} AS chunk_id, url, i AS chunk_index, sha256(content) AS text_hash, chunk_hash
+FROM (SELECT * FROM one_kept WHERE quality = 1 UNION ALL SELECT * FROM two_kept)""")
+def store_after_change(spark, sf_dir):
+    """The whole chunk table after two runs: labelled documents, those of low quality in an
+    earlier version, then all documents as they are now."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid4().hex}", ing.TABLES)
+    now = documents(spark, sf_dir).select("doc_id", "url", "source", "title", "text", "content_hash")
+    labelled = now.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").withColumn(
+        "text", F.expr("IF(quality = 0, substring(text, 201), text)"))
+    before = labelled.withColumn("content_hash", F.sha2("text", 256)).drop("doc_id", "quality")
+    for docs in (before, now.drop("doc_id")):
+        ing.ingest(store, docs, recursive_splitter(), HashingEmbedder())
+    return store.read("chunks").select("chunk_id", "url", F.col("chunk_index").cast("bigint"),
+                                       F.sha2("content", 256).alias("text_hash"), "chunk_hash")
+
+
 @query(f"""
 WITH {embed_sql('e', 'documents', 'doc_id', 'text')}
 SELECT k AS doc_id, CASE WHEN w = 0 THEN 0 ELSE w END AS weighted, n_nonzero

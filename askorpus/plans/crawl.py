@@ -96,7 +96,7 @@ def count_statuses(results: DataFrame) -> DataFrame:
 def crawl(store: Store, fetched: DataFrame, news_sources: Sequence[str], news_site: str,
           fetched_at: str, force: bool = False) -> DataFrame:
     """Process a batch of fetched pages into the raw table; returns the results."""
-    existing = store.read("raw") if store.last_run() else None
+    existing = store.read("raw") if store.exists("raw") else None
     processed = staged(process_pages(fetched, news_sources, news_site), "crawl-pages")
     results = staged(fetch_results(processed, existing, force), "crawl")
     docs = staged(payloads(results, fetched_at), "crawl-docs")

@@ -171,7 +171,7 @@ def ingest(store: Store, raw: DataFrame, splitter: Splitter, embedder: Embedder,
 
     ``prune`` also removes documents that are no longer in ``raw``.
     """
-    first = store.last_run() == 0
+    first = not store.exists("docs")
     stored = store.read("docs")
     if only_dry_run:
         return dry_run(raw, stored)
@@ -181,9 +181,10 @@ def ingest(store: Store, raw: DataFrame, splitter: Splitter, embedder: Embedder,
     stale = run.stale
     if prune:
         stale = stale.unionAll(stored.select("url").join(raw.select("url"), "url", "left_anti"))
-    stale = staged(stale, "ingest-stale")
+    stale, docs = staged(stale, "ingest-stale"), staged(run.docs, "ingest-docs")
+    # hashes last: until they are there, a repeated run finds the same documents changed
     store.commit({
         "chunks": Change(run.chunks, stale),
-        "docs": Change(run.docs, stale),
+        "docs": Change(docs, stale),
     })
     return outcomes

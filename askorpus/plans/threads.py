@@ -262,7 +262,7 @@ class ThreadStore:
         """Apply patches; returns the ones that could not be (id, problem)."""
         after, problems = plan_patch(
             patches, self.threads(), F.current_timestamp() if now is None else now)
-        after = staged(after, "patch")
+        after, problems = staged(after, "patch"), staged(problems, "patch-problems")
         self.store.commit({"threads": Change(after, after.select("id"))})
         return problems
 
@@ -280,8 +280,8 @@ class ThreadStore:
         gone = staged(ids.select("id").distinct(), "delete")
         theirs = self.messages().join(
             gone.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
-        self.store.commit({"threads": Change(replaced=gone),
-                           "messages": Change(replaced=theirs.select("id"))})
+        self.store.commit({"messages": Change(replaced=theirs.select("id")),
+                           "threads": Change(replaced=gone)})
 
     def title(self, chat: ChatModel, ids: DataFrame | None = None,
               now: Column | None = None) -> DataFrame:
@@ -306,11 +306,12 @@ class ThreadStore:
         titled = staged(answers(tokens).select(
             F.col("turn_id").alias("id"),
             tx.clean_title(F.col("answer"), self.settings.default_title).alias("title")), "titles")
+        quiet = None if ids is None else staged(
+            untitled.select("id").join(titled.select("id"), "id", "left_anti"), "untitled")
         self.patch(titled.select("id", "title", F.lit(None).cast("boolean").alias("archived"),
                                  F.lit(0).alias("seq")), now)
         if ids is None:
             return titled
-        quiet = untitled.select("id").join(titled.select("id"), "id", "left_anti")
         return titled.unionByName(quiet.withColumn("title", F.lit(self.settings.default_title)))
 
     def unknown(self, ids: DataFrame) -> DataFrame:

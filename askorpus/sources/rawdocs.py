@@ -10,23 +10,39 @@ from askorpus.functions.urls import slug
 from askorpus.functions.values import parse_time
 from askorpus.operators.ordering import first_per_key
 from askorpus.schemas import RAW_DOC
+from askorpus.sources.staging import staged
 
 _WITH_CORRUPT = T.StructType(
     list(RAW_DOC.fields) + [T.StructField("_corrupt", T.StringType())])
 
 
-def read_json_texts(spark: SparkSession, path: str) -> DataFrame:
+# A document that spans lines is read as one value; beyond this it is reported as corrupt.
+LONGEST_FILE = 256 << 20
+
+
+def read_json_texts(spark: SparkSession, path: str, longest: int = LONGEST_FILE) -> DataFrame:
     """One row per document in the *.json files under ``path``: (file, value).
 
-    A file holds one document, which may span lines, or one document on each line.
+    A file holds one document, which may span lines, or one document on each line. Lines are read
+    first, so a file of many documents is split over tasks; it is known by most of its
+    lines being objects. Only the other files, at most ``longest`` bytes each, are read whole.
     """
-    files = (spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
-             .select(F.col("_metadata.file_name").alias("file"), "value"))
-    # every line of its own an object: a line break inside a document never leaves that
-    lines = F.filter(F.split("value", r"\r?\n"), lambda t: F.trim(t) != "")
-    per_line = F.forall(lines, lambda t: F.rlike(t, F.lit(r"^\s*\{.*\}\s*$")))
-    return files.select("file", F.explode(
-        F.when(per_line & (F.size(lines) > 1), lines).otherwise(F.array("value"))).alias("value"))
+    source = spark.read.option("pathGlobFilter", "*.json")
+    lines = source.text(path).select(
+        F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_size").alias("size"), "value").filter(F.trim("value") != "")
+    whole_line = F.rlike("value", F.lit(r"^\s*\{.*\}\s*$"))
+    kinds = staged(lines.groupBy("at", "file", "size").agg(
+        (F.count_if(whole_line) * 2 > F.count("*")).alias("per_line")), "json-kinds")
+    by_line = kinds.filter("per_line").select("at")
+    records = lines.join(by_line, "at", "left_semi").select("file", "value")
+    # the size is compared when files are listed, so larger ones are not opened
+    single = (source.text(path, wholetext=True).filter(F.col("_metadata.file_size") <= longest)
+              .select(F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_name").alias("file"), "value")
+              .join(by_line, "at", "left_anti").select("file", "value"))
+    beyond = kinds.filter(~F.col("per_line") & (F.col("size") > longest)).select(
+        "file", F.concat(F.lit("too long for one document: "), F.col("size")).alias("value"))
+    return records.unionAll(single).unionAll(beyond)
 
 
 def parse_raw(texts: DataFrame, only: str | None = None, value: str = "value") -> DataFrame:

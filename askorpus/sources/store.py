@@ -1,8 +1,10 @@
-"""Keyed Parquet tables that change by appending.
+"""Keyed Parquet tables in hash buckets of their key.
 
-A change writes the new rows of a run and the keys they replace, then a commit
-marker; nothing is rewritten, so the cost of a change follows its size. Reading
-drops rows whose key a later run replaced. ``compact`` folds the runs together.
+A bucket is a folder. Rows with new keys are added to their buckets as further files. Where a change
+replaces or removes rows that exist, Spark rewrites just the buckets they lie in, by dynamic partition
+overwrite. Applying the same change again gives the same table, so a run that was cut short
+is repaired by repeating it. One writer at a time; with a table format at hand, replace ``commit``
+by its MERGE.
 """
 
 from __future__ import annotations
@@ -10,10 +12,16 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from askorpus.operators.membership import wide_anti
+from askorpus.sources.staging import staged
+
+# Buckets of a table. Choose so many that one of them is a few hundred megabytes.
+BUCKETS = 16
+
 
 @dataclass(frozen=True)
 class Table:
@@ -23,109 +31,80 @@ class Table:
 
 @dataclass(frozen=True)
 class Change:
-    """Rows to add, and (optionally) a one-column frame of keys they replace."""
+    """Rows to write, and (optionally) a one-column frame of keys to remove. Stored rows with
+    the key of a written row are replaced."""
 
     rows: DataFrame | None = None
     replaced: DataFrame | None = None
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, tables: Mapping[str, Table]) -> None:
-        self.spark, self.root, self.tables = spark, root.rstrip("/"), dict(tables)
+    def __init__(self, spark: SparkSession, root: str, tables: Mapping[str, Table], buckets: int = BUCKETS) -> None:
+        self.spark, self.root, self.tables, self.buckets = spark, root.rstrip("/"), dict(tables), buckets
 
     # -- reading -----------------------------------------------------------
 
+    def exists(self, name: str) -> bool:
+        """Whether the table has ever been written."""
+        return self._fs().exists(self._path(f"{self.root}/{name}"))
+
     def read(self, name: str) -> DataFrame:
         """Current rows of a table."""
-        return self._current(name).drop("run")
-
-    def last_run(self) -> int:
-        return self._span()[1]
-
-    def _span(self) -> tuple[int, int]:
-        """First run that still counts and last committed run."""
-        runs = self._runs()
-        base = max([n for n, kind in runs if kind == "base"], default=0)
-        return base, max([n for n, kind in runs if kind != "claim"], default=0)
-
-    def _runs(self) -> list[tuple[int, str]]:
-        """(number, kind) of every marker: a claim, then a run or base once its data is there."""
-        folder, files = self._path(f"{self.root}/_commits"), self._fs()
-        if not files.exists(folder):
-            return []
-        names = [status.getPath().getName().partition("-") for status in files.listStatus(folder)]
-        return [(int(number), kind) for number, _, kind in names]
-
-    def _open_claims(self, base: int, last: int) -> list[int]:
-        """Numbers up to the last committed one whose writer has not committed (yet)."""
-        runs = self._runs()
-        done = {n for n, kind in runs if kind != "claim"}
-        return sorted({n for n, kind in runs if kind == "claim" and base <= n <= last} - done)
-
-    def _part(self, name: str, part: str, schema: T.StructType) -> DataFrame:
-        with_run = T.StructType(list(schema.fields) + [T.StructField("run", T.IntegerType())])
-        where = f"{self.root}/{name}/{part}"
-        if not self._fs().exists(self._path(where)):
-            return self.spark.createDataFrame([], with_run)
-        base, last = self._span()
-        rows = self.spark.read.schema(with_run).parquet(where).filter(F.col("run").between(base, last))
-        pending = self._open_claims(base, last)
-        return rows.filter(~F.col("run").isin(pending)) if pending else rows
-
-    def _current(self, name: str) -> DataFrame:
-        table = self.tables[name]
-        key_only = T.StructType([table.schema[table.key]])
-        rows = self._part(name, "rows", table.schema)
-        if not self._anything_replaced(name):
-            return rows
-        dead = (self._part(name, "replaced", key_only)
-                .groupBy(table.key).agg(F.max("run").alias("until")))
-        gone = (rows[table.key] == dead[table.key]) & (rows["run"] < dead["until"])
-        return rows.join(dead, gone, "left_anti")
-
-    def _anything_replaced(self, name: str) -> bool:
-        """Whether a run after the base replaced keys; if not, reading is a plain scan."""
-        base, last = self._span()
-        folder = self._path(f"{self.root}/{name}/replaced")
-        if not self._fs().exists(folder):
-            return False
-        runs = (s.getPath().getName().partition("=") for s in self._fs().listStatus(folder))
-        return any(base < int(number) <= last for kind, _, number in runs if kind == "run")
+        return self._stored(name).drop("bucket")
+
+    def _stored(self, name: str) -> DataFrame:
+        full = T.StructType([*self.tables[name].schema.fields, T.StructField("bucket", T.IntegerType())])
+        if not self.exists(name):
+            return self.spark.createDataFrame([], full)
+        return self.spark.read.schema(full).parquet(f"{self.root}/{name}")
 
     # -- writing -----------------------------------------------------------
 
-    def commit(self, changes: Mapping[str, Change], kind: str = "run") -> int:
-        """Take a number, write every change under it, then the marker that makes them
-        visible together. Writers at the same time get numbers of their own."""
-        run = self._claim()
-        for name, change in changes.items():
-            table = self.tables[name]
-            if change.rows is not None:
-                self._write(change.rows.select(table.schema.fieldNames()), name, "rows", run)
-            if change.replaced is not None:
-                self._write(change.replaced.select(table.key).distinct(), name, "replaced", run)
-        self._fs().create(self._path(f"{self.root}/_commits/{run:09d}-{kind}"), False).close()
-        return run
-
-    def _claim(self) -> int:
-        run = max([n for n, _ in self._runs()], default=0) + 1
-        while True:
-            try:
-                # fails if another writer has taken this number
-                self._fs().create(self._path(f"{self.root}/_commits/{run:09d}-claim"), False).close()
-                return run
-            except Exception as problem:
-                if "already exists" not in str(problem):
-                    raise
-                run += 1
-
-    def _write(self, df: DataFrame, name: str, part: str, run: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/{part}/run={run}")
-
-    def compact(self) -> int:
-        """Rewrite the current rows as one run and ignore all earlier ones. Call it while
-        nobody writes: a run that is claimed but not committed would be left behind."""
-        return self.commit({n: Change(rows=self.read(n)) for n in self.tables}, kind="base")
+    def commit(self, changes: Mapping[str, Change]) -> dict[str, list[int]]:
+        """Apply changes table by table, in their order; returns the buckets rewritten in each."""
+        return {name: self._apply(name, change) for name, change in changes.items()}
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _apply(self, name: str, change: Change) -> list[int]:
+        table = self.tables[name]
+        rows = None
+        if change.rows is not None:
+            # written out first: rows may come from the files that are about to be replaced
+            rows = staged(change.rows.select(*table.schema.fieldNames()).withColumn("bucket", self._bucket(F.col(table.key))), "store-rows")
+        touched = []
+        if self.exists(name):
+            keys = [f.select(table.key) for f in (rows, change.replaced) if f is not None]
+            keys = staged((keys[0].unionAll(keys[1]) if len(keys) > 1 else keys[0]).distinct(), "store-keys")
+            # keys and bucket numbers only; there are no more numbers than buckets
+            hit = self._stored(name).select(table.key, "bucket").join(keys, table.key, "left_semi")
+            touched = sorted(r[0] for r in hit.select("bucket").distinct().collect())
+            if touched:
+                kept = wide_anti(self._stored(name).filter(F.col("bucket").isin(touched)), keys, [table.key])
+                if rows is not None:
+                    kept = kept.unionByName(rows.filter(F.col("bucket").isin(touched)))
+                self._overwrite(staged(kept, "store-kept"), name, touched)
+        if rows is not None:
+            self._write(rows.filter(~F.col("bucket").isin(touched)) if touched else rows, name, "append")
+        return touched
+
+    def _overwrite(self, kept: DataFrame, name: str, touched: list[int]) -> None:
+        """Put ``kept`` in place of the buckets; one without rows is not part of the overwrite and goes."""
+        self._write(kept, name, "overwrite")
+        full = {r[0] for r in kept.select("bucket").distinct().collect()}
+        for bucket in set(touched) - full:
+            self._fs().delete(self._path(f"{self.root}/{name}/bucket={bucket}"), True)
+
+    def _write(self, df: DataFrame, name: str, mode: str) -> None:
+        spread = df.repartition("bucket")
+        spread.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
+
+    def compact(self) -> None:
+        """Write every bucket as one set of files again. Nobody may write meanwhile."""
+        for name in self.tables:
+            if self.exists(name):
+                self._write(staged(self._stored(name), "store-compact"), name, "overwrite")
 
     def reset(self, confirm: bool = False) -> None:
         """Delete every table of this store. Raw documents live elsewhere and stay."""
