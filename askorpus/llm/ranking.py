@@ -14,10 +14,10 @@ contributions together stay below the floor need no lists: a document that holds
 of the query can not reach it. Blocks are built for the lists that some query opens, and
 keep the coordinates that such queries ask for.
 
-Steps: read texts once, keeping each document's query terms; sum statistics; floors; index (a
-table, one row per shard); search. Queries are taken in batches of bounded size, each with a pass of
-its own; texts and lists never leave their shard, only the best of each query are
-shuffled.
+Steps: read texts once, keeping each document's query terms; sum statistics; floors; index and
+search shard by shard, where the lists stay in the memory of the task that needs them.
+Queries are taken in batches of bounded size, each with a pass of its own; only the best of each
+query are shuffled.
 
 Weights and impacts: w = floor(1000 ln((2N+2)/(2df+1))), impact = 10^9 tf div (1000 tf + 20 m),
 m = 50 + (50 n N div L); the score of a document is the sum of w * impact over the query's
@@ -48,7 +48,9 @@ from askorpus.llm.shared import Scratch, slices, table
 TOP = 50
 # Documents of a block; documents and postings of a shard.
 BLOCK = 16
-SHARD, POSTINGS = 1024, 1 << 18
+SHARD, POSTINGS = 4096, 1 << 20
+# Bytes of text whose words a task holds at a time, where a text is not longer by itself.
+TEXT = 2 << 20
 # Term occurrences of the queries that are searched in one pass.
 QUERY_TERMS = 1 << 17
 # A floor looks at a query's rarest terms until they have so many postings for each result.
@@ -100,6 +102,16 @@ class Queries:
             self.opened.append(own[order[closed:]][::-1])
 
 
+    def coordinates(self) -> dict[int, np.ndarray]:
+        """Terms of the queries that open each list."""
+        lists = np.concatenate([*(np.repeat(o, len(t)) for o, t in zip(self.opened, self.terms)), np.zeros(0, np.int64)])
+        asked = np.concatenate([*(np.tile(t, len(o)) for o, t in zip(self.opened, self.terms)), np.zeros(0, np.int64)])
+        size = max(1, len(self.vocabulary))
+        keys = np.unique(lists * size + asked)
+        found, starts = np.unique(keys // size, return_index=True)
+        return dict(zip(found.tolist(), np.split(keys % size, starts[1:])))
+
+
 def forward(docs: DataFrame, queries) -> DataFrame:
     """(doc_id, n, terms, tfs) of documents with a term: all its terms counted, query terms kept."""
     schema = "doc_id long, n long, terms array<int>, tfs array<int>"
@@ -108,7 +120,7 @@ def forward(docs: DataFrame, queries) -> DataFrame:
         vocabulary = queries.value.vocabulary
         size = max(1, len(vocabulary))
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, size=TEXT):
                 words = [words_of(t) for t in part.column(1).to_pylist()]
                 n = np.array([len(w) for w in words], np.int64)
                 ids = np.fromiter(map(vocabulary.get, chain.from_iterable(words), repeat(-1)), np.int64, int(n.sum()))
@@ -252,77 +264,51 @@ def blocks_of(rows: np.ndarray, sketch: np.ndarray, size: int = BLOCK) -> tuple[
     return rows[order], np.flatnonzero(place % size == 0)
 
 
-INDEX = ["doc_ids array<long>", "ends array<int>", "terms array<int>", "impacts array<int>", "lists array<int>",
-         "list_blocks array<int>", "rows array<int>", "block_rows array<int>", "block_maxima array<int>",
-         "max_terms array<int>", "maxima array<int>"]
-
-
-def build_index(rows: DataFrame, queries, stats) -> DataFrame:
-    """One row per shard: its documents, the ``lists`` (terms) that queries open, the first block of
-    each, the ``rows`` of all blocks in order, and where each block's rows and maxima begin."""
-    names = [c.split()[0] for c in INDEX]
-
-    def run(batches):
-        own = queries.value
-        size = len(own.vocabulary)
-        asked: dict[int, set[int]] = {}
-        for terms, opened in zip(own.terms, own.opened):
-            for t in opened.tolist():
-                asked.setdefault(t, set()).update(terms.tolist())
-        wanted = {t: np.array(sorted(c), np.int64) for t, c in asked.items()}
-        inside = np.zeros(size, bool)
-        for shard in shards(batches, stats):
-            postings, starts = shard.lists(size)
-            sketch = shard.sketch(own.weight, size)
-            lists, first, ordered, block_rows, block_maxima, terms, maxima = [], [], [], [], [], [], []
-            blocks = placed = held = 0
-            for t in sorted(wanted):
-                rows = postings[starts[t]:starts[t + 1]]
-                if not len(rows):
-                    continue
-                rows, begins = blocks_of(rows, sketch)
-                inside[wanted[t]] = True
-                at, row_starts = shard.entries(rows)
-                block = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(rows))))
-                block = np.repeat(block, shard.ends[rows + 1] - shard.ends[rows])
-                good = inside[shard.terms[at]]
-                inside[wanted[t]] = False
-                keys = block[good] * size + shard.terms[at[good]]
-                order = np.argsort(keys, kind="stable")
-                keys, values = keys[order], shard.impacts[at[good]][order]
-                heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-                keys, values = keys[heads], np.maximum.reduceat(values, heads)
-                lists.append(t)
-                first.append(blocks)
-                ordered.append(rows)
-                block_rows.append(begins + placed)
-                block_maxima.append(np.searchsorted(keys, np.arange(len(begins)) * size) + held)
-                terms.append(keys % size)
-                maxima.append(values)
-                blocks, placed, held = blocks + len(begins), placed + len(rows), held + len(keys)
-            joined = [np.array(lists), np.array([*first, blocks]), *map(
-                lambda c: np.concatenate([*c, np.zeros(0, np.int64)]),
-                (ordered, [*block_rows, [placed]], [*block_maxima, [held]], terms, maxima))]
-            columns = [shard.ids, *(pa.array(c, pa.int32()) for c in (shard.ends, shard.terms, shard.impacts, *joined))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names=names)
-
-    return rows.mapInArrow(run, ", ".join(INDEX))
-
+class Index:
+    """Blocks of one shard: the lists (terms) that queries open, the rows of each block and the
+    largest impacts in it. ``met`` and ``read`` count blocks whose bound was asked for, and
+    those that had to be read."""
 
-class Search:
-    """Queries over one shard of the index."""
-
-    def __init__(self, row: dict[str, pa.Array]):
-        ids = row.pop("doc_ids")
-        read = {c: v.to_numpy().astype(np.int64) for c, v in row.items()}
-        self.shard = Shard(ids, read["ends"], read["terms"], read["impacts"])
-        self.order = pa.compute.fill_null(ids, LAST).to_numpy()
-        self.list_of = {t: k for k, t in enumerate(read["lists"].tolist())}
-        self.blocks, self.rows = read["list_blocks"], read["rows"]
-        self.block_rows, self.block_maxima = read["block_rows"], read["block_maxima"]
-        self.max_terms, self.maxima = read["max_terms"], read["maxima"]
+    def __init__(self, shard: Shard, weight: np.ndarray, wanted: dict[int, np.ndarray]):
+        self.shard = shard
+        self.order = pa.compute.fill_null(shard.ids, LAST).to_numpy()
         self.met = self.read = 0
+        size = len(weight)
+        postings, starts = shard.lists(size)
+        sketch = shard.sketch(weight, size)
+        inside = np.zeros(size, bool)
+        self.list_of: dict[int, int] = {}
+        first, ordered, block_rows, block_maxima, terms, maxima = [], [], [], [], [], []
+        blocks = placed = held = 0
+        for t, coordinates in wanted.items():
+            rows = postings[starts[t]:starts[t + 1]]
+            if not len(rows):
+                continue
+            rows, begins = blocks_of(rows, sketch)
+            inside[coordinates] = True
+            at, _ = shard.entries(rows)
+            block = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(rows))))
+            block = np.repeat(block, shard.ends[rows + 1] - shard.ends[rows])
+            good = inside[shard.terms[at]]
+            inside[coordinates] = False
+            keys = block[good] * size + shard.terms[at[good]]
+            order = np.argsort(keys, kind="stable")
+            keys, values = keys[order], shard.impacts[at[good]][order]
+            heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            keys, values = keys[heads], np.maximum.reduceat(values, heads)
+            self.list_of[t] = len(first)
+            first.append(blocks)
+            ordered.append(rows.astype(np.int32))
+            block_rows.append(begins + placed)
+            block_maxima.append(np.searchsorted(keys, np.arange(len(begins)) * size) + held)
+            terms.append((keys % size).astype(np.int32))
+            maxima.append(values.astype(np.int32))
+            blocks, placed, held = blocks + len(begins), placed + len(rows), held + len(keys)
+        self.blocks = np.array([*first, blocks])
+        self.rows, self.max_terms, self.maxima = (
+            np.concatenate([*c, np.zeros(0, np.int32)]) for c in (ordered, terms, maxima))
+        self.block_rows = np.concatenate([*block_rows, [placed]])
+        self.block_maxima = np.concatenate([*block_maxima, [held]])
 
     def bounds(self, number: int, weights: np.ndarray) -> tuple[int, np.ndarray]:
         """First block of a list, and an upper bound for each of its blocks."""
@@ -358,25 +344,26 @@ class Search:
         return rows, scores
 
 
-def search_index(index: DataFrame, queries, top: int) -> DataFrame:
-    """(query, doc_id, score): the best of every query in each shard."""
+def search_shards(rows: DataFrame, queries, stats, top: int) -> DataFrame:
+    """(query, doc_id, score): the best of every query in each shard, which is indexed and searched
+    by the same task."""
     def run(batches):
         own = queries.value
-        for batch in batches:
-            for k in range(batch.num_rows):
-                search = Search({c: batch.column(c)[k].values for c in batch.schema.names})
-                numbers, ids, scores = [], [], []
-                for q, opened in enumerate(own.opened):
-                    if len(opened):
-                        rows, found = search.top(own.weights_of(q), opened, int(own.floor[q]), top)
-                        numbers += [q] * len(rows)
-                        ids.append(search.shard.ids.take(pa.array(rows)))
-                        scores.append(found)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers, pa.int32()), pa.concat_arrays([*ids, pa.array([], pa.int64())]),
-                     pa.array(np.concatenate([*scores, np.zeros(0, np.int64)]))], names=["query", "doc_id", "score"])
+        wanted = own.coordinates()
+        for shard in shards(batches, stats):
+            index = Index(shard, own.weight, wanted)
+            numbers, ids, scores = [], [], []
+            for q, opened in enumerate(own.opened):
+                if len(opened):
+                    near, found = index.top(own.weights_of(q), opened, int(own.floor[q]), top)
+                    numbers += [q] * len(near)
+                    ids.append(shard.ids.take(pa.array(near)))
+                    scores.append(found)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(numbers, pa.int32()), pa.concat_arrays([*ids, pa.array([], pa.int64())]),
+                 pa.array(np.concatenate([*scores, np.zeros(0, np.int64)]))], names=["query", "doc_id", "score"])
 
-    return index.mapInArrow(run, "query int, doc_id long, score long")
+    return rows.mapInArrow(run, "query int, doc_id long, score long")
 
 
 def _batches(items: DataFrame, limit: int):
@@ -419,9 +406,8 @@ def _search_batch(docs: DataFrame, batch, scratch: Scratch, name: str, top: int)
         largest[r["key"]] = r["value"]
     own.open_lists(largest)
     shared = spark.sparkContext.broadcast(own)
-    index = scratch.put(build_index(rows, shared, (many, words)), f"{name}_index")
-    found = scratch.put(search_index(index, shared, top), f"{name}_found")
-    scratch.drop(f"{name}_forward", f"{name}_index", f"{name}_floors")
+    found = scratch.put(search_shards(rows, shared, (many, words), top), f"{name}_found")
+    scratch.drop(f"{name}_forward", f"{name}_floors")
     names = spark.createDataFrame(list(enumerate(own.ids)), "query int, item_id long")
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
