@@ -35,10 +35,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from askorpus.llm.shared import Scratch, table, with_columns_by_arrow
+from askorpus.operators.membership import marked
 
 WORDS = 5
 PERCENT = 75
@@ -217,7 +218,10 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     total, turn = None, 0
     while True:
         now = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
+        if turn:
+            scratch.drop(f"{name}-{turn - 1}")
         if now == total or now is None:
+            scratch.drop(f"{name}-edges")
             return labels
         total, turn = now, turn + 1
         seen = labels.select(F.col("id").alias("b"), F.col("comp").alias("c"))
@@ -276,14 +280,17 @@ def link_buckets(scratch: Scratch, members: DataFrame, sigs: DataFrame, sets: Da
         rows = scratch.put(rows.join(largest.select(
             "key", F.negative("m.c").alias("most"), "n", (F.col("n") - F.col("m.n")).alias("outside")), "key"), f"open-{turn}")
         if rows.isEmpty():
+            scratch.drop(f"open-{turn}")
             continue
         pairs = scratch.put(worth_confirming(rows, sigs, star, best, percent), f"pairs-{turn}")
         edges = scratch.put(confirmed(pairs, sets, percent), f"links-{turn}")
+        scratch.drop(f"open-{turn}", f"pairs-{turn}")
         if state is not None:  # links between the components so far
             for side in ("a", "b"):
                 own = state.select(F.col("id").alias(side), F.col("comp").alias("c"))
                 edges = edges.join(own, side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
         merged = components(scratch, edges, f"comp-{turn}")
+        scratch.drop(f"links-{turn}")
         if state is None:
             state = merged
             continue
@@ -306,18 +313,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     reps = own.groupBy("set1", "set2").agg(F.min(F.struct("doc_id", "text_hash")).alias("m"))
     reps = scratch.put(reps.select("set1", "set2", F.col("m.doc_id").alias("doc"), F.col("m.text_hash").alias("hash"),
                                    F.monotonically_increasing_id().alias("id")), "reps")
-    firsts = own.join(reps, ["set1", "set2"]).where("doc_id = doc AND text_hash = hash").dropDuplicates(["id"])
+    # by the row that stands for a set, so that the copies of one do not meet in a task
+    same = reps.withColumnsRenamed({"doc": "doc_id", "hash": "text_hash"})
+    firsts = own.select("doc_id", "text_hash", "set1", "set2", "bands").join(
+        same, ["doc_id", "text_hash", "set1", "set2"]).dropDuplicates(["id"])
     firsts = scratch.put(firsts.select("id", "bands"), "firsts")
     buckets = firsts.select("id", F.posexplode("bands").alias("band", "key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     members = scratch.put(buckets.join(shared, "key"), "members")
-    met = scratch.put(reps.join(members.select("id").distinct(), "id").select(
-        F.col("doc").alias("doc_id"), F.col("hash").alias("text_hash"), "id"), "met")
-    texts = docs.join(met, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"]).select("id", "text")
+    met = scratch.put(same.join(members.select("id").distinct(), "id").select("doc_id", "text_hash", "id"), "met")
+    # texts that met no other stay where they are
+    texts = marked(docs, met, ["doc_id", "text_hash"]).where("_may").join(met, ["doc_id", "text_hash"]).dropDuplicates(
+        ["doc_id", "text_hash"]).select("id", "text")
     sets = scratch.put(with_columns_by_arrow(
         texts, ["text"], "shingles binary, sig binary", partial(_set_maker, words), keep=["id"]), "sets")
     sigs = scratch.put(firsts.join(sets.select("id", "sig"), "id"), "sigs")
+    scratch.drop("firsts", "met")
     found = link_buckets(scratch, members, sigs, sets, percent)
+    scratch.drop("members", "sets", "sigs")
     lead = F.struct("doc", "set1", "set2")
     ids = reps.withColumn("lead", lead)
     if found is not None:
@@ -352,17 +365,22 @@ def _set_maker(words: int):
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One document of each component: the one with the smallest doc_id. Documents without
     words or without a doc_id stay; of rows that repeat both doc_id and set, one stays."""
-    found = near_duplicates(docs, words, percent).where("doc_id IS NOT NULL AND n_shingles > 0")
-    kept = found.where("kept").groupBy("doc_id", "set1", "set2").agg(F.min("text_hash").alias("__hash")).select(
-        F.col("doc_id").alias("__id"), "__hash")
-    linked = found.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    rows = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__hash": _text_hash()})
-    first = rows.join(kept, ["__id", "__hash"], "left_semi")
-    # rows without words or without an id are in neither list
-    rest = rows.join(linked, ["__id", "__hash"], "left_anti")
-    place = Window.partitionBy("__id", "__hash").orderBy("__hash")
-    first = first.withColumn("__place", F.row_number().over(place)).where("__place = 1")
-    return first.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    scratch = Scratch(docs.sparkSession, "without-neardup")
+    found = scratch.put(near_duplicates(docs, words, percent).where("doc_id IS NOT NULL AND n_shingles > 0").select(
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "set1", "set2", "kept"), "found")
+    kept = found.where("kept").groupBy("id", "set1", "set2").agg(F.min("hash").alias("hash")).select(
+        "id", "hash", F.lit(True).alias("stays")).distinct()
+    state = found.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("n")).join(kept, ["id", "hash"], "left")
+    # texts that go, or that are there more than once: only these are moved
+    concerned = scratch.put(state.where("n > 1 OR stays IS NULL").select(
+        "id", "hash", F.coalesce("stays", F.lit(False)).alias("stays")), "concerned")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       F.xxhash64("text").alias("hash"))
+    flagged = marked(rows, concerned, ["id", "hash"])
+    judged = flagged.where("_may").join(concerned, ["id", "hash"], "left")
+    one = judged.where("stays").dropDuplicates(["id", "hash"])
+    out = flagged.where("NOT _may").select("row").unionAll(judged.where("stays IS NULL").select("row")).unionAll(one.select("row"))
+    return out.select("row.*")
 
 
 def op9_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
