@@ -6,9 +6,10 @@ documents. A term's weight is its inverse document frequency times its contrast:
 ratio of its shares in toxic and in other training rows, in standard errors. A weak contrast
 makes a term light, none leaves it out. A text is a weighted vector of
 unit length over it. Labelled examples are kept in an inverted index whose lists are cut into
-blocks of ``BLOCK`` examples with the largest weight of each block. A query adds up the block
-maxima of its terms, reads blocks in the order of that bound, and stops when the bound is
-below its k-th best cosine: the nearest examples are exact.
+blocks of ``BLOCK`` examples with the largest weight of each block. Lists of common terms are kept
+as dense rows, so several texts are searched by one matrix product. A query adds up the block
+maxima of its terms, reads the blocks of highest bound, and then only those whose bound is
+not below its k-th best cosine: the nearest examples are exact.
 
 The vote is the mean label of the k nearest, weighted by cosine, and pulled to the share of
 toxic rows with the weight ``PULL``, so faint likeness decides little. A logistic curve,
@@ -33,6 +34,7 @@ import hashlib
 import re
 from collections import Counter
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,9 @@ EXAMPLES = 4000
 LEAST_CONTRAST = 0.05
 BLOCK = 64
 FIRST_BLOCKS = 4
+# A term is common if one in so many examples has it; texts that are searched together.
+COMMON = 24
+TEXTS = 64
 PULL = 0.5
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -93,20 +98,37 @@ class Known:
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary, self.words = vocabulary, {}
 
+    def _own(self, word: str) -> tuple[int, ...]:
+        get = self.vocabulary.get
+        if len(word) > 4:
+            found = (get(word), get(word[:4] + "-"), get(word[:5] + "-"))
+        else:
+            found = (get(word), get(word + "-")) if len(word) == 4 else (get(word),)
+        own = self.words[word] = tuple([k for k in found if k is not None]) if any(k is not None for k in found) else ()
+        return own
+
+    def _words(self, text: str) -> list[str]:
+        if len(self.words) > 300_000:
+            self.words.clear()
+        return WORD.findall(text.lower())
+
     def __call__(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
         if text:
-            if len(self.words) > 200_000:
-                self.words.clear()
-            words = self.words
-            for word, n in Counter(WORD.findall(text.lower())).items():
-                own = words.get(word)
-                if own is None:
-                    own = words[word] = tuple(k for t in _terms(word) if (k := self.vocabulary.get(t)) is not None)
-                for k in own:
+            words, own = self._words(text), self.words.get
+            for word, n in Counter(words).items():
+                found = own(word)
+                for k in self._own(word) if found is None else found:
                     out[k] = out.get(k, 0) + n
         return out
 
+    def distinct(self, text: str | None) -> set[int]:
+        """The terms alone."""
+        if not text:
+            return set()
+        words, own = set(self._words(text)), self.words.get
+        return set(chain.from_iterable([self._own(w) if (f := own(w)) is None else f for w in words]))
+
 
 def _frequencies(batches, vocabulary):
     """Documents of a task that have each term, and how many of them are toxic; term -1
@@ -115,7 +137,7 @@ def _frequencies(batches, vocabulary):
     counts = np.zeros((len(vocabulary.value) + 1, 2), np.int64)
     for batch in batches:
         for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-            own = list(known(text.as_py())) or [-1]
+            own = list(known.distinct(text.as_py())) or [-1]
             counts[own, 0] += 1
             if toxic and toxic > 0:
                 counts[own, 1] += 1
@@ -174,12 +196,10 @@ class Model:
         order = np.argsort(terms, kind="stable")
         terms, self.rows = terms[order], rows[order]
         self.weights = np.concatenate([w for _, w in vectors])[order] if vectors else np.zeros(0)
-        # the list of term t is rows[at[t]:at[t + 1]], its blocks are blocks_of[peaks_at[t]:peaks_at[t + 1]]
+        # the list of term t is rows[at[t]:at[t + 1]]
         self.at = np.searchsorted(terms, np.arange(len(self.idf) + 1))
-        new = np.flatnonzero(np.concatenate(([True], (np.diff(terms) != 0) | (np.diff(self.rows // BLOCK) != 0)))[:len(terms)])
-        self.peaks = np.maximum.reduceat(self.weights, new) if len(new) else np.zeros(0)
-        self.blocks_of = self.rows[new] // BLOCK
-        self.peaks_at = np.searchsorted(terms[new], np.arange(len(self.idf) + 1))
+        self.dense = self.dense_peaks = self.place = None
+        self.met = self.read = 0
 
     def _weighted(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = (1 + np.log(counts)) * self.idf[terms]
@@ -190,41 +210,67 @@ class Model:
         terms, weights = self._weighted(*_arrays(counts))
         return dict(zip(terms.tolist(), weights.tolist()))
 
+    def prepare(self) -> "Model":
+        """Makes what a search needs beside the lists: terms that many examples have, as rows of a dense
+        matrix with the largest weight of each block. Not sent with the model."""
+        if self.dense is None:
+            sizes = np.diff(self.at)
+            common = np.flatnonzero(sizes * COMMON > max(1, len(self.ids)))
+            self.place = np.full(len(sizes), -1)
+            self.place[common] = np.arange(len(common))
+            self.dense = np.zeros((len(common), self.blocks * BLOCK))
+            for k, t in enumerate(common.tolist()):
+                at = slice(self.at[t], self.at[t + 1])
+                self.dense[k, self.rows[at]] = self.weights[at]
+            self.dense_peaks = self.dense.reshape(len(common), self.blocks, BLOCK).max(2)
+        return self
+
     def nearest(self, counts, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, example row) of the k nearest with a positive cosine, ties to the smaller id."""
-        terms, query = self._weighted(*_arrays(counts))
-        if not len(terms):
-            return []
-        sizes = self.peaks_at[terms + 1] - self.peaks_at[terms]
-        where = _ranges(self.peaks_at[terms], sizes)
-        bounds = np.bincount(self.blocks_of[where], np.repeat(query, sizes) * self.peaks[where], self.blocks)
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        sizes = self.at[terms + 1] - self.at[terms]
-        where = _ranges(self.at[terms], sizes)
-        rows, query = self.rows[where], np.repeat(query, sizes)
+        return self.nearest_all([counts], [skip])[0]
+
+    def nearest_all(self, queries, skips) -> list[list[tuple[float, int]]]:
+        """``nearest`` of several texts. Lists of rare terms are short and added up first; a block's
+        bound is the best of these sums in it and its largest weights of common terms."""
+        self.prepare()
+        size = self.blocks * BLOCK
+        if not size or not len(queries):
+            return [[] for _ in queries]
+        common = np.zeros((len(queries), len(self.dense)))
+        sums = np.empty((len(queries), size))
+        for q, counts in enumerate(queries):
+            terms, weights = self._weighted(*_arrays(counts))
+            there = self.place[terms]
+            common[q, there[there >= 0]] = weights[there >= 0]
+            terms, weights = terms[there < 0], weights[there < 0]
+            sizes = self.at[terms + 1] - self.at[terms]
+            where = _ranges(self.at[terms], sizes)
+            sums[q] = np.bincount(self.rows[where], np.repeat(weights, sizes) * self.weights[where], size)
+        bounds = sums.reshape(len(queries), self.blocks, BLOCK).max(2) + common @ self.dense_peaks
         # the most promising blocks give a k-th cosine; then all blocks that may still beat it
-        best = self._read(rows, where, query, order[:FIRST_BLOCKS], skip)
-        rest = order[FIRST_BLOCKS:]
-        if len(best) >= self.k:
-            rest = rest[bounds[rest] >= -best[self.k - 1][0] - 1e-9]
-        if len(rest):
-            best = sorted(best + self._read(rows, where, query, rest, skip))[:self.k]
-        return [(-c, r) for c, r in best]
-
-    def _read(self, rows, where, query, blocks, skip) -> list[tuple[float, int]]:
-        """(-cosine, row) of the best k rows of some blocks, best first."""
-        wanted = np.zeros(self.blocks, bool)
-        wanted[blocks] = True
-        inside = np.flatnonzero(wanted[rows // BLOCK])
-        sums = np.round(np.bincount(rows[inside], query[inside] * self.weights[where[inside]], len(self.ids)), 12)
-        if skip >= 0:
-            sums[skip] = 0
-        found = np.flatnonzero(sums > 0)
-        if len(found) > self.k:
-            least = np.partition(sums[found], len(found) - self.k)[len(found) - self.k]
-            found = found[sums[found] >= least]
-        return sorted(zip((-sums[found]).tolist(), found.tolist()))[:self.k]
+        least = np.full(len(queries), 0.0)
+        first = np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST_BLOCKS]
+        for q, blocks in enumerate(first):
+            rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            found = np.sort(sums[q, rows[rows != skips[q]]] + common[q] @ self.dense[:, rows[rows != skips[q]]])
+            if len(found) >= self.k:
+                least[q] = max(0.0, found[-self.k])
+        wanted = (bounds >= least[:, None] - 1e-9) & (bounds > 0)
+        self.met, self.read = self.met + wanted.size, self.read + int(wanted.sum())
+        some = np.flatnonzero(wanted.any(0))
+        rows = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+        cosines = np.round(sums[:, rows] + common @ self.dense[:, rows], 12)
+        cosines[~np.repeat(wanted[:, some], BLOCK, axis=1)] = 0
+        out = []
+        for q, own in enumerate(cosines):
+            own[rows == skips[q]] = 0
+            found = np.flatnonzero(own > 0)
+            if len(found) > self.k:
+                cut = np.partition(own[found], len(found) - self.k)[len(found) - self.k]
+                found = found[own[found] >= cut]
+            best = found[np.lexsort((rows[found], -own[found]))][:self.k]
+            out.append(list(zip(own[best].tolist(), rows[best].tolist())))
+        return out
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(c for c, _ in near)
@@ -234,10 +280,11 @@ class Model:
         """``base``: share of toxic training rows; ``bare``: the same where no term is found."""
         self.base, self.bare = base, bare
         order = {e[0]: e for e in examples}
-        votes, labels = [], []
-        for row, (doc, label) in enumerate(zip(self.ids.tolist(), self.labels.tolist())):
-            votes.append(self.vote(self.nearest(order[doc][2], skip=row)))
-            labels.append(label)
+        votes, labels = [], self.labels.tolist()
+        for at in range(0, len(self.ids), TEXTS):
+            rows = range(at, min(at + TEXTS, len(self.ids)))
+            votes += [self.vote(n) for n in self.nearest_all([order[int(self.ids[r])][2] for r in rows], rows)]
+        self.dense = self.dense_peaks = self.place = None
         x, y = np.array(votes), np.array(labels, float)
         if len(x) and 0 < y.sum():
             # two rows of either label keep the curve finite when the labels separate
@@ -253,20 +300,24 @@ class Model:
                 a, b = a + np.clip(step[0], -5, 5), b + np.clip(step[1], -5, 5)
             self.slope, self.offset = float(a), float(b)
 
-    def score(self, text: str | None):
-        """(probability, [(id, label, cosine)]) of a text."""
+    def scores(self, texts: list[str | None]):
+        """(probability, [(id, label, cosine)]) of each text."""
         if self.known is None:
             self.known = Known(self.vocabulary)
-        key = hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16).digest()
-        if key not in self.seen:
-            if len(self.seen) > 20_000:
-                self.seen.clear()
-            self.seen[key] = self.nearest(self.known(text)) if len(self.ids) else []
-        near = self.seen[key]
-        if not near:
-            return float(self.bare), []
-        value = 1 / (1 + np.exp(-np.clip(self.slope * self.vote(near) + self.offset, -30, 30)))
-        return float(value), [(int(self.ids[r]), int(self.labels[r]), c) for c, r in near]
+        keys = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+        if len(self.seen) > 20_000:
+            self.seen.clear()
+        fresh = {k: t for k, t in zip(keys, texts) if k not in self.seen}
+        if len(self.ids):
+            self.seen.update(zip(fresh, self.nearest_all([self.known(t) for t in fresh.values()], [-1] * len(fresh))))
+        out = []
+        for near in (self.seen.get(k) for k in keys):
+            if not near:
+                out.append((float(self.bare), []))
+                continue
+            value = 1 / (1 + np.exp(-np.clip(self.slope * self.vote(near) + self.offset, -30, 30)))
+            out.append((float(value), [(int(self.ids[r]), int(self.labels[r]), c) for c, r in near]))
+        return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING, examples: int = EXAMPLES) -> Model:
@@ -311,7 +362,9 @@ def _term_lists(batches):
 
 def _scorer(model):
     def score(texts):
-        rows = [model.value.score(t.as_py()) for t in texts]
+        rows = []
+        for at in range(0, len(texts), TEXTS):
+            rows += model.value.scores([t.as_py() for t in texts[at:at + TEXTS]])
         return [[r[0] for r in rows], [[{"doc_id": d, "label": y, "cosine": c} for d, y, c in r[1]] for r in rows]]
 
     return score
