@@ -53,6 +53,8 @@ FIRST_BLOCKS = 4
 # A term is common if one in so many examples has it; texts that are searched together.
 COMMON = 24
 TEXTS = 64
+# Words whose terms a task remembers.
+WORDS = 400_000
 PULL = 0.5
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
@@ -93,56 +95,66 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> D
 
 
 class Known:
-    """Counts the terms of a text that a vocabulary has."""
+    """Counts the terms of texts that a vocabulary has. What it found for a word is kept, as the
+    numbers of up to three terms, until ``WORDS`` words are."""
 
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary, self.words = vocabulary, {}
-
-    def _own(self, word: str) -> tuple[int, ...]:
-        get = self.vocabulary.get
-        if len(word) > 4:
-            found = (get(word), get(word[:4] + "-"), get(word[:5] + "-"))
-        else:
-            found = (get(word), get(word + "-")) if len(word) == 4 else (get(word),)
-        own = self.words[word] = tuple([k for k in found if k is not None]) if any(k is not None for k in found) else ()
-        return own
-
-    def _words(self, text: str) -> list[str]:
-        if len(self.words) > 300_000:
+        self.own = np.full((1024, 3), -1, np.int32)
+
+    def _learn(self, fresh: set[str]) -> None:
+        get, words = self.vocabulary.get, self.words
+        rows = [(get(w, -1), get(w[:4] + "-", -1), get(w[:5] + "-", -1) if len(w) > 4 else -1) if len(w) > 3 else (get(w, -1), -1, -1)
+                for w in fresh]
+        begin, end = len(words), len(words) + len(fresh)
+        if end > len(self.own):
+            self.own = np.concatenate([self.own, np.full((max(end, len(self.own)), 3), -1, np.int32)])
+        self.own[begin:end] = rows
+        words.update(zip(fresh, range(begin, end)))
+
+    def keys(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Text number times vocabulary size plus term, for all terms of all texts, and how often."""
+        found = [WORD.findall(t.lower()) if t else [] for t in texts]
+        words = list(chain.from_iterable(found))
+        if len(self.words) > WORDS:
             self.words.clear()
-        return WORD.findall(text.lower())
+        fresh = set(words).difference(self.words)
+        if fresh:
+            self._learn(fresh)
+        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        own = self.own[numbers]
+        at = np.repeat(np.arange(len(texts)) * len(self.vocabulary), [len(f) for f in found])
+        return np.unique((at[:, None] + own)[own >= 0], return_counts=True)
+
+    def counts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, counts) of each text."""
+        if not self.vocabulary:
+            return [(np.zeros(0, np.int64),) * 2 for _ in texts]
+        keys, counts = self.keys(texts)
+        edges = np.searchsorted(keys, np.arange(len(texts) + 1) * len(self.vocabulary))
+        return [(keys[a:b] % len(self.vocabulary), counts[a:b]) for a, b in zip(edges, edges[1:])]
 
     def __call__(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        if text:
-            words, own = self._words(text), self.words.get
-            for word, n in Counter(words).items():
-                found = own(word)
-                for k in self._own(word) if found is None else found:
-                    out[k] = out.get(k, 0) + n
-        return out
-
-    def distinct(self, text: str | None) -> set[int]:
-        """The terms alone."""
-        if not text:
-            return set()
-        words, own = set(self._words(text)), self.words.get
-        return set(chain.from_iterable([self._own(w) if (f := own(w)) is None else f for w in words]))
+        terms, counts = self.counts([text])[0]
+        return dict(zip(terms.tolist(), counts.tolist()))
 
 
 def _frequencies(batches, vocabulary):
     """Documents of a task that have each term, and how many of them are toxic; term -1
     stands for those without any."""
-    known = Known(vocabulary.value)
-    counts = np.zeros((len(vocabulary.value) + 1, 2), np.int64)
+    known, size = Known(vocabulary.value), len(vocabulary.value)
+    counts = np.zeros((size + 1, 2), np.int64)
     for batch in batches:
-        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
-            own = list(known.distinct(text.as_py())) or [-1]
-            counts[own, 0] += 1
-            if toxic and toxic > 0:
-                counts[own, 1] += 1
+        for at in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(at, TEXTS)
+            own = known.counts([t.as_py() for t in part.column("text")])
+            bad = [bool(y and y > 0) for y in part.column("toxic").to_pylist()]
+            for column, chosen in ((0, own), (1, [o for o, y in zip(own, bad) if y])):
+                terms = np.concatenate([*(t for t, _ in chosen), np.zeros(0, np.int64)])
+                counts[:size, column] += np.bincount(terms, minlength=size)
+                counts[size, column] += sum(not len(t) for t, _ in chosen)
     some = np.flatnonzero(counts[:, 0])
-    term = np.where(some == len(counts) - 1, -1, some)
+    term = np.where(some == size, -1, some)
     yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(counts[some, 0]), pa.array(counts[some, 1])],
                                      names=["term", "n", "toxic"])
 
@@ -247,31 +259,41 @@ class Model:
             where = _ranges(self.at[terms], sizes)
             sums[q] = np.bincount(self.rows[where], np.repeat(weights, sizes) * self.weights[where], size)
         bounds = sums.reshape(len(queries), self.blocks, BLOCK).max(2) + common @ self.dense_peaks
-        # the most promising blocks give a k-th cosine; then all blocks that may still beat it
-        least = np.full(len(queries), 0.0)
-        first = np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST_BLOCKS]
-        for q, blocks in enumerate(first):
-            rows = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            found = np.sort(sums[q, rows[rows != skips[q]]] + common[q] @ self.dense[:, rows[rows != skips[q]]])
-            if len(found) >= self.k:
-                least[q] = max(0.0, found[-self.k])
-        wanted = (bounds >= least[:, None] - 1e-9) & (bounds > 0)
-        self.met, self.read = self.met + wanted.size, self.read + int(wanted.sum())
-        some = np.flatnonzero(wanted.any(0))
-        rows = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-        cosines = np.round(sums[:, rows] + common @ self.dense[:, rows], 12)
-        cosines[~np.repeat(wanted[:, some], BLOCK, axis=1)] = 0
+        # the most promising blocks of all texts give each a k-th cosine; then all that may still beat it
+        first = np.zeros(self.blocks, bool)
+        first[np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST_BLOCKS]] = True
+        if first.mean() > 0.5:  # one product over all blocks costs less than two over parts of them
+            first[:] = True
+        cosines = np.zeros((len(queries), size))
+        self._add(cosines, sums, common, first)
+        for q, row in enumerate(skips):
+            if row >= 0:
+                cosines[q, row] = 0
+        least = np.partition(cosines, size - self.k, axis=1)[:, size - self.k] if size >= self.k else np.zeros(len(queries))
+        wanted = (bounds >= np.maximum(least, 0)[:, None] - 1e-9) & (bounds > 0)
+        self._add(cosines, sums, common, wanted.any(0) & ~first)
+        self.met, self.read = self.met + wanted.size, self.read + int((wanted | first).sum())
+        for q, row in enumerate(skips):
+            if row >= 0:
+                cosines[q, row] = 0
         out = []
-        for q, own in enumerate(cosines):
-            own[rows == skips[q]] = 0
+        for own in cosines:
             found = np.flatnonzero(own > 0)
             if len(found) > self.k:
                 cut = np.partition(own[found], len(found) - self.k)[len(found) - self.k]
                 found = found[own[found] >= cut]
-            best = found[np.lexsort((rows[found], -own[found]))][:self.k]
-            out.append(list(zip(own[best].tolist(), rows[best].tolist())))
+            best = found[np.lexsort((found, -own[found]))][:self.k]
+            out.append(list(zip(own[best].tolist(), best.tolist())))
         return out
 
+    def _add(self, cosines: np.ndarray, sums: np.ndarray, common: np.ndarray, blocks: np.ndarray) -> None:
+        """Full cosines of the rows of some blocks."""
+        if blocks.all():
+            cosines[:] = np.round(sums + common @ self.dense, 12)
+        elif blocks.any():
+            rows = (np.flatnonzero(blocks)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            cosines[:, rows] = np.round(sums[:, rows] + common @ self.dense[:, rows], 12)
+
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(c for c, _ in near)
         return (sum(c * self.labels[r] for c, r in near) + PULL * self.base) / (total + PULL)
@@ -309,7 +331,7 @@ class Model:
             self.seen.clear()
         fresh = {k: t for k, t in zip(keys, texts) if k not in self.seen}
         if len(self.ids):
-            self.seen.update(zip(fresh, self.nearest_all([self.known(t) for t in fresh.values()], [-1] * len(fresh))))
+            self.seen.update(zip(fresh, self.nearest_all(self.known.counts(list(fresh.values())), [-1] * len(fresh))))
         out = []
         for near in (self.seen.get(k) for k in keys):
             if not near:
