@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from askorpus import schemas as sc
@@ -13,8 +15,10 @@ from askorpus.functions import values as vl
 from askorpus.operators.ordering import last_n_per_key
 from askorpus.plans import threads as th
 from askorpus.plans import turns as tn
+from askorpus.providers import ExtractiveChat
 from askorpus.sources import ndjson
 from askorpus.sources.staging import shared_dir
+from askorpus.sources.store import Store
 from askorpus.streaming import history as sh
 
 _TITLE = Settings().default_title
@@ -47,11 +51,12 @@ def _threads(spark, sf_dir):
     """One thread per conversation, archived if it has a system message."""
     c = table(spark, sf_dir, "conversations")
     one = c.groupBy("conv_id").agg(
-        F.bool_or(F.col("role") == "system").alias("archived"), F.max("turn").alias("last"))
+        F.bool_or(F.col("role") == "system").alias("archived"), F.max("turn").alias("last"),
+        F.count_if(F.col("role") == "assistant").alias("n_messages"))
     return one.select(
         thread_id().alias("id"), F.lit(_TITLE).alias("title"), "archived",
         _created(F.col("conv_id"), F.lit(0)).alias("created_at"),
-        _created(F.col("conv_id"), F.col("last")).alias("updated_at"))
+        _created(F.col("conv_id"), F.col("last")).alias("updated_at"), "n_messages")
 
 
 _THREADS = f"""
@@ -75,8 +80,8 @@ FROM r WHERE rank > {skip} AND rank <= {skip + 30}"""
 
 
 def _page(spark, sf_dir, after=None):
-    answered = _messages(spark, sf_dir, roles=["assistant"])
-    return th.list_threads(_threads(spark, sf_dir), answered, after)
+    """The answers are the messages of these threads, counted on their rows."""
+    return th.list_threads(_threads(spark, sf_dir), after)
 
 
 def _shown(page):
@@ -103,8 +108,7 @@ WITH {_THREADS}
 SELECT id, {_ISO.format(c='created_at')} AS created_at FROM t
 WHERE NOT archived AND answered ORDER BY t.created_at DESC, id DESC LIMIT 30""")
 def thread_page_active(spark, sf_dir):
-    page = th.list_threads(_threads(spark, sf_dir), _messages(spark, sf_dir, roles=["assistant"]),
-                           include_archived=False)
+    page = th.list_threads(_threads(spark, sf_dir), include_archived=False)
     return page.select("id", vl.render_time(F.col("created_at")).alias("created_at"))
 
 
@@ -424,3 +428,43 @@ def stream_history(spark, sf_dir):
     merged = sh.merge_last(spark.read.parquet(f"{folder}/out"))
     return merged.select(F.col("thread_id").cast("bigint").alias("conv_id"),
                          F.col("pos").alias("turn"), "role", F.col("content").alias("text"))
+
+
+# -- running replies, titles and unknown threads ------------------------------
+
+
+@query(r"""
+WITH t AS (SELECT conv_id || '.' || turn AS turn_id, regexp_extract_all(text, '\S+\s*') w FROM conversations WHERE role = 'assistant'),
+u AS (SELECT turn_id, unnest(w) token, generate_subscripts(w, 1) - 1 seq FROM t)
+SELECT turn_id, seq, sha256(string_agg(token, '') OVER (PARTITION BY turn_id ORDER BY seq)) AS shown_hash FROM u""")
+def running_reply(spark, sf_dir):
+    """What a client shows after each token of every answer."""
+    said = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    tokens = said.select(
+        F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("turn_id"),
+        F.posexplode(F.regexp_extract_all("text", F.lit(r"(\S+\s*)"), F.lit(1))).alias("seq", "token"))
+    return tn.running_answers(tokens).select(
+        "turn_id", F.col("seq").cast("bigint"), F.sha2("shown", 256).alias("shown_hash"))
+
+
+@query(f"""
+WITH m AS (SELECT {_TID} AS id, bool_or(NOT system) AS spoken FROM (
+             SELECT *, bool_or(role = 'system') OVER (PARTITION BY conv_id) AS system FROM conversations)
+           WHERE role IN ('user', 'assistant') AND text IS NOT NULL GROUP BY conv_id)
+SELECT id, true AS known, CASE WHEN spoken THEN
+         substr('Resume el tema principal de esta conversación en un título corto (máx. 6 palabras), en español:', 1, {tx.TITLE_MAX_CHARS})
+         ELSE '{_TITLE}' END AS title FROM m
+UNION ALL SELECT {_MID}, false, NULL FROM conversations""")
+def thread_titles(spark, sf_dir):
+    """Titles asked for by id: silent threads (those with a system message here) keep the default
+    title, ids that no thread has are named as unknown."""
+    store = th.ThreadStore(Store(spark, f"{shared_dir(spark)}/titles-{uuid4().hex}", th.TABLES))
+    silent = table(spark, sf_dir, "conversations").filter("role = 'system'").select(thread_id().alias("conversation_id")).distinct()
+    messages = _messages(spark, sf_dir).join(silent.withColumn("_silent", F.lit(True)), "conversation_id", "left")
+    store.append(messages.withColumn("content", F.expr("IF(_silent AND content IS NOT NULL, ' ', content)")).select(
+        *sc.MESSAGE.fieldNames(), F.xxhash64("id").alias("seq")), "titles")
+    c = table(spark, sf_dir, "conversations")
+    asked = _messages(spark, sf_dir).select(F.col("conversation_id").alias("id")).unionAll(c.select(message_id().alias("id")))
+    titled = store.title(ExtractiveChat(), asked)
+    return titled.select("id", F.lit(True).alias("known"), "title").unionAll(
+        store.unknown(asked).select("id", F.lit(False), F.lit(None).cast("string")))

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askorpus.operators.partitioning import estimated_bytes
 from askorpus.sources.staging import staged
 
 # Slots are 2 to the power of these; the most take 16 MB as (word, bits) rows.
@@ -49,14 +50,25 @@ def marked(wide: DataFrame, wanted: DataFrame, keys: Sequence[str], most_bits: i
         *wide.columns, F.coalesce(hit, F.lit(False)).alias(name))
 
 
+def sendable(df: DataFrame) -> bool:
+    """Whether the optimiser would broadcast ``df`` by its own estimate."""
+    text = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    limit = int(df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(text)) if text != "-1" else -1
+    return estimated_bytes(df) <= limit
+
+
 def wide_semi(wide: DataFrame, wanted: DataFrame, keys: Sequence[str], most_bits: int = MOST_BITS) -> DataFrame:
     """Rows of ``wide`` whose key is in ``wanted``; other rows are dropped where they are read."""
+    if sendable(wanted):
+        return wide.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
     may = marked(wide, wanted, keys, most_bits).where("_may").drop("_may")
     return may.join(wanted.select(*keys).distinct(), list(keys), "left_semi")
 
 
 def wide_anti(wide: DataFrame, wanted: DataFrame, keys: Sequence[str], most_bits: int = MOST_BITS) -> DataFrame:
     """Rows of ``wide`` whose key is not in ``wanted``; most of them are never moved."""
+    if sendable(wanted):
+        return wide.join(wanted.select(*keys).distinct(), list(keys), "left_anti").select(*wide.columns)
     flagged = marked(wide, wanted, keys, most_bits)
     doubtful = flagged.where("_may").drop("_may").join(wanted.select(*keys).distinct(), list(keys), "left_anti")
     return flagged.where("NOT _may").drop("_may").select(*wide.columns).unionAll(doubtful.select(*wide.columns))

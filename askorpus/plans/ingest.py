@@ -1,6 +1,7 @@
 """Incremental ingest: raw documents to chunks.
 
-Text moves as little as possible. What changed is decided on (url, hash) alone,
+Text moves as little as possible. What changed is decided on (url, hash) alone, and the changed
+urls reach the scan of the texts as a broadcast or, when there are many, as a bitmap;
 first-wins on (hash, slug, position) alone; chunk text is shuffled once, when
 the surviving positions are joined back to it.
 """
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from askorpus.functions import text as tx
 from askorpus.functions import urls
 from askorpus.operators.chunking import Splitter, explode_chunks
+from askorpus.operators.membership import wide_semi
 from askorpus.operators.partitioning import spread
 from askorpus.providers import Embedder
 from askorpus.schemas import CHUNK, DOC_STATE
@@ -123,7 +125,7 @@ def plan_ingest(raw: DataFrame, stored: DataFrame | None, chunks: DataFrame | No
         state = staged(classify(raw, stored), "ingest-state")
         # a table of its own, so that its size decides how text is joined to it
         changed = staged(state.filter("not same").select("url"), "ingest-changed")
-        pending = raw.join(changed, "url", "left_semi")
+        pending = wide_semi(raw, changed, ["url"])
 
     known = None
     if chunks is not None and state is not None:

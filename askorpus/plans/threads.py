@@ -44,14 +44,15 @@ class BadRequest(ValueError):
 # -- reading ---------------------------------------------------------------
 
 
-def with_messages(threads: DataFrame, messages: DataFrame) -> DataFrame:
-    """Threads that have at least one message.
+def counted(threads: DataFrame, messages: DataFrame) -> DataFrame:
+    """Threads with ``n_messages`` counted afresh, for tables that do not keep it.
 
-    Message owners are made distinct before the join, so a thread with a third
-    of all messages is one row on that side.
+    Messages are counted before the join, so a thread with a third of all messages
+    is one row on that side.
     """
-    owners = messages.select(F.col("conversation_id").alias("id")).distinct()
-    return threads.join(owners, "id", "left_semi")
+    counts = messages.groupBy(F.col("conversation_id").alias("id")).agg(F.count("*").alias("n_messages"))
+    return threads.drop("n_messages").join(counts, "id", "left").withColumn(
+        "n_messages", F.coalesce("n_messages", F.lit(0)))
 
 
 def before(after: str) -> Column:
@@ -68,14 +69,15 @@ def before(after: str) -> Column:
         (F.col("created_at") == at) & (F.col("id") < F.lit(last_id)))
 
 
-def list_threads(threads: DataFrame, messages: DataFrame, after: str | None = None,
+def list_threads(threads: DataFrame, after: str | None = None,
                  page_size: int = 30, include_archived: bool = True) -> DataFrame:
     """One page, newest first: (id, title, archived, created_at, rank, next_cursor).
 
-    One row more than the page is read; if it is there, every row of the page
-    carries the cursor of the next one.
+    Threads without a message are not shown; how many they have is kept on the thread row
+    and added to by every append, so no message is read. One row more than the page
+    is read; if it is there, every row of the page carries the cursor of the next one.
     """
-    rows = with_messages(threads, messages)
+    rows = threads.filter(F.col("n_messages") > 0)
     if not include_archived:
         rows = rows.filter(~F.col("archived"))
     if after:
@@ -163,17 +165,18 @@ def plan_append(batch: DataFrame, threads: DataFrame, messages: DataFrame,
     named = good.groupBy(F.col("conversation_id").alias("id")).agg(
         F.min("created_at").alias("first_at"))
     bumped = fresh.groupBy(F.col("conversation_id").alias("id")).agg(
-        F.max("created_at").alias("last_at"))
+        F.max("created_at").alias("last_at"), F.count("*").alias("added"))
     old = narrow_to(threads, good.select(F.col("conversation_id").alias("id")), "id").select(
         "id", F.lit(True).alias("_old"), "title", "archived",
-        F.col("created_at").alias("_created"), F.col("updated_at").alias("_updated"))
+        F.col("created_at").alias("_created"), F.col("updated_at").alias("_updated"), F.col("n_messages").alias("_had"))
     state = staged(named.join(bumped, "id", "left").join(old, "id", "left").filter(
         F.col("_old").isNull() | F.col("last_at").isNotNull()), "append-threads")
     after = state.select(
         "id", F.coalesce("title", F.lit(default_title)).alias("title"),
         F.coalesce("archived", F.lit(False)).alias("archived"),
         F.coalesce("_created", "first_at").alias("created_at"),
-        F.greatest(F.coalesce("_updated", "first_at"), "last_at").alias("updated_at"))
+        F.greatest(F.coalesce("_updated", "first_at"), "last_at").alias("updated_at"),
+        (F.coalesce("_had", F.lit(0)) + F.coalesce("added", F.lit(0))).alias("n_messages"))
     return Append(fresh.select(sc.MESSAGE.fieldNames()), after,
                   state.filter("_old").select("id"),
                   batch.filter(~F.coalesce(valid, F.lit(False))))
@@ -193,7 +196,7 @@ def plan_patch(patches: DataFrame, threads: DataFrame, now: Column) -> tuple[Dat
         F.max_by("archived", F.when(F.col("archived").isNotNull(), F.col("seq"))).alias("_archived"))
     after = threads.join(merged, "id").select(
         "id", F.coalesce("_title", "title").alias("title"),
-        F.coalesce("_archived", "archived").alias("archived"), "created_at", now.alias("updated_at"))
+        F.coalesce("_archived", "archived").alias("archived"), "created_at", now.alias("updated_at"), "n_messages")
     missing = merged.select("id").join(
         narrow_to(threads.select("id"), merged, "id"), "id", "left_anti").select(
         "id", F.lit("not found").alias("problem"))
@@ -233,8 +236,7 @@ class ThreadStore:
         if after and self.spark.range(1).select(
                 vl.parse_time(F.lit(after.partition("|")[0])).isNull()).first()[0]:
             raise BadRequest("invalid cursor")
-        return list_threads(self.threads(), self.messages(), after,
-                            self.settings.page_size, include_archived)
+        return list_threads(self.threads(), after, self.settings.page_size, include_archived)
 
     def get(self, thread_id: str) -> dict:
         row = self.threads().filter(F.col("id") == thread_id).select(

@@ -41,6 +41,7 @@ THREAD = T.StructType([
     T.StructField("archived", T.BooleanType()),
     T.StructField("created_at", T.TimestampType()),
     T.StructField("updated_at", T.TimestampType()),
+    T.StructField("n_messages", T.LongType()),
 ])
 
 MESSAGE = T.StructType([

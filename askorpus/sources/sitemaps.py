@@ -77,21 +77,25 @@ def discover_links(pages: DataFrame, pattern: str, hosts: Mapping[str, str],
     return found.withColumn("link", urls.canonical(full, hosts)).drop("_path")
 
 
-def discovered(site: Site, pages: DataFrame, hosts: Mapping[str, str]) -> DataFrame:
-    """Links of a site's index pages: (source, url, order)."""
-    parts = [
-        discover_links(pages.filter(F.col("url") == index), pattern, hosts).select(
-            F.lit(site.name).alias("source"), F.col("link").alias("url"),
-            F.array(F.lit(number), F.col("pos")).alias("order"))
-        for number, (index, pattern) in enumerate(site.discovery)]
-    if not parts:
-        return pages.sparkSession.createDataFrame([], "source string, url string, order array<int>")
-    return reduce(DataFrame.unionAll, parts)
-
-
-def seeds(spark: SparkSession, site: Site) -> DataFrame:
+def discovery_rules(spark: SparkSession, sites: Sequence[Site]) -> DataFrame:
+    """(source, url, number, pattern): which links to take from which index page."""
     return spark.createDataFrame(
-        [(site.name, url, [i]) for i, url in enumerate(site.seeds)],
+        [(site.name, index, number, pattern) for site in sites for number, (index, pattern) in enumerate(site.discovery)],
+        "source string, url string, number int, pattern string")
+
+
+def discovered(rules: DataFrame, pages: DataFrame, hosts: Mapping[str, str]) -> DataFrame:
+    """Links of the index pages that ``rules`` name: (source, url, order). The pages are read once,
+    however many rules there are; a page with several is searched by each."""
+    found = pages.select("url", "html").join(rules, "url").select(
+        "source", "url", "number", F.posexplode(F.regexp_extract_all("html", F.col("pattern"), F.lit(1))).alias("pos", "_path"))
+    full = F.concat(urls.origin(F.col("url")), F.col("_path"))
+    return found.select("source", urls.canonical(full, hosts).alias("url"), F.array("number", "pos").alias("order"))
+
+
+def seeds(spark: SparkSession, sites: Sequence[Site]) -> DataFrame:
+    return spark.createDataFrame(
+        [(site.name, url, [i]) for site in sites for i, url in enumerate(site.seeds)],
         "source string, url string, order array<int>")
 
 
@@ -119,13 +123,9 @@ def frontier(spark: SparkSession, sites: Sequence[Site], files: DataFrame, pages
     roots = spark.createDataFrame([(s.name, s.sitemap_url) for s in sites],
                                   "source string, sitemap string")
     listed = expand_sitemaps(roots, files, hosts)
-    parts = []
-    for site in sites:
-        own = listed.filter(F.col("source") == site.name)
-        if site.seeds:
-            parts.append(merge_frontier(
-                [seeds(spark, site), discovered(site, pages, hosts), own], limit))
-        else:
-            parts.append(head_per_source(
-                own.select("source", "url", F.lit(0).alias("priority"), "order"), limit))
-    return reduce(DataFrame.unionAll, parts)
+    seeded = [s for s in sites if s.seeds]
+    names = [s.name for s in seeded]
+    merged = merge_frontier([seeds(spark, seeded), discovered(discovery_rules(spark, seeded), pages, hosts),
+                             listed.filter(F.col("source").isin(names))], limit)
+    plain = listed.filter(~F.col("source").isin(names)).select("source", "url", F.lit(0).alias("priority"), "order")
+    return merged.unionAll(head_per_source(plain, limit))

@@ -4,6 +4,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as entry
 from askorpus import catalogue
@@ -47,6 +48,50 @@ def test_pages_of_threads_are_a_top_k(spark, sf_dir):
     assert "TakeOrderedAndProject(limit=31" in plan(entry.queries()["thread_page"](spark, sf_dir))
 
 
+def test_changed_texts_alone_are_moved(spark):
+    """Two hundredths of the documents changed: the others' texts are in no exchange."""
+    from askorpus.operators.chunking import line_splitter
+    raw = spark.range(5000).selectExpr(
+        "concat('u', id) AS url", "'s' AS source", "'T' AS title", "concat('text ', id, repeat(' word', 30)) AS text",
+        "IF(id % 50 = 0, 'new', 'old') AS content_hash")
+    stored = raw.selectExpr("url", "'old' AS content_hash")
+    run = ing.plan_ingest(raw, stored, raw.limit(0).selectExpr("url", "content_hash AS chunk_hash"), line_splitter)
+    assert run.outcomes.filter("kind = 'unchanged'").count() == 4900
+    from askorpus.operators.membership import wide_semi
+    changed = raw.filter("content_hash = 'new'").select("url")
+    sent = plan(wide_semi(raw, ing.staged(changed, "t"), ["url"]))
+    assert not re.search(r"Exchange hashpartitioning\(url[^\n]*\n[^\n]*text", sent) and "BroadcastHashJoin" in sent
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # beyond a broadcast, a bitmap of bounded size leaves the rest at the scan
+        rows = wide_semi(raw, ing.staged(changed, "t"), ["url"])
+        assert "BroadcastHashJoin" in plan(rows) and rows.count() == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_index_pages_are_read_once(spark):
+    from askorpus.config import Site
+    from askorpus.sources import sitemaps
+    pages = spark.createDataFrame([("https://a.test/", '<a href="/x/1"><a href="/y/2">'), ("https://b.test/", '<a href="/x/3">')],
+                                  "url string, html string")
+    sites = [Site("a", "https://a.test/s.xml", ("https://a.test/",), (("https://a.test/", 'href="(/x/[^"]*)"'), ("https://a.test/", 'href="(/y/[^"]*)"'))),
+             Site("b", "https://b.test/s.xml", ("https://b.test/",), (("https://b.test/", 'href="(/x/[^"]*)"'),))]
+    found = sitemaps.discovered(sitemaps.discovery_rules(spark, sites), pages, {})
+    assert sorted((r.source, r.url, tuple(r.order)) for r in found.collect()) == [
+        ("a", "https://a.test/x/1", (0, 0)), ("a", "https://a.test/y/2", (1, 0)), ("b", "https://b.test/x/3", (0, 0))]
+    assert plan(found).count("Scan ExistingRDD[url") <= 2
+
+
+def test_thread_pages_read_no_messages(spark, tmp_path):
+    store = th.ThreadStore(Store(spark, str(tmp_path / "t"), TABLES))
+    store.append(spark.createDataFrame([("m", "a", None, "user", "x", None, None, 0)],
+                                       T.StructType([*TABLES["messages"].schema.fields, T.StructField("seq", T.IntegerType())])), "b")
+    text = plan(store.list())
+    assert "content" not in text and "Join" not in text and store.list().count() == 1
+
+
 def test_one_vector_needs_no_shuffle(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     text = plan(nearest_one(e, [0.0] * 64, 5, "vec_id", "embedding"))

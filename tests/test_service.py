@@ -128,6 +128,34 @@ def test_model_calls():
     assert (router_call(s).model, router_call(s).temperature, router_call(s).context_tokens) == ("small", 0.0, 2048)
 
 
+def test_fetch_from_the_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.setattr(cli, "get_settings", lambda: Settings(sites=SITES, news_site="s"))
+    text = "planta zinc cobre historia " * 10
+    rows = [("https://www.news.test/", "<p>x</p>", extract("portada " * 20), None),
+            ("https://www.web.test/a", None, extract(text), None), ("https://www.web.test/b", None, extract(text + "b"), None)]
+    schema = "url string, html string, extract string, error string"
+    for name, own in (("early", rows[:2]), ("pages", rows)):
+        spark.createDataFrame(own, schema).write.parquet(str(tmp_path / name))
+    spark.createDataFrame([
+        ("https://www.news.test/sitemap.xml", urlset("http://news.test/gone")),
+        ("https://www.web.test/sitemap.xml", urlset("http://web.test/a", "http://web.test/b"))],
+        "sitemap string, xml string").write.parquet(str(tmp_path / "maps"))
+
+    def run(pages, *args):
+        cli.main(["--store", str(tmp_path / "store"), "fetch", "--pages", str(tmp_path / pages), "--log", str(tmp_path / "log"),
+                  "--fetched-at", "2024-01-01T00:00:00Z", *args], spark)
+        return {tuple(c.strip() for c in line.strip("|").split("|")) for line in capsys.readouterr().out.splitlines() if "|" in line}
+
+    maps = ("--sitemaps", str(tmp_path / "maps"))
+    got = run("early", *maps, "--site", "web", "--concurrency", "2")
+    assert ("web", "fetched", "1") in got and ("web", "failed", "1") in got and not any(r[0] == "news" for r in got)
+    assert ("web", "fetched", "1") in run("pages", "--retry-failed")
+    assert ("web", "skipped", "1") in run("pages", *maps, "--site", "web", "--limit", "1")
+    assert ("web", "fetched", "2") in run("pages", *maps, "--site", "web", "--force")
+    with pytest.raises(SystemExit):
+        run("pages")
+
+
 def test_command_line(spark, tmp_path, capsys):
     store, raw = str(tmp_path / "store"), tmp_path / "raw"
     raw.mkdir()

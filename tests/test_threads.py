@@ -171,7 +171,18 @@ def test_delete(spark, threads):
 def test_threads_without_messages_are_not_listed(spark, threads):
     send(threads, msg("a", "x"))
     bare = threads.threads().withColumn("id", F.lit("bare"))
-    assert th.with_messages(threads.threads().unionAll(bare), threads.messages()).count() == 1
+    assert {r.id: r.n_messages for r in th.counted(threads.threads().unionAll(bare), threads.messages()).collect()} == {"a": 1, "bare": 0}
+    assert ids(th.list_threads(threads.threads().unionAll(bare.withColumn("n_messages", F.lit(0))))) == ["a"]
+
+
+def test_counts_are_kept_on_the_thread(spark, threads):
+    send(threads, msg("a", "x", seq=0), msg("a", "y", seq=1), msg("b", "z", seq=2))
+    send(threads, msg("a", "more", seq=3), msg("c", "new", seq=4))
+    threads.patch_one("a", title="T")
+    threads.delete(spark.createDataFrame([("b",)], "id string"))
+    kept = {r.id: r.n_messages for r in threads.threads().collect()}
+    assert kept == {"a": 3, "c": 1}
+    assert kept == {r.id: r.n_messages for r in th.counted(threads.threads(), threads.messages()).collect()}
 
 
 def test_titles(threads):
