@@ -11,7 +11,8 @@ The benchmark is broadcast as distinct windows. Its size is measured first; beyo
 documents in turn, so no task holds more than one.
 
 Defined cases: a null or empty text has no words and no hits; an item without words has
-no window; repeated items and windows keep every item id; repeated rows give repeated
+no window; an item without an id counts in n_hit and spans, and is in no list of items; repeated
+items and windows keep every item id; repeated rows give repeated
 results; an empty benchmark leaves all documents clean. Other columns pass through;
 columns of the input named like a result column are replaced.
 """
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askorpus.llm.shared import Scratch, table, with_columns_by_arrow
+from askorpus.llm.shared import Scratch, apart, table, together, with_columns_by_arrow
 
 WINDOW = 10
 AUTOMATON_BYTES = 16 << 20
@@ -94,7 +95,8 @@ def original_spans(data: bytes, runs: np.ndarray) -> list[dict]:
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(window, item_ids) of (item_id, text); items without an id are left out."""
+    """(window, item_ids) of (item_id, text); an item without an id has windows like any other, but adds
+    no id."""
     def cut(batches):
         for batch in batches:
             rows = [(w, i) for i, t in zip(*map(pa.Array.to_pylist, batch.columns))
@@ -103,7 +105,7 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
                 [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())],
                 names=["window", "item_id"])
 
-    return (items.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), "text")
+    return (items.select(F.col("item_id").cast("long"), "text")
             .mapInArrow(cut, "window binary, item_id long")
             .groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids")))
 
@@ -151,7 +153,8 @@ def _tagger(part, last):
 
 def without_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window of an item occurs."""
-    return find_contamination(docs, items, window).where("n_hit = 0").select(*docs.columns)
+    found = find_contamination(apart(docs, ["text"]), items, window)
+    return together(found.where("n_hit = 0"), docs, ["text"])
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,7 +172,7 @@ WITH d AS (SELECT doc_id, row_number() OVER () AS r,
                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
 b AS (SELECT item_id,
         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark WHERE item_id IS NOT NULL),
+                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
 bw AS (SELECT DISTINCT item_id, least(10, len(w)) n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') s
        FROM b, unnest(range(1, len(w) - least(10, len(w)) + 2)) t(i) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM bw),
@@ -179,7 +182,7 @@ hit AS (SELECT DISTINCT dw.r, dw.i, dw.n FROM dw SEMI JOIN bw ON bw.n = dw.n AND
 cover AS (SELECT r, count(DISTINCT p) n_hit FROM hit, unnest(range(i, i + n)) t(p) GROUP BY r),
 found AS (SELECT r, count(*) n_items, string_agg(k, ',' ORDER BY k) ids
           FROM (SELECT DISTINCT dw.r, CAST(bw.item_id AS VARCHAR) k
-                FROM dw JOIN bw ON bw.n = dw.n AND bw.s = dw.s) GROUP BY r)
+                FROM dw JOIN bw ON bw.n = dw.n AND bw.s = dw.s WHERE bw.item_id IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN cover USING (r) LEFT JOIN found USING (r)

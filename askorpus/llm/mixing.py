@@ -23,7 +23,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askorpus.llm.shared import Scratch, table, tokens_of, with_running_totals
+from askorpus.llm.shared import Scratch, apart, table, together, tokens_of, with_running_totals
 
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -96,8 +96,13 @@ def quotas(streams: list[tuple], block: int = BLOCK, most: int = MOST, weights=W
     blocks = sainte_lague(asked, round(sum(asked) / block), [sum(r) for r in room])
     out = []
     for n, size, target, mine, seats in zip(names, sizes, asked, room, blocks):
-        for (j, w), q in zip(by[n], sainte_lague([float(w) for _, w in by[n]], seats, mine)):
-            out.append((n, j, size, target, min(q * block, most * w)))
+        given = [min(q * block, most * w) for (_, w), q in zip(by[n], sainte_lague([float(w) for _, w in by[n]], seats, mine))]
+        # what blocks are too coarse for goes word by word to shards that still have room
+        short = int(target) - sum(given)
+        for k, (j, w) in enumerate(by[n]):
+            more = min(max(0, short), most * w - given[k])
+            short -= more
+            out.append((n, j, size, target, given[k] + more))
     return out
 
 
@@ -149,12 +154,13 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, m
     ends = planned.groupBy("source", "shard").agg(
         F.first("whole").alias("whole"),
         F.max(F.when((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size")), F.col("place"))).alias("end"))
-    rows = docs.withColumn("place", _order()).withColumn("__shard", _shard(shards)).alias("d")
+    uses = ["doc_id", "text", "source"]
+    rows = apart(docs, uses).withColumn("place", _order()).withColumn("__shard", _shard(shards)).alias("d")
     joined = rows.join(F.broadcast(ends).alias("e"), F.col("d.source").eqNullSafe(F.col("e.source"))
                        & (F.col("d.__shard") == F.col("e.shard")))
     times = F.col("e.whole") + F.when(F.col("place") <= F.col("end"), 1).otherwise(0)
-    return joined.where(times > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(
-        *[F.col(f"d.{c}") for c in docs.columns])
+    copies = joined.where(times > 0).select("d.*", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("__copy"))
+    return together(copies, docs, uses)
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

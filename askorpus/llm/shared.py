@@ -52,6 +52,18 @@ def tokens_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def apart(docs: DataFrame, uses: list[str]) -> DataFrame:
+    """The columns that an operator uses, and all others in one column, so that none of them can meet
+    a column that the operator makes."""
+    rest = [F.col(c) for c in docs.columns if c not in uses]
+    return docs.select(*uses, F.struct(*rest or [F.lit(0).alias("none")]).alias("__others"))
+
+
+def together(rows: DataFrame, docs: DataFrame, uses: list[str]) -> DataFrame:
+    """The columns of ``docs`` again, untouched, of rows made from ``apart(docs, uses)``."""
+    return rows.select(*[F.col(c) if c in uses else F.col("__others")[c].alias(c) for c in docs.columns])
+
+
 def with_running_totals(df: DataFrame, keys: list[str], bucket: Column, order: list[Column],
                         values: dict[str, Column]) -> DataFrame:
     """Adds, for each of ``values``, its sum over the rows of the same keys that come earlier.

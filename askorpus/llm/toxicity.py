@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askorpus.llm.shared import Scratch, table, with_columns_by_arrow
+from askorpus.llm.shared import Scratch, apart, table, together, with_columns_by_arrow
 
 NEIGHBOURS = 15
 TRAINING = 20_000
@@ -401,7 +401,8 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score below the threshold."""
-    return score_documents(docs, fit(docs, labels)).where(F.col("score") < threshold).select(*docs.columns)
+    scored = score_documents(apart(docs, ["text"]), fit(docs, labels))
+    return together(scored.where(F.col("score") < threshold), docs, ["text"])
 
 
 def op4_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,5 +58,10 @@ def test_edges(spark, docs_of, table_dir):
     sf = table_dir(documents=docs_of([(None, "a b"), (5, "a b"), (5, "a b")]), benchmark=bench)
     rows = op6_decontaminate(spark, sf).collect()
     assert len(rows) == 3 and all(r["contaminated"] and r["n_items"] == 1 for r in rows)
+    # an item without an id makes a document dirty, without a name for it
+    nameless = spark.createDataFrame([(None, "p q r")], "item_id long, text string")
+    got = find_contamination(docs_of(["x p q r", "p q"]), nameless).orderBy("doc_id").collect()
+    assert [(r["n_hit"], list(r["items"])) for r in got] == [(3, []), (0, [])]
+    assert [r["doc_id"] for r in without_contaminated(docs_of(["x p q r", "p q"]), nameless).collect()] == [1]
     sf = table_dir(documents=docs_of([]), benchmark=bench)
     assert op6_decontaminate(spark, sf).count() == 0

@@ -98,3 +98,13 @@ def test_too_many_sources_are_refused(docs_of, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
     with pytest.raises(ValueError, match="sources"):
         mixed_documents(docs_of([(k, "a b", f"s{k}") for k in range(50)]))
+
+
+def test_small_sources_come_near_their_target():
+    from askorpus.llm.mixing import quotas
+    streams = [("big", j, 5000) for j in range(16)] + [("small", j, 12) for j in range(16)] + [("tiny", 3, 4)]
+    found = {}
+    for name, _, size, target, words in quotas(streams):
+        found.setdefault(name, [target, 0])[1] += words
+    assert all(abs(words - target) <= 64 and words > 0 for target, words in found.values())
+    assert found["small"][1] == found["small"][0] == 576

@@ -71,6 +71,21 @@ def test_stages(spark, sf):
     assert all(len({r["shard"] for r in sharded if r["text"] == t}) == 1 for t in {r["text"] for r in sharded})
 
 
+def test_other_columns_pass_untouched(spark, sf):
+    """Columns with the names that stages use themselves keep their values."""
+    path, _ = sf
+    names = ["place", "end", "hits", "items", "spans", "n_words", "n_hit", "score", "evidence", "__id", "__hash", "__others",
+             "id", "hash", "row", "_may", "_slot", "whole", "stays"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").selectExpr(
+        "*", *[f"concat('{n} of ', coalesce(doc_id, -1)) AS `{n}`" for n in names])
+    before = {r["doc_id"]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, path)
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all(r == before[r["doc_id"]] for r in rows if not 2000 <= (r["doc_id"] or 0) < 3000), name
+
+
 def test_run(spark, sf, docs_of, table_dir):
     path, _ = sf
     got = corpus_pipeline.run(spark, path)
