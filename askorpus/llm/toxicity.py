@@ -150,7 +150,9 @@ def _frequencies(batches, vocabulary):
             own = known.counts([t.as_py() for t in part.column("text")])
             bad = [bool(y and y > 0) for y in part.column("toxic").to_pylist()]
             for column, chosen in ((0, own), (1, [o for o, y in zip(own, bad) if y])):
-                terms = np.concatenate([*(t for t, _ in chosen), np.zeros(0, np.int64)])
+                if not chosen:
+                    continue
+                terms = np.concatenate([t for t, _ in chosen])
                 counts[:size, column] += np.bincount(terms, minlength=size)
                 counts[size, column] += sum(not len(t) for t, _ in chosen)
     some = np.flatnonzero(counts[:, 0])
@@ -210,7 +212,7 @@ class Model:
         self.weights = np.concatenate([w for _, w in vectors])[order] if vectors else np.zeros(0)
         # the list of term t is rows[at[t]:at[t + 1]]
         self.at = np.searchsorted(terms, np.arange(len(self.idf) + 1))
-        self.dense = self.dense_peaks = self.place = None
+        self.dense = self.dense_peaks = self.rough = self.place = None
         self.met = self.read = 0
 
     def _weighted(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,11 +232,12 @@ class Model:
             common = np.flatnonzero(sizes * COMMON > max(1, len(self.ids)))
             self.place = np.full(len(sizes), -1)
             self.place[common] = np.arange(len(common))
-            self.dense = np.zeros((len(common), self.blocks * BLOCK))
+            self.dense = np.zeros((self.blocks * BLOCK, len(common)))
             for k, t in enumerate(common.tolist()):
                 at = slice(self.at[t], self.at[t + 1])
-                self.dense[k, self.rows[at]] = self.weights[at]
-            self.dense_peaks = self.dense.reshape(len(common), self.blocks, BLOCK).max(2)
+                self.dense[self.rows[at], k] = self.weights[at]
+            self.dense_peaks = self.dense.reshape(self.blocks, BLOCK, len(common)).max(1)
+            self.rough = self.dense.astype(np.float32)
         return self
 
     def nearest(self, counts, skip: int = -1) -> list[tuple[float, int]]:
@@ -248,7 +251,7 @@ class Model:
         size = self.blocks * BLOCK
         if not size or not len(queries):
             return [[] for _ in queries]
-        common = np.zeros((len(queries), len(self.dense)))
+        common = np.zeros((len(queries), self.dense.shape[1]))
         sums = np.empty((len(queries), size))
         for q, counts in enumerate(queries):
             terms, weights = self._weighted(*_arrays(counts))
@@ -258,12 +261,13 @@ class Model:
             sizes = self.at[terms + 1] - self.at[terms]
             where = _ranges(self.at[terms], sizes)
             sums[q] = np.bincount(self.rows[where], np.repeat(weights, sizes) * self.weights[where], size)
-        bounds = sums.reshape(len(queries), self.blocks, BLOCK).max(2) + common @ self.dense_peaks
+        bounds = sums.reshape(len(queries), self.blocks, BLOCK).max(2) + common @ self.dense_peaks.T
         # the most promising blocks of all texts give each a k-th cosine; then all that may still beat it
         first = np.zeros(self.blocks, bool)
         first[np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST_BLOCKS]] = True
         if first.mean() > 0.5:  # one product over all blocks costs less than two over parts of them
-            first[:] = True
+            self.met, self.read = self.met + bounds.size, self.read + bounds.size
+            return self._best_of_all(sums, common, skips)
         cosines = np.zeros((len(queries), size))
         self._add(cosines, sums, common, first)
         for q, row in enumerate(skips):
@@ -279,20 +283,38 @@ class Model:
         out = []
         for own in cosines:
             found = np.flatnonzero(own > 0)
-            if len(found) > self.k:
-                cut = np.partition(own[found], len(found) - self.k)[len(found) - self.k]
-                found = found[own[found] >= cut]
-            best = found[np.lexsort((found, -own[found]))][:self.k]
-            out.append(list(zip(own[best].tolist(), best.tolist())))
+            out.append(self._first(own[found], found))
+        return out
+
+    def _first(self, cosines: np.ndarray, rows: np.ndarray) -> list[tuple[float, int]]:
+        if len(rows) > self.k:
+            cut = np.partition(cosines, len(rows) - self.k)[len(rows) - self.k]
+            cosines, rows = cosines[cosines >= cut], rows[cosines >= cut]
+        best = np.lexsort((rows, -cosines))[:self.k]
+        return list(zip(cosines[best].tolist(), rows[best].tolist()))
+
+    def _best_of_all(self, sums: np.ndarray, common: np.ndarray, skips) -> list[list[tuple[float, int]]]:
+        """The nearest of all rows: a product in single precision names those that may be among them, by
+        the error it can have; their cosines are then computed in full."""
+        rough = sums.astype(np.float32) + common.astype(np.float32) @ self.rough.T
+        slack = 1e-6 + 1.2e-7 * (common.shape[1] + 16)
+        out = []
+        for q, skip in enumerate(skips):
+            own = rough[q]
+            if skip >= 0:
+                own[skip] = -1
+            cut = np.partition(own, len(own) - self.k)[len(own) - self.k] if len(own) >= self.k else 0.0
+            near = np.flatnonzero(own >= max(float(cut), 0.0) - 2 * slack)
+            near = near[near != skip]
+            exact = np.round(sums[q, near] + self.dense[near] @ common[q], 12)
+            out.append(self._first(exact[exact > 0], near[exact > 0]))
         return out
 
     def _add(self, cosines: np.ndarray, sums: np.ndarray, common: np.ndarray, blocks: np.ndarray) -> None:
         """Full cosines of the rows of some blocks."""
-        if blocks.all():
-            cosines[:] = np.round(sums + common @ self.dense, 12)
-        elif blocks.any():
+        if blocks.any():
             rows = (np.flatnonzero(blocks)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            cosines[:, rows] = np.round(sums[:, rows] + common @ self.dense[:, rows], 12)
+            cosines[:, rows] = np.round(sums[:, rows] + common @ self.dense[rows].T, 12)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(c for c, _ in near)
@@ -306,7 +328,7 @@ class Model:
         for at in range(0, len(self.ids), TEXTS):
             rows = range(at, min(at + TEXTS, len(self.ids)))
             votes += [self.vote(n) for n in self.nearest_all([order[int(self.ids[r])][2] for r in rows], rows)]
-        self.dense = self.dense_peaks = self.place = None
+        self.dense = self.dense_peaks = self.rough = self.place = None
         x, y = np.array(votes), np.array(labels, float)
         if len(x) and 0 < y.sum():
             # two rows of either label keep the curve finite when the labels separate
