@@ -30,8 +30,8 @@ def test_no_products(spark, sf_dir, name):
     assert "BatchEvalPython" not in text  # row-at-a-time Python
 
 
-@pytest.mark.parametrize("name", ["history_window", "title_prompts", "frontier_limit", "context_pack",
-                                  "retry_frontier", "vector_topk_batch"])
+@pytest.mark.parametrize("name", ["history_window", "title_prompts", "frontier_limit", "retry_frontier",
+                                  "vector_topk_batch"])
 def test_group_limit_before_the_shuffle(spark, sf_dir, name):
     text = plan(entry.queries()[name](spark, sf_dir))
     assert re.search(r"Exchange hashpartitioning.*\n.*WindowGroupLimit.*Partial", text)
@@ -153,6 +153,22 @@ def test_hot_keys_are_cut_before_the_shuffle(spark):
     assert shuffled(pack(blocks, ["k"], [F.col("o")], 100, shortest=10)) <= cold + 11 * hot
 
 
+def test_packing_finds_its_end_on_lengths(spark, monkeypatch):
+    """No text is in the exchanges that find where a budget ends, and few are behind it."""
+    from askorpus.operators import packing
+    seen = []
+    staged = packing.staged
+    monkeypatch.setattr(packing, "staged", lambda df, name: seen.append(plan(df)) or staged(df, name))
+    blocks = spark.range(5000).selectExpr("id % 2 AS k", "id AS o", "concat('block text ', id) AS block")
+    packed = pack(blocks, ["k"], [F.col("o")], 100, shortest=10)
+    assert packed.count() == 2 * 8
+    assert re.search(r"Exchange hashpartitioning.*\n.*WindowGroupLimit.*Partial", seen[0])
+    for exchange in re.findall(r"Exchange .*\n.*\n.*", seen[0]):
+        assert "block#" not in exchange
+    text = plan(packed)
+    assert "BroadcastHashJoin" in text and text.index("Exchange hashpartitioning") < text.index("BroadcastHashJoin")
+
+
 def test_a_small_batch_does_not_shuffle_the_table(spark, tmp_path):
     big, batch = str(tmp_path / "big"), str(tmp_path / "batch")
     spark.range(1000).write.parquet(big)
