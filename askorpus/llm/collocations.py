@@ -50,10 +50,10 @@ PHRASES = 1 << 21
 SIDE = 256
 DENSE = SIDE * SIDE // 8
 # Occurrences that a task counts at a time; distinct words it holds before it sends them on.
-GROUP = 1 << 20
+GROUP = 1 << 19
 HELD = 300_000
 # Bytes of text whose words a task holds at a time, where a text is not longer by itself.
-TEXT = 2 << 20
+TEXT = 1 << 20
 
 # Fixed values of the text rule: what ends a piece becomes a line feed, a tab a blank.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
