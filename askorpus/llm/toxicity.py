@@ -320,15 +320,8 @@ class Model:
         total = sum(c for c, _ in near)
         return (sum(c * self.labels[r] for c, r in near) + PULL * self.base) / (total + PULL)
 
-    def calibrate(self, base: float, bare: float, examples) -> None:
-        """``base``: share of toxic training rows; ``bare``: the same where no term is found."""
-        self.base, self.bare = base, bare
-        order = {e[0]: e for e in examples}
-        votes, labels = [], self.labels.tolist()
-        for at in range(0, len(self.ids), TEXTS):
-            rows = range(at, min(at + TEXTS, len(self.ids)))
-            votes += [self.vote(n) for n in self.nearest_all([order[int(self.ids[r])][2] for r in rows], rows)]
-        self.dense = self.dense_peaks = self.rough = self.place = None
+    def calibrate(self, votes, labels) -> None:
+        """Fits the curve on the votes of examples, each left out of its own search."""
         x, y = np.array(votes), np.array(labels, float)
         if len(x) and 0 < y.sum():
             # two rows of either label keep the curve finite when the labels separate
@@ -388,11 +381,29 @@ def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING, examples:
     rows_of = {d: (d, int(y > 0), (codes[a:b], counts[a:b])) for d, y, a, b in zip(
         sample.column("doc_id").to_pylist(), sample.column("toxic").to_pylist(), lists, lists[1:])}
     model = Model(words, idf * contrast(learned[:-1], rows, toxic), list(rows_of.values()))
-    model.calibrate(toxic / rows, learned[-1, 1] / max(1, learned[-1, 0]), list(rows_of.values()))
+    # shares of toxic training rows: of all, and of those without any term
+    model.base, model.bare = toxic / rows, learned[-1, 1] / max(1, learned[-1, 0])
+    del sample, coded, codes, counts, rows_of
+    voted = dict(sorted((r[0], r[1]) for r in train.join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(
+        partial(_left_out, docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, vote double").collect()))
+    model.calibrate([voted[d] for d in model.ids.tolist()], model.labels.tolist())
     scratch.drop("train")
     return model
 
 
+def _left_out(model, batches):
+    """The vote on each example without itself; one for each example at most."""
+    own, known = model.value, Known(model.value.vocabulary)
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(at, TEXTS)
+            ids = part.column("doc_id").cast(pa.int64()).to_numpy()
+            rows = np.minimum(np.searchsorted(own.ids, ids), max(0, len(own.ids) - 1))
+            votes = [own.vote(n) for n in own.nearest_all(known.counts([t.as_py() for t in part.column("text")]), rows.tolist())]
+            found = pa.array(own.ids[rows] == ids) if len(own.ids) else pa.array([False] * len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(votes, pa.float64())], names=["doc_id", "vote"]).filter(found)
+
+
 def _term_lists(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
