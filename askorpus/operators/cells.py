@@ -85,6 +85,8 @@ def build_cells(corpus: DataFrame, key: str, vector: str, path: str, cells: int
     wanted = cells or min(CELLS, max(1, -(-many // PER_CELL)))
     # pivots are a bounded sample, the same in every run
     sample = usable.select("vector").distinct().orderBy(F.xxhash64("vector")).limit(wanted).collect() if many else []
+    if any(len(r[0]) != dim for r in sample):
+        raise ValueError(f"a vector has another length than {dim}")
     pivots = np.array([r[0] for r in sample], np.float64).reshape(len(sample), dim or 0)
     key_type = usable.schema["key"].dataType
     assigned = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("away", T.DoubleType()),
