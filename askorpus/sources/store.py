@@ -2,7 +2,8 @@
 
 A bucket is a folder. Rows with new keys are added to their buckets as further files. Where a change
 replaces or removes rows that exist, Spark rewrites just the buckets they lie in, by dynamic partition
-overwrite. Applying the same change again gives the same table, so a run that was cut short
+overwrite: it puts the new files in place of the old when all of them are written, so the rows that stay are
+read from the very buckets. Applying the same change again gives the same table, so a run that was cut short
 is repaired by repeating it. One writer at a time; with a table format at hand, replace ``commit``
 by its MERGE.
 """
@@ -17,10 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from askorpus.operators.membership import wide_anti
+from askorpus.operators.partitioning import estimated_bytes
 from askorpus.sources.staging import staged
 
 # Buckets of a table. Choose so many that one of them is a few hundred megabytes.
 BUCKETS = 16
+# A change of at most so many bytes is moved, to make one file of each bucket. Of a larger one every
+# task adds its own file to a bucket, and no row moves.
+MOVED_BYTES = 64 << 20
 
 
 @dataclass(frozen=True)
@@ -69,42 +74,49 @@ class Store:
 
     def _apply(self, name: str, change: Change) -> list[int]:
         table = self.tables[name]
-        rows = None
+        rows, exists = None, self.exists(name)
         if change.rows is not None:
-            # written out first: rows may come from the files that are about to be replaced
-            rows = staged(change.rows.select(*table.schema.fieldNames()).withColumn("bucket", self._bucket(F.col(table.key))), "store-rows")
+            rows = change.rows.select(*table.schema.fieldNames()).withColumn("bucket", self._bucket(F.col(table.key)))
+            if exists:
+                # written out first: rows are read several times, and may come from the files that are about to be replaced
+                rows = staged(rows, "store-rows")
         touched = []
-        if self.exists(name):
+        if exists:
             keys = [f.select(table.key) for f in (rows, change.replaced) if f is not None]
             keys = staged((keys[0].unionAll(keys[1]) if len(keys) > 1 else keys[0]).distinct(), "store-keys")
             # keys and bucket numbers only; there are no more numbers than buckets
             hit = self._stored(name).select(table.key, "bucket").join(keys, table.key, "left_semi")
             touched = sorted(r[0] for r in hit.select("bucket").distinct().collect())
             if touched:
-                kept = wide_anti(self._stored(name).filter(F.col("bucket").isin(touched)), keys, [table.key])
+                stored = self._stored(name).filter(F.col("bucket").isin(touched))
+                kept = wide_anti(stored, keys, [table.key])
+                # which buckets keep rows is asked of keys alone, before the files change
+                left = stored.select(table.key, "bucket").join(keys, table.key, "left_anti").select("bucket")
                 if rows is not None:
-                    kept = kept.unionByName(rows.filter(F.col("bucket").isin(touched)))
-                self._overwrite(staged(kept, "store-kept"), name, touched)
+                    new = rows.filter(F.col("bucket").isin(touched))
+                    kept, left = kept.unionByName(new), left.unionAll(new.select("bucket"))
+                self._overwrite(kept, name, touched, {r[0] for r in left.distinct().collect()})
         if rows is not None:
             self._write(rows.filter(~F.col("bucket").isin(touched)) if touched else rows, name, "append")
         return touched
 
-    def _overwrite(self, kept: DataFrame, name: str, touched: list[int]) -> None:
+    def _overwrite(self, kept: DataFrame, name: str, touched: list[int], full: set[int]) -> None:
         """Put ``kept`` in place of the buckets; one without rows is not part of the overwrite and goes."""
-        self._write(kept, name, "overwrite")
-        full = {r[0] for r in kept.select("bucket").distinct().collect()}
+        if full:
+            self._write(kept, name, "overwrite")
         for bucket in set(touched) - full:
             self._fs().delete(self._path(f"{self.root}/{name}/bucket={bucket}"), True)
 
     def _write(self, df: DataFrame, name: str, mode: str) -> None:
-        spread = df.repartition("bucket")
-        spread.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
+        if estimated_bytes(df) <= MOVED_BYTES:
+            df = df.repartition("bucket")
+        df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/{name}")
 
     def compact(self) -> None:
         """Write every bucket as one set of files again. Nobody may write meanwhile."""
         for name in self.tables:
             if self.exists(name):
-                self._write(staged(self._stored(name), "store-compact"), name, "overwrite")
+                self._write(staged(self._stored(name), "store-compact").repartition("bucket"), name, "overwrite")
 
     def reset(self, confirm: bool = False) -> None:
         """Delete every table of this store. Raw documents live elsewhere and stay."""
