@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askorpus.llm.shared import Scratch, apart, table, together, with_columns_by_arrow
+from askorpus.llm.shared import Scratch, apart, small_batches, table, together, with_columns_by_arrow
 
 NEIGHBOURS = 15
 TRAINING = 20_000
@@ -61,6 +61,8 @@ FOLDS, HELD_OUT = 4, 2
 SEED = 17
 
 WORD = re.compile(r"\w+")
+# A neighbour of a text that was met before.
+NEAR = np.dtype([("cosine", np.float64), ("row", np.int32)])
 RESULT = "score double, evidence array<struct<doc_id: long, label: int, cosine: double>>"
 
 
@@ -205,14 +207,17 @@ class Model:
         self.labels = np.array([e[1] for e in examples], np.int8)
         self.blocks = -(-len(examples) // BLOCK)
         vectors = [self._weighted(*_arrays(e[2])) for e in examples]
-        terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        rows = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        sizes = [len(t) for t, _ in vectors]
+        terms = np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
+        weights = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        del vectors
         order = np.argsort(terms, kind="stable")
-        terms, self.rows = terms[order], rows[order]
-        self.weights = np.concatenate([w for _, w in vectors])[order] if vectors else np.zeros(0)
+        self.weights = weights[order]
+        del weights
+        self.rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
         # the list of term t is rows[at[t]:at[t + 1]]
-        self.at = np.searchsorted(terms, np.arange(len(self.idf) + 1))
-        self.dense = self.dense_peaks = self.rough = self.place = None
+        self.at = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(self.idf)))])
+        self.rough = self.dense_peaks = self.place = self.own_at = self.own = self.column = None
         self.met = self.read = 0
 
     def _weighted(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -225,21 +230,35 @@ class Model:
         return dict(zip(terms.tolist(), weights.tolist()))
 
     def prepare(self) -> "Model":
-        """Makes what a search needs beside the lists: terms that many examples have, as rows of a dense
-        matrix with the largest weight of each block. Not sent with the model."""
-        if self.dense is None:
-            sizes = np.diff(self.at)
+        """Makes what a search needs beside the lists: terms that many examples have, as columns of a dense
+        matrix in single precision, with the largest weight of each block, and where an example's own
+        weights of them are. Not sent with the model."""
+        if self.rough is None:
+            sizes, size = np.diff(self.at), self.blocks * BLOCK
             common = np.flatnonzero(sizes * COMMON > max(1, len(self.ids)))
-            self.place = np.full(len(sizes), -1)
+            self.place = np.full(len(sizes), -1, np.int32)
             self.place[common] = np.arange(len(common))
-            self.dense = np.zeros((self.blocks * BLOCK, len(common)))
-            for k, t in enumerate(common.tolist()):
-                at = slice(self.at[t], self.at[t + 1])
-                self.dense[self.rows[at], k] = self.weights[at]
-            self.dense_peaks = self.dense.reshape(self.blocks, BLOCK, len(common)).max(1)
-            self.rough = self.dense.astype(np.float32)
+            entry = _ranges(self.at[common], sizes[common]).astype(np.int32)
+            column = np.repeat(np.arange(len(common), dtype=np.int32), sizes[common])
+            rows = self.rows[entry]
+            self.rough = np.zeros((size, len(common)), np.float32)
+            self.rough[rows, column] = self.weights[entry]
+            self.dense_peaks = np.zeros((self.blocks, len(common)))
+            np.maximum.at(self.dense_peaks, (rows // BLOCK, column), self.weights[entry])
+            # the weights of example r are own[own_at[r]:own_at[r + 1]]
+            order = np.argsort(rows, kind="stable")
+            self.own_at = np.searchsorted(rows[order], np.arange(size + 1)).tolist()
+            self.own, self.column = self.weights[entry[order]], column[order]
         return self
 
+    def _dense(self, rows: np.ndarray, room: np.ndarray) -> np.ndarray:
+        """Weights of common terms of some examples, in full, written to the first lines of ``room``."""
+        out, at = room[:len(rows)], self.own_at
+        out.fill(0)
+        for line, r in zip(out, rows.tolist()):
+            line[self.column[at[r]:at[r + 1]]] = self.own[at[r]:at[r + 1]]
+        return out
+
     def nearest(self, counts, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, example row) of the k nearest with a positive cosine, ties to the smaller id."""
         return self.nearest_all([counts], [skip])[0]
@@ -251,7 +270,7 @@ class Model:
         size = self.blocks * BLOCK
         if not size or not len(queries):
             return [[] for _ in queries]
-        common = np.zeros((len(queries), self.dense.shape[1]))
+        common = np.zeros((len(queries), self.rough.shape[1]))
         sums = np.empty((len(queries), size))
         for q, counts in enumerate(queries):
             terms, weights = self._weighted(*_arrays(counts))
@@ -298,7 +317,7 @@ class Model:
         the error it can have; their cosines are then computed in full."""
         rough = sums.astype(np.float32) + common.astype(np.float32) @ self.rough.T
         slack = 1e-6 + 1.2e-7 * (common.shape[1] + 16)
-        out = []
+        out, room = [], np.empty((4 * self.k, common.shape[1]))
         for q, skip in enumerate(skips):
             own = rough[q]
             if skip >= 0:
@@ -306,7 +325,9 @@ class Model:
             cut = np.partition(own, len(own) - self.k)[len(own) - self.k] if len(own) >= self.k else 0.0
             near = np.flatnonzero(own >= max(float(cut), 0.0) - 2 * slack)
             near = near[near != skip]
-            exact = np.round(sums[q, near] + self.dense[near] @ common[q], 12)
+            if len(near) > len(room):
+                room = np.empty((2 * len(near), common.shape[1]))
+            exact = np.round(sums[q, near] + self._dense(near, room) @ common[q], 12)
             out.append(self._first(exact[exact > 0], near[exact > 0]))
         return out
 
@@ -314,7 +335,7 @@ class Model:
         """Full cosines of the rows of some blocks."""
         if blocks.any():
             rows = (np.flatnonzero(blocks)[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            cosines[:, rows] = np.round(sums[:, rows] + common @ self.dense[rows].T, 12)
+            cosines[:, rows] = np.round(sums[:, rows] + common @ self._dense(rows, np.empty((len(rows), common.shape[1]))).T, 12)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         total = sum(c for c, _ in near)
@@ -346,9 +367,10 @@ class Model:
             self.seen.clear()
         fresh = {k: t for k, t in zip(keys, texts) if k not in self.seen}
         if len(self.ids):
-            self.seen.update(zip(fresh, self.nearest_all(self.known.counts(list(fresh.values())), [-1] * len(fresh))))
+            found = self.nearest_all(self.known.counts(list(fresh.values())), [-1] * len(fresh))
+            self.seen.update((k, np.array(near, NEAR).tobytes()) for k, near in zip(fresh, found))
         out = []
-        for near in (self.seen.get(k) for k in keys):
+        for near in (np.frombuffer(self.seen.get(k, b""), NEAR).tolist() for k in keys):
             if not near:
                 out.append((float(self.bare), []))
                 continue
@@ -359,6 +381,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING, examples: int = EXAMPLES) -> Model:
     """The model, fitted on bounded training rows; document frequencies cover all documents."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "toxicity")
     train = scratch.put(training_rows(docs, labels, training), "train")
     rows, toxic = train.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("toxic") > 0).cast("int")), F.lit(0))).first()
@@ -370,22 +393,27 @@ def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING, examples:
         _term_lists, "doc_id long, toxic int, terms array<string>, counts array<int>").where("size(terms) > 0").toArrow()
     coded = sample.column("terms").combine_chunks().flatten().dictionary_encode()
     words = {t: k for k, t in enumerate(coded.dictionary.to_pylist())}
+    # the driver keeps numbers of terms, not the terms of every example
+    codes, counts = coded.indices.to_numpy().copy(), sample.column("counts").combine_chunks().flatten().to_numpy().copy()
+    lists = np.cumsum([0, *pc.list_value_length(sample.column("terms")).to_pylist()])
+    ids_of, labels_of = sample.column("doc_id").to_pylist(), sample.column("toxic").to_pylist()
+    del sample, coded
+    pa.default_memory_pool().release_unused()
     sent = docs.sparkSession.sparkContext.broadcast(words)
     learned = count_terms(train, sent, len(words))
     everywhere = count_terms(docs.select("text", F.lit(0).alias("toxic")), sent, len(words))
+    sent.destroy()
     total = docs.count()
     idf = np.log((1 + total) / (1 + everywhere[:-1, 0])) + 1
-    lists = np.cumsum([0, *pc.list_value_length(sample.column("terms")).to_pylist()])
-    codes = coded.indices.to_numpy().astype(np.int64)
-    counts = sample.column("counts").combine_chunks().flatten().to_numpy().astype(np.int64)
-    rows_of = {d: (d, int(y > 0), (codes[a:b], counts[a:b])) for d, y, a, b in zip(
-        sample.column("doc_id").to_pylist(), sample.column("toxic").to_pylist(), lists, lists[1:])}
+    rows_of = {d: (d, int(y > 0), (codes[a:b], counts[a:b])) for d, y, a, b in zip(ids_of, labels_of, lists, lists[1:])}
     model = Model(words, idf * contrast(learned[:-1], rows, toxic), list(rows_of.values()))
     # shares of toxic training rows: of all, and of those without any term
     model.base, model.bare = toxic / rows, learned[-1, 1] / max(1, learned[-1, 0])
-    del sample, coded, codes, counts, rows_of
+    del codes, counts, rows_of
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     voted = dict(sorted((r[0], r[1]) for r in train.join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(
-        partial(_left_out, docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, vote double").collect()))
+        partial(_left_out, sent), "doc_id long, vote double").collect()))
+    sent.destroy()
     model.calibrate([voted[d] for d in model.ids.tolist()], model.labels.tolist())
     scratch.drop("train")
     return model
@@ -428,6 +456,7 @@ def _scorer(model):
 def score_documents(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """Adds score and evidence (the nearest examples with label and cosine) to ``docs``, or to
     its columns ``keep``."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     return with_columns_by_arrow(docs, ["text"], RESULT, partial(_scorer, sent), keep)
 

@@ -1,9 +1,11 @@
 """Exact nearest examples against all cosines; held-out accuracy; folds and edges."""
 
 import random
+import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from askorpus.llm.toxicity import (Model, Known, fit, op4_toxicity_neighbours, score_documents, terms_of, without_toxic)
@@ -108,3 +110,26 @@ def test_every_term_of_the_examples_counts(spark, docs_of):
     assert (model.idf > 0).all()
     got = {r["doc_id"]: r["evidence"] for r in score_documents(docs_of(rows), model).collect()}
     assert all(len(e) == model.k for e in got.values())
+
+
+def held_bytes(model):
+    return sum(v.nbytes for v in vars(model).values() if isinstance(v, np.ndarray))
+
+
+def test_memory_of_a_search(spark, docs_of):
+    """Common terms are one matrix in single precision, texts met before a few hundred bytes each, and a
+    batch of texts a few megabytes."""
+    draw = np.random.default_rng(3)
+    examples = [(k, k % 2, (draw.choice(400, 60, replace=False), np.ones(60, np.int64))) for k in range(2000)]
+    model = Model({f"t{t}": t for t in range(400)}, draw.uniform(0.5, 3, 400), examples)
+    before = held_bytes(model)
+    model.prepare()
+    assert held_bytes(model) - before < 8 * model.rough.size
+    texts = [f"t{k} t{k + 1} t{k + 2}" for k in range(300)]
+    first = model.scores(texts)
+    assert model.scores(texts) == first and all(len(near) == model.k for _, near in first)
+    assert max(map(sys.getsizeof, model.seen.values())) < 300
+    docs = docs_of([(k, "word " * 2000) for k in range(4000)]).coalesce(1)
+    score_documents(docs, model)
+    sizes = docs.select("text").mapInArrow(lambda b: (pa.RecordBatch.from_arrays([pa.array([x.nbytes])], names=["n"]) for x in b), "n long")
+    assert max(r["n"] for r in sizes.collect()) < 5 << 20
