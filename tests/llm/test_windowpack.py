@@ -147,3 +147,26 @@ def test_query_and_edges(spark, sf_dir, docs_of, table_dir, library):
     rows = op12_mixture_packing(spark, sf).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"], r["length"]) for r in rows) == [(False, 1, 2), (False, 1, 2), (False, 2, 1), (True, None, 1)]
     assert op12_mixture_packing(spark, table_dir(documents=docs_of([]))).count() == 0
+
+
+def test_special_of_the_core_is_ordinary_text(library):
+    """The core looks for one special string, so not at every character, and never takes it as one."""
+    encoder = Encoder(open(PATH, "rb").read())
+    assert encoder.core.special_tokens_set
+    texts = ["<|none|>", "a<|none|><|endoftext|>b <|none|>", "one two", "one\ntwo", "one\n two", "one\x0b\x0c two", "é  é", "one  two "]
+    assert [[*encoder.ids(t), 0] for t in texts] == expected(library, texts)
+
+
+def test_documents_of_a_queue_are_cut_together(monkeypatch):
+    draw = random.Random(6)
+    for cells in (1, 7, 1 << 18):
+        monkeypatch.setattr("askorpus.llm.windowpack.CELLS", cells)
+        plan = plan_rounds([900, 0, 333, 70, 5], draw.choice([None, [1, 1, 2, 0, 3]]), 32, 4)
+        for queue, total in ((0, 900), (2, 333), (3, 70), (4, 5)):
+            edges = sorted({0, total, *(draw.randrange(total) for _ in range(12))})
+            order = draw.sample(range(len(edges) - 1), len(edges) - 1)
+            start, end = np.array(edges)[order], np.array(edges)[np.array(order) + 1]
+            of, *got = plan.pieces_of(queue, start, end - start)
+            for k in range(len(order)):
+                alone = plan.pieces(queue, int(start[k]), int(end[k] - start[k]))
+                assert [x[of == k].tolist() for x in got] == [x.tolist() for x in alone]
