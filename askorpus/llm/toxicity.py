@@ -34,7 +34,7 @@ import hashlib
 import re
 from collections import Counter
 from functools import partial
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +61,22 @@ FOLDS, HELD_OUT = 4, 2
 SEED = 17
 
 WORD = re.compile(r"\w+")
+# What is no word character of ASCII, as a space.
+BLANKS = "".join(c if WORD.match(c) else " " for c in map(chr, range(128)))
 # A neighbour of a text that was met before.
 NEAR = np.dtype([("cosine", np.float64), ("row", np.int32)])
 RESULT = "score double, evidence array<struct<doc_id: long, label: int, cosine: double>>"
 
 
+def words_of(text: str | None) -> list[str]:
+    """The lower-case words; ASCII is split, which finds the same as the pattern in less time."""
+    text = (text or "").lower()
+    return text.translate(BLANKS).split() if text.isascii() else WORD.findall(text)
+
+
 def terms_of(text: str | None) -> Counter:
     """How often each word and word beginning occurs."""
-    words = Counter(WORD.findall(text.lower())) if text else Counter()
+    words = Counter(words_of(text))
     out = Counter()
     for word, n in words.items():
         for term in _terms(word):
@@ -96,36 +104,41 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAINING) -> D
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
+class _Numbers(dict):
+    """Numbers words in the order they are asked for."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 class Known:
     """Counts the terms of texts that a vocabulary has. What it found for a word is kept, as the
     numbers of up to three terms, until ``WORDS`` words are."""
 
     def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.words = vocabulary, {}
+        self.vocabulary, self.words = vocabulary, _Numbers()
         self.own = np.full((1024, 3), -1, np.int32)
 
-    def _learn(self, fresh: set[str]) -> None:
-        get, words = self.vocabulary.get, self.words
+    def _learn(self, fresh: list[str]) -> None:
+        get, end = self.vocabulary.get, len(self.words)
         rows = [(get(w, -1), get(w[:4] + "-", -1), get(w[:5] + "-", -1) if len(w) > 4 else -1) if len(w) > 3 else (get(w, -1), -1, -1)
                 for w in fresh]
-        begin, end = len(words), len(words) + len(fresh)
         if end > len(self.own):
             self.own = np.concatenate([self.own, np.full((max(end, len(self.own)), 3), -1, np.int32)])
-        self.own[begin:end] = rows
-        words.update(zip(fresh, range(begin, end)))
+        self.own[end - len(fresh):end] = rows
 
     def keys(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Text number times vocabulary size plus term, for all terms of all texts, and how often."""
-        found = [WORD.findall(t.lower()) if t else [] for t in texts]
-        words = list(chain.from_iterable(found))
+        found = [words_of(t) for t in texts]
         if len(self.words) > WORDS:
             self.words.clear()
-        fresh = set(words).difference(self.words)
-        if fresh:
-            self._learn(fresh)
-        numbers = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        before, many = len(self.words), [len(f) for f in found]
+        numbers = np.fromiter(map(self.words.__getitem__, chain.from_iterable(found)), np.int64, sum(many))
+        if fresh := len(self.words) - before:
+            self._learn(list(islice(reversed(self.words), fresh))[::-1])
         own = self.own[numbers]
-        at = np.repeat(np.arange(len(texts)) * len(self.vocabulary), [len(f) for f in found])
+        at = np.repeat(np.arange(len(texts)) * len(self.vocabulary), many)
         return np.unique((at[:, None] + own)[own >= 0], return_counts=True)
 
     def counts(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -379,6 +392,17 @@ class Model:
         return out
 
 
+def numbered(lists: pa.ChunkedArray) -> tuple[dict[str, int], np.ndarray]:
+    """The different terms of all lists with their numbers, as first met, and the numbers of all terms. Lists
+    stay in the parts they came in: they are not copied into one array."""
+    words, codes = {}, [np.zeros(0, np.int32)]
+    for part in lists.chunks:
+        own = part.flatten().dictionary_encode()
+        places = np.fromiter((words.setdefault(t, len(words)) for t in own.dictionary.to_pylist()), np.int32, len(own.dictionary))
+        codes.append(places[own.indices.to_numpy()])
+    return words, np.concatenate(codes)
+
+
 def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING, examples: int = EXAMPLES) -> Model:
     """The model, fitted on bounded training rows; document frequencies cover all documents."""
     small_batches(docs.sparkSession)
@@ -391,13 +415,12 @@ def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING, examples:
     ids = train.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(examples)
     sample = train.join(F.broadcast(ids), "doc_id").mapInArrow(
         _term_lists, "doc_id long, toxic int, terms array<string>, counts array<int>").where("size(terms) > 0").toArrow()
-    coded = sample.column("terms").combine_chunks().flatten().dictionary_encode()
-    words = {t: k for k, t in enumerate(coded.dictionary.to_pylist())}
+    words, codes = numbered(sample.column("terms"))
     # the driver keeps numbers of terms, not the terms of every example
-    codes, counts = coded.indices.to_numpy().copy(), sample.column("counts").combine_chunks().flatten().to_numpy().copy()
+    counts = np.concatenate([c.flatten().to_numpy() for c in sample.column("counts").chunks] or [np.zeros(0, np.int32)])
     lists = np.cumsum([0, *pc.list_value_length(sample.column("terms")).to_pylist()])
     ids_of, labels_of = sample.column("doc_id").to_pylist(), sample.column("toxic").to_pylist()
-    del sample, coded
+    del sample
     pa.default_memory_pool().release_unused()
     sent = docs.sparkSession.sparkContext.broadcast(words)
     learned = count_terms(train, sent, len(words))

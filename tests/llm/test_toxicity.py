@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from askorpus.llm import toxicity
 from askorpus.llm.toxicity import (Model, Known, fit, op4_toxicity_neighbours, score_documents, terms_of, without_toxic)
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -133,3 +134,39 @@ def test_memory_of_a_search(spark, docs_of):
     score_documents(docs, model)
     sizes = docs.select("text").mapInArrow(lambda b: (pa.RecordBatch.from_arrays([pa.array([x.nbytes])], names=["n"]) for x in b), "n long")
     assert max(r["n"] for r in sizes.collect()) < 5 << 20
+
+
+def test_words_of_ascii_need_no_pattern(monkeypatch):
+    """Every ASCII character between words, and what is no ASCII before or after lower-casing."""
+    texts = [f"Ab{chr(c)}cD_{chr(c)}{chr(c)}9" for c in range(256)] + ["", None, "\u212aelvin \u0130x", "a\u2028b", "\U0001d7d8 z\u00e9"]
+    want = [toxicity.WORD.findall((t or "").lower()) for t in texts]
+    assert [toxicity.words_of(t) for t in texts] == want
+
+    class Pattern:
+        def findall(self, text):
+            assert not text.isascii()
+            return []
+
+    monkeypatch.setattr(toxicity, "WORD", Pattern())
+    known = Known({"ab": 0, "word": 1, "word-": 2})
+    assert known("Ab words, word") == {0: 1, 1: 1, 2: 2}
+    assert known("caf\u00e9") == {}
+
+
+def test_known_forgets_words(monkeypatch):
+    """Words are numbered anew after the memory is emptied."""
+    monkeypatch.setattr(toxicity, "WORDS", 3)
+    known = Known({"a": 0, "b": 1, "abcd": 2, "abcd-": 3, "abcde-": 4})
+    for _ in range(3):
+        for text in ("a b c d e", "abcde abcd", "e d b b", "x y z"):
+            want = {known.vocabulary[t]: n for t, n in terms_of(text).items() if t in known.vocabulary}
+            assert known(text) == want
+    assert len(known.words) <= 8
+
+
+def test_terms_are_numbered_as_met():
+    lists = pa.chunked_array([[["b", "a"], ["b"]], [[], ["c", "a"]], [["d", "b"]]], pa.list_(pa.string()))
+    words, codes = toxicity.numbered(lists)
+    assert words == {"b": 0, "a": 1, "c": 2, "d": 3} and codes.tolist() == [0, 1, 0, 2, 1, 3, 0]
+    words, codes = toxicity.numbered(pa.chunked_array([], pa.list_(pa.string())))
+    assert words == {} and codes.tolist() == []
