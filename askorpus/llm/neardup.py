@@ -214,20 +214,20 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     both = edges.select("a", "b").union(edges.select("b", "a")).union(edges.select("a", "a")).union(
         edges.select("b", "b")).distinct()
     both = scratch.put(both, f"{name}-edges")
-    labels = scratch.put(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")), f"{name}-0")
+    value = F.col("comp").cast("decimal(38,0)")
+    labels, now = scratch.put_counted(
+        both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")), f"{name}-0", value)
     total, turn = None, 0
-    while True:
-        now = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
-        if turn:
-            scratch.drop(f"{name}-{turn - 1}")
-        if now == total or now is None:
-            scratch.drop(f"{name}-edges")
-            return labels
+    while now is not None and now != total:
         total, turn = now, turn + 1
         seen = labels.select(F.col("id").alias("b"), F.col("comp").alias("c"))
         nearer = both.join(seen, "b").groupBy("a").agg(F.min("c").alias("c"))
         over = labels.select(F.col("id").alias("c"), "comp")
-        labels = scratch.put(nearer.join(over, "c").select(F.col("a").alias("id"), "comp"), f"{name}-{turn}")
+        labels, now = scratch.put_counted(
+            nearer.join(over, "c").select(F.col("a").alias("id"), "comp"), f"{name}-{turn}", value)
+        scratch.drop(f"{name}-{turn - 1}")
+    scratch.drop(f"{name}-edges")
+    return labels
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -277,14 +277,18 @@ def link_buckets(scratch: Scratch, members: DataFrame, sigs: DataFrame, sets: Da
         largest = sizes.groupBy("key").agg(
             F.max(F.struct("n", F.negative("comp").alias("c"))).alias("m"), F.sum("n").alias("n"),
             F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        rows = scratch.put(rows.join(largest.select(
+        rows, found = scratch.put_counted(rows.join(largest.select(
             "key", F.negative("m.c").alias("most"), "n", (F.col("n") - F.col("m.n")).alias("outside")), "key"), f"open-{turn}")
-        if rows.isEmpty():
-            scratch.drop(f"open-{turn}")
+        made = [f"open-{turn}"]
+        if found:
+            pairs, found = scratch.put_counted(worth_confirming(rows, sigs, star, best, percent), f"pairs-{turn}")
+            made.append(f"pairs-{turn}")
+        if found:
+            edges, found = scratch.put_counted(confirmed(pairs, sets, percent), f"links-{turn}")
+            made.append(f"links-{turn}")
+        scratch.drop(*[n for n in made if not (found and n == f"links-{turn}")])
+        if not found:  # nothing open, near or linked: the components stay
             continue
-        pairs = scratch.put(worth_confirming(rows, sigs, star, best, percent), f"pairs-{turn}")
-        edges = scratch.put(confirmed(pairs, sets, percent), f"links-{turn}")
-        scratch.drop(f"open-{turn}", f"pairs-{turn}")
         if state is not None:  # links between the components so far
             for side in ("a", "b"):
                 own = state.select(F.col("id").alias(side), F.col("comp").alias("c"))

@@ -111,3 +111,25 @@ def test_one_id_with_several_texts(docs_of):
     near = {k: [t for t in kept if t[1] in (many[k], many[k] + " z")] for k in range(6)}
     assert len(kept) == 7 and (7, "") in kept and all(len(v) == 1 for v in near.values())
     assert [near[k][0][0] for k in range(6)] == [7, 7, 7, 3, 8, 8]
+
+
+def test_counts_are_taken_while_writing(spark, docs_of, texts, monkeypatch):
+    """No query of its own asks whether rows are there or labels stay: each leaves a plan with the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+    df, asked = docs_of([*texts.items()]), []
+    for name in ("isEmpty", "first"):
+        monkeypatch.setattr(DataFrame, name, lambda self, n=name, own=getattr(DataFrame, name): asked.append(n) or own(self))
+    assert near_duplicates(df).where("NOT kept").count()
+    assert not asked
+
+
+def test_rows_counted_while_written(spark):
+    from askorpus.llm.shared import Scratch
+    from pyspark.sql import functions as F
+    scratch, rows = Scratch(spark, "counted"), spark.range(10)
+    for name, df, many, total in (("some", rows, 10, 45), ("none", rows.where("id < 0"), 0, None),
+                                  ("joined", rows.join(rows.where("id > 20"), "id"), 0, None),
+                                  ("groups", rows.repartition(5).groupBy(F.expr("id % 3").alias("id")).count(), 3, 3)):
+        out, n = scratch.put_counted(df, name)
+        assert (n, out.count()) == (many, many)
+        assert scratch.put_counted(df, name + "-sum", F.col("id").cast("decimal(38,0)"))[1] == total
