@@ -38,7 +38,6 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -219,17 +218,19 @@ class Model:
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[1] for e in examples], np.int8)
         self.blocks = -(-len(examples) // BLOCK)
-        vectors = [self._weighted(*_arrays(e[2])) for e in examples]
-        sizes = [len(t) for t, _ in vectors]
-        terms = np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
-        weights = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        del vectors
-        order = np.argsort(terms, kind="stable")
-        self.weights = weights[order]
-        del weights
-        self.rows = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
-        # the list of term t is rows[at[t]:at[t + 1]]
-        self.at = np.concatenate([[0], np.cumsum(np.bincount(terms, minlength=len(self.idf)))])
+        lists = [_arrays(e[2]) for e in examples]
+        sizes = np.zeros(len(self.idf), np.int64)
+        for own in lists:
+            sizes[self._weighted(*own)[0]] += 1
+        # the list of term t is rows[at[t]:at[t + 1]]; lists are filled in place, as the driver would hold
+        # weights, their order and the ordered weights at once
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
+        self.weights, self.rows = np.empty(self.at[-1]), np.empty(self.at[-1], np.int32)
+        free = self.at[:-1].copy()
+        for row, own in enumerate(lists):
+            terms, weights = self._weighted(*own)
+            self.weights[free[terms]], self.rows[free[terms]] = weights, row
+            free[terms] += 1
         self.rough = self.dense_peaks = self.place = self.own_at = self.own = self.column = None
         self.met = self.read = 0
 
@@ -392,15 +393,16 @@ class Model:
         return out
 
 
-def numbered(lists: pa.ChunkedArray) -> tuple[dict[str, int], np.ndarray]:
-    """The different terms of all lists with their numbers, as first met, and the numbers of all terms. Lists
-    stay in the parts they came in: they are not copied into one array."""
-    words, codes = {}, [np.zeros(0, np.int32)]
-    for part in lists.chunks:
-        own = part.flatten().dictionary_encode()
-        places = np.fromiter((words.setdefault(t, len(words)) for t in own.dictionary.to_pylist()), np.int32, len(own.dictionary))
-        codes.append(places[own.indices.to_numpy()])
-    return words, np.concatenate(codes)
+def numbered(parts: pa.Table) -> tuple[dict[str, int], list[tuple[int, int, np.ndarray, np.ndarray]]]:
+    """The different terms of all examples with their numbers, as first met, and (id, toxic, terms, counts) of each."""
+    words, out = {}, []
+    for row in (r for batch in parts.to_batches() for r in batch.to_pylist()):
+        ends = np.cumsum([0, *row["sizes"]])
+        places = np.fromiter((words.setdefault(t, len(words)) for t in row["terms"]), np.int32, len(row["terms"]))
+        codes, counts = (np.frombuffer(row[c], f"u{len(row[c]) // ends[-1]}") for c in ("codes", "counts"))
+        codes, counts = places[codes], counts.astype(np.int32)
+        out += [(d, y, codes[lo:hi], counts[lo:hi]) for d, y, lo, hi in zip(row["ids"], row["toxic"], ends, ends[1:])]
+    return words, out
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING, examples: int = EXAMPLES) -> Model:
@@ -413,13 +415,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING, examples:
         return Model({}, np.zeros(0), [])
     # ids of examples are at most that many: small enough to send
     ids = train.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(examples)
-    sample = train.join(F.broadcast(ids), "doc_id").mapInArrow(
-        _term_lists, "doc_id long, toxic int, terms array<string>, counts array<int>").where("size(terms) > 0").toArrow()
-    words, codes = numbered(sample.column("terms"))
+    sample = train.join(F.broadcast(ids), "doc_id").mapInArrow(_term_lists, TERM_LISTS).toArrow()
     # the driver keeps numbers of terms, not the terms of every example
-    counts = np.concatenate([c.flatten().to_numpy() for c in sample.column("counts").chunks] or [np.zeros(0, np.int32)])
-    lists = np.cumsum([0, *pc.list_value_length(sample.column("terms")).to_pylist()])
-    ids_of, labels_of = sample.column("doc_id").to_pylist(), sample.column("toxic").to_pylist()
+    words, counted = numbered(sample)
     del sample
     pa.default_memory_pool().release_unused()
     sent = docs.sparkSession.sparkContext.broadcast(words)
@@ -428,11 +426,11 @@ def fit(docs: DataFrame, labels: DataFrame, training: int = TRAINING, examples:
     sent.destroy()
     total = docs.count()
     idf = np.log((1 + total) / (1 + everywhere[:-1, 0])) + 1
-    rows_of = {d: (d, int(y > 0), (codes[a:b], counts[a:b])) for d, y, a, b in zip(ids_of, labels_of, lists, lists[1:])}
+    rows_of = {d: (d, int(y > 0), (codes, counts)) for d, y, codes, counts in counted}
     model = Model(words, idf * contrast(learned[:-1], rows, toxic), list(rows_of.values()))
     # shares of toxic training rows: of all, and of those without any term
     model.base, model.bare = toxic / rows, learned[-1, 1] / max(1, learned[-1, 0])
-    del codes, counts, rows_of
+    del counted, rows_of
     sent = docs.sparkSession.sparkContext.broadcast(model)
     voted = dict(sorted((r[0], r[1]) for r in train.join(F.broadcast(ids), "doc_id").select("doc_id", "text").mapInArrow(
         partial(_left_out, sent), "doc_id long, vote double").collect()))
@@ -455,15 +453,29 @@ def _left_out(model, batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(votes, pa.float64())], names=["doc_id", "vote"]).filter(found)
 
 
+TERM_LISTS = "ids array<long>, toxic array<int>, sizes array<int>, terms array<string>, codes binary, counts binary"
+
+
 def _term_lists(batches):
+    """The examples of ``TEXTS`` rows in one: their different terms once, then numbers of these and how often
+    each occurs, in as few bytes as they need. Texts without terms are left out."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            part = batch.slice(at, 64)
-            own = [terms_of(t.as_py()) for t in part.column("text")]
+        for at in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(at, TEXTS)
+            ids, toxic = (part.column(c).to_pylist() for c in ("doc_id", "toxic"))
+            own = [(d, y, o) for d, y, o in zip(ids, toxic, (terms_of(t.as_py()) for t in part.column("text"))) if o]
+            if not own:
+                continue
+            ids, toxic, found = zip(*own)
+            terms = _Numbers()
+            codes = np.array([terms[t] for o in found for t in o])
+            counts = np.array([n for o in found for n in o.values()])
+            codes, counts = (v.astype(np.min_scalar_type(v.max())).tobytes() for v in (codes, counts))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id").cast(pa.int64()), part.column("toxic").cast(pa.int32()),
-                 pa.array([list(o) for o in own], pa.list_(pa.string())), pa.array([list(o.values()) for o in own], pa.list_(pa.int32()))],
-                names=["doc_id", "toxic", "terms", "counts"])
+                [pa.array([ids], pa.list_(pa.int64())), pa.array([toxic], pa.list_(pa.int32())),
+                 pa.array([[len(o) for o in found]], pa.list_(pa.int32())), pa.array([list(terms)], pa.list_(pa.string())),
+                 pa.array([codes], pa.binary()), pa.array([counts], pa.binary())],
+                names=["ids", "toxic", "sizes", "terms", "codes", "counts"])
 
 
 def _scorer(model):

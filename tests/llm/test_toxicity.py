@@ -164,9 +164,36 @@ def test_known_forgets_words(monkeypatch):
     assert len(known.words) <= 8
 
 
-def test_terms_are_numbered_as_met():
-    lists = pa.chunked_array([[["b", "a"], ["b"]], [[], ["c", "a"]], [["d", "b"]]], pa.list_(pa.string()))
-    words, codes = toxicity.numbered(lists)
-    assert words == {"b": 0, "a": 1, "c": 2, "d": 3} and codes.tolist() == [0, 1, 0, 2, 1, 3, 0]
-    words, codes = toxicity.numbered(pa.chunked_array([], pa.list_(pa.string())))
-    assert words == {} and codes.tolist() == []
+def test_terms_are_numbered_as_met(monkeypatch):
+    """Examples reach the driver as numbers of few bytes; terms and counts are those of their texts."""
+    monkeypatch.setattr(toxicity, "TEXTS", 2)
+    texts = ["beta al", "al " * 70_000, "", None, "al gamma " * 300, " ".join(f"w{k}" for k in range(300))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([0, 1, 1, 0, 2, 0]), pa.array(texts)], names=["doc_id", "toxic", "text"])
+    parts = list(toxicity._term_lists([batch]))
+    assert [p.num_rows for p in parts] == [1, 1] and len(parts[0].column("codes")[0].as_py()) == 4
+    words, found = toxicity.numbered(pa.Table.from_batches(parts))
+    assert list(words)[:4] == ["beta", "beta-", "al", "gamma"] and list(words.values()) == list(range(len(words)))
+    names = list(words)
+    assert [(d, y) for d, y, _, _ in found] == [(0, 0), (1, 1), (4, 2), (5, 0)]
+    for d, _, codes, counts in found:
+        assert {names[c]: n for c, n in zip(codes.tolist(), counts.tolist())} == dict(terms_of(texts[d]))
+        assert counts.dtype == np.int32
+    assert toxicity.numbered(pa.Table.from_batches([], parts[0].schema)) == ({}, [])
+
+
+def test_memory_of_an_index():
+    """Lists are filled in place: beside them there is nothing of their size."""
+    import tracemalloc
+    draw = np.random.default_rng(3)
+    examples = [(k, k % 2, (np.sort(draw.choice(5000, 500, replace=False)), draw.integers(1, 9, 500))) for k in range(1000)]
+    idf = draw.random(5000) + 1
+    tracemalloc.start()
+    model = Model({str(k): k for k in range(5000)}, idf, examples)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.4 * (model.weights.nbytes + model.rows.nbytes)
+    for term in (0, 17, 4999):
+        rows = model.rows[model.at[term]:model.at[term + 1]]
+        assert rows.tolist() == [k for k, _, (t, _) in examples if term in t]
+        for r, w in zip(rows.tolist(), model.weights[model.at[term]:]):
+            assert model.vector(dict(zip(*(v.tolist() for v in examples[r][2]))))[term] == pytest.approx(w)
